@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import compression, minhash, mixing, sharding
+from keyloom.llm import compression, decontaminate, minhash, mixing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with every benchmark item that it contains."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slot and shard of every document."""
     return sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id"))
@@ -34,7 +39,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_compression_bands, op5_near_duplicates, op9_shard_placement, op10_source_mixing)
+    f.__name__: f for f in (op3_compression_bands, op5_near_duplicates, op7_decontamination, op9_shard_placement, op10_source_mixing)
 }
 
 
