@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import compression, decontaminate, minhash, mixing, sharding
+from keyloom.llm import compression, decontaminate, minhash, mixing, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxic documents, with their scores."""
+    return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents whose compression ratios lie within their bands."""
     return compression.kept(_table(spark, sf_dir, "documents"))
@@ -39,7 +44,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_compression_bands, op5_near_duplicates, op7_decontamination, op9_shard_placement, op10_source_mixing)
+    f.__name__: f for f in (op1_toxicity, op3_compression_bands, op5_near_duplicates, op7_decontamination, op9_shard_placement, op10_source_mixing)
 }
 
 

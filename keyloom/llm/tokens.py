@@ -8,7 +8,7 @@ as empty ones.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +60,7 @@ class Chunk:
     starts: np.ndarray
     ends: np.ndarray
     data: np.ndarray
+    sums: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
@@ -99,8 +100,19 @@ def chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterat
         sums = np.empty(len(data) + 1, U)
         sums[0] = 0
         np.cumsum((data.astype(U) + U(1)) * powers(BASE, len(data)), out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * powers(BASE_INV, len(data))[starts])
-        yield Chunk(lo, hi, hashes, np.searchsorted(starts, bounds - bounds[0]), starts, ends, data)
+        yield Chunk(lo, hi, _hashed(sums, starts, ends), np.searchsorted(starts, bounds - bounds[0]), starts, ends, data, sums)
+
+
+def _hashed(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix((sums[ends] - sums[starts]) * powers(BASE_INV, len(sums))[starts])
+
+
+def stems(chunk: Chunk, n: int) -> Chunk:
+    """``chunk`` with every token cut to its first n characters."""
+    first = np.flatnonzero((chunk.data & 0xC0) != 0x80)
+    at = np.searchsorted(first, chunk.starts) + n
+    ends = np.minimum(chunk.ends, np.append(first, len(chunk.data))[np.minimum(at, len(first))])
+    return replace(chunk, hashes=_hashed(chunk.sums, chunk.starts, ends), ends=ends)
 
 
 def hash_words(words: list[str]) -> np.ndarray:

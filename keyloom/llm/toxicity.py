@@ -3,34 +3,47 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.decontaminate import Filter, _ranges
-from keyloom.llm.tokens import Chunk, U, chunks
+from keyloom.llm.tokens import Chunk, U, chunks, mix, stems, windows
+from keyloom.plans.lineage import cut, drop
 
-#: Most labelled documents whose words choose the seeds.
+#: Most labelled documents whose terms choose the seeds.
 MAX_LABELLED = 50_000
-#: Words in at least and at most these shares of the documents are nodes; so their number doesn't grow with the corpus.
-NODE_SHARE = (1e-3, 0.1)
-#: Seeds of either polarity, and the least z-score of a toxic seed's log odds ratio.
-TOXIC_SEEDS, CLEAN_SEEDS, MIN_Z = 64, 32, 3.0
-#: Least share of the documents that two words of an edge have in common.
-EDGE_SHARE = 5e-5
+#: A term is a token cut to this many characters, so that inflected and compound forms count as one. Terms of different
+#: languages are different terms, and each language is a graph of its own.
+STEM = 5
+#: Terms in at least and at most these shares of the documents are nodes; so their number doesn't grow with the corpus.
+NODE_SHARE = (5e-4, 0.2)
+#: Most seeds of either polarity in a language. A toxic seed is more frequent in toxic than in clean labelled documents
+#: by a likelihood ratio whose signed root is at least MIN_ROOT.
+TOXIC_SEEDS, CLEAN_SEEDS, MIN_ROOT = 32, 64, 4.0
+#: Least documents that two terms of an edge have in common, and the least signed root of the likelihood ratio of their
+#: independence: a term that met a seed by chance gets no edge.
+EDGE_COUNT, EDGE_ROOT = 3, 6.0
+#: Least contents, out of 64 classes, among the documents of an edge, or half of its documents: copies of one document
+#: make no edge.
+EDGE_KINDS = 8
+#: Tokens and number of the shingle minima that tell contents apart.
+SKETCH_TOKENS, SKETCHES = 4, 4
 #: Probability to go on rather than restart at a seed, and steps of the walk.
-DAMPING, STEPS = 0.8, 40
-#: Words with at least this polarity are in the lexicon.
-MIN_POLARITY = 0.5
-#: A document is toxic if the polarities of its tokens sum to as much, and are as large a share of its tokens.
-MIN_SCORE, MIN_RATE = 1.5, 0.002
+DAMPING, STEPS = 0.5, 40
+#: Terms with at least this polarity are in the lexicon, unless fewer than MIN_SHARE of their labelled documents are
+#: toxic, where the walk counts as PRIOR documents. That share times the polarity is a term's weight.
+MIN_POLARITY, MIN_SHARE, PRIOR = 0.5, 0.3, 2.0
+#: A document is toxic if the weights of its terms sum to as much, and are as large a share of its tokens.
+MIN_SCORE, MIN_RATE = 1.0, 0.006
 #: Chunks whose counts a task holds before it emits them.
 FLUSH = 64
 
-_COUNTS = "hash long, word string, n long, toxic long, clean long"
+_COUNTS = "hash long, word string, code long, n long, toxic long, clean long"
+_LABELLED = "key long, code long, toxic int"
 
 
 @dataclass
@@ -38,15 +51,51 @@ class Lexicon:
     words: list[str]
     hashes: np.ndarray
     polarity: np.ndarray
+    share: np.ndarray
     is_seed: np.ndarray
 
-    def keep(self, least: float = MIN_POLARITY) -> Lexicon:
-        m = self.polarity >= least
-        return Lexicon([w for w, x in zip(self.words, m) if x], self.hashes[m], self.polarity[m], self.is_seed[m])
+    @property
+    def weight(self) -> np.ndarray:
+        return self.polarity * self.share
+
+    def keep(self, least: float = MIN_POLARITY, share: float = MIN_SHARE) -> Lexicon:
+        m = (self.polarity >= least) & (self.share >= share)
+        return Lexicon([w for w, x in zip(self.words, m) if x], self.hashes[m], self.polarity[m], self.share[m], self.is_seed[m])
+
+
+def _code(docs: DataFrame) -> Column:
+    """A hash of the language; null, and a table without languages, count as ''."""
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    return F.xxhash64(lang)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, code, text); ``key`` tells rows of one id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key"), _code(docs).alias("code"), F.col("text").cast("string").alias("text"))
+
+
+def terms(texts: pa.Array, codes: pa.Array) -> Iterator[tuple[Chunk, Chunk]]:
+    """(tokens, terms) of each chunk of a column of texts with their languages."""
+    codes = codes.to_numpy().view(U)
+    for chunk in chunks(texts):
+        cut_off = stems(chunk, STEM)
+        yield chunk, replace(cut_off, hashes=mix(cut_off.hashes ^ np.repeat(codes[chunk.lo : chunk.hi], chunk.counts)))
+
+
+def sketches(chunk: Chunk, number: int = SKETCHES) -> np.ndarray:
+    """For each document, the least hash of its shingles under each of ``number`` hash functions; 0 without shingles."""
+    h, first = windows(chunk, SKETCH_TOKENS)
+    out = np.zeros((chunk.hi - chunk.lo, number), U)
+    doc = chunk.doc_of()[first]
+    if len(doc):
+        start = np.flatnonzero(np.diff(doc, prepend=-1))
+        for k in range(number):
+            out[doc[start], k] = np.minimum.reduceat(mix(h ^ U(k)), start)
+    return out
 
 
 def distinct(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token index of each distinct word, document and word index of each distinct pair of them)."""
+    """(token index of each distinct term, document and term index of each distinct pair of them)."""
     _, first, which = np.unique(chunk.hashes, return_index=True, return_inverse=True)
     pair = np.unique(chunk.doc_of() * max(1, len(first)) + which)
     return first, pair // max(1, len(first)), pair % max(1, len(first))
@@ -60,134 +109,258 @@ def _words(chunk: Chunk, at: np.ndarray) -> pa.Array:
     return binary.cast(pa.large_string())
 
 
-def word_counts(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(hash, word, n, toxic, clean): in how many documents, toxic and clean labelled documents each word occurs.
+def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> pa.Table:
+    """(key, code, toxic) of the labelled documents that choose the seeds.
 
-    Every document counts in ``n``. At most ``max_labelled`` labels are used, those of the least hashed ids; they are
-    broadcast. Tasks sum the counts of their own documents before the shuffle.
+    At most ``max_labelled`` labels are used, those of the least hashed ids; a row without an id or a label is none, and
+    of several labels of an id the toxic one holds. Of documents that share a shingle minimum, as copies do, the one
+    of the least key stays, lest the words of a document that was copied a thousand times become seeds.
     """
-    some = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("__toxic"))
+    some = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = F.broadcast(some.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"))
-    joined = keyed.join(some, "__id", "left").select("text", F.coalesce("__toxic", F.lit(-1)).alias("toxic"))
+    joined = _keyed(docs).join(some, F.col("doc_id") == F.col("__id")).select("key", "code", "toxic", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column(3)):
+                part = slice(chunk.lo, chunk.hi)
+                s = sketches(chunk).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(k)[part] for k in range(3)] + [pa.array(s[:, k]) for k in range(SKETCHES)], names=["key", "code", "toxic", *(f"s{k}" for k in range(SKETCHES))])
+
+    rows = joined.mapInArrow(run, _LABELLED + "".join(f", s{k} long" for k in range(SKETCHES))).toArrow().sort_by("key")
+    fresh = np.ones(rows.num_rows, bool)
+    for k in range(SKETCHES):
+        s = rows.column(f"s{k}").to_numpy()
+        first = np.zeros(len(s), bool)
+        first[np.unique(s, return_index=True)[1]] = True
+        fresh &= first | (s == 0)
+    return rows.select(["key", "code", "toxic"]).filter(pa.array(fresh))
+
+
+def word_counts(docs: DataFrame, sample: pa.Table) -> DataFrame:
+    """(hash, word, code, n, toxic, clean): in how many documents, toxic and clean ones of the sample each term occurs.
+
+    Every document counts in ``n``. Tasks sum the counts of their own documents before the shuffle.
+    """
+    known = docs.sparkSession.sparkContext.broadcast((sample.column("key").to_numpy(), sample.column("toxic").to_numpy()))
 
     def emit(held: list) -> pa.RecordBatch:
         hashes = np.concatenate([x[0] for x in held])
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        sums = [np.bincount(which, np.concatenate([x[k] for x in held]), len(first)).astype(np.int64) for k in (2, 3, 4)]
         words = pa.chunked_array([x[1] for x in held]).combine_chunks().take(pa.array(first)).cast(pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), words, *map(pa.array, sums)], names=[x.split()[0] for x in _COUNTS.split(", ")])
+        codes = np.concatenate([x[2] for x in held])[first]
+        sums = [np.bincount(which, np.concatenate([x[k] for x in held]), len(first)).astype(np.int64) for k in (3, 4, 5)]
+        return pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), words, pa.array(codes), *map(pa.array, sums)], names=[x.split()[0] for x in _COUNTS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, labels = known.value
         held: list = []
         for batch in batches:
-            toxic = batch.column(1).to_numpy()
-            for chunk in chunks(batch.column(0)):
+            mine = batch.column(0).to_numpy()
+            at = np.minimum(np.searchsorted(keys, mine), max(0, len(keys) - 1))
+            toxic = np.where(keys[at] == mine, labels[at], -1) if len(keys) else np.full(len(mine), -1)
+            codes = batch.column(1).to_numpy()
+            for _, chunk in terms(batch.column(2), batch.column(1)):
                 first, doc, word = distinct(chunk)
                 kind = toxic[chunk.lo : chunk.hi][doc]
-                held.append((chunk.hashes[first], _words(chunk, first), np.bincount(word, minlength=len(first)), *(np.bincount(word[kind == k], minlength=len(first)) for k in (1, 0))))
+                code = codes[chunk.lo : chunk.hi][np.searchsorted(chunk.offsets, first, "right") - 1]
+                held.append((chunk.hashes[first], _words(chunk, first), code, np.bincount(word, minlength=len(first)), *(np.bincount(word[kind == k], minlength=len(first)) for k in (1, 0))))
                 if len(held) == FLUSH:
                     yield emit(held)
                     held = []
         if held:
             yield emit(held)
 
-    return joined.mapInArrow(run, _COUNTS).groupBy("hash", "word").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
+    return _keyed(docs).select("key", "code", "text").mapInArrow(run, _COUNTS).groupBy("hash", "code").agg(F.min("word").alias("word"), *[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
 
 
-def choose_seeds(n: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, sizes=(TOXIC_SEEDS, CLEAN_SEEDS), min_z: float = MIN_Z) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the toxic and of the clean seeds, by the z-score of the log odds ratio in labelled documents."""
-    odds = np.log((toxic + 0.5) / (n_toxic - toxic + 0.5)) - np.log((clean + 0.5) / (n_clean - clean + 0.5))
-    z = odds / np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    order = np.argsort(-z, kind="stable")
-    bad = order[: sizes[0]]
-    bad = bad[z[bad] >= min_z]
-    good = order[::-1][: sizes[1]]
-    return bad, good[z[good] < 0]
+def signed_root(k: np.ndarray, n: np.ndarray, m: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The root of the likelihood ratio of a 2x2 table, negative where fewer than expected.
+
+    k of ``total`` cases are of both kinds, n of the one and m of the other.
+    """
+    k, n, m, total = (np.asarray(x, float) for x in (k, n, m, total))
+    cells = [(k, n, m), (n - k, n, total - m), (m - k, total - n, m), (total - n - m + k, total - n, total - m)]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = sum(np.where(c > 0, c * np.log(c * total / (x * y)), 0) for c, x, y in cells)
+    return np.sqrt(np.maximum(0, 2 * g)) * np.sign(k * total - n * m)
+
+
+def choose_seeds(hashes: np.ndarray, code: np.ndarray, root: np.ndarray, clean: np.ndarray, sizes=(TOXIC_SEEDS, CLEAN_SEEDS), least: float = MIN_ROOT) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the toxic and of the clean seeds; ``root`` binds a term to toxic labelled documents of its language.
+
+    The toxic seeds of a language are its most bound terms. Its clean seeds are terms, of the least mixed hashes, that
+    are at most as frequent in toxic as in clean documents; taken by chance, they stand for every topic. A language
+    without toxic seeds has none at all.
+    """
+    bad, good = [], []
+    for lang in np.unique(code[root >= least]):
+        mine = np.flatnonzero(code == lang)
+        order = mine[np.argsort(-root[mine], kind="stable")[: sizes[0]]]
+        bad.append(order[root[order] >= least])
+        plain = mine[(root[mine] <= 0) & (clean[mine] > 0)]
+        good.append(plain[np.argsort(mix(hashes[plain]), kind="stable")[: sizes[1]]])
+    none = [np.empty(0, np.int64)]
+    return np.concatenate(bad or none), np.concatenate(good or none)
 
 
 def shared_documents(docs: DataFrame, nodes: np.ndarray, seeds: np.ndarray) -> DataFrame:
-    """(seed, node, n): in how many documents each seed occurs with each other node; both are indexes of ``nodes``."""
+    """(seed, node, n, kinds): in how many documents each seed occurs with each other node, both indexes of ``nodes``.
+
+    ``kinds`` has a bit for each of 64 classes of contents that occur among those documents.
+    """
     known = docs.sparkSession.sparkContext.broadcast((Filter(nodes), seeds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seeds = known.value
         rank = np.full(len(words.values), -1)
         rank[seeds] = np.arange(len(seeds))
-        total = np.zeros(len(seeds) * len(words.values), np.int32)
+        width = len(words.values)
+        total, kinds = np.zeros(len(seeds) * width, np.int32), np.zeros(len(seeds) * width, U)
         for batch in batches:
-            for chunk in chunks(batch.column(0)):
+            for tokens, chunk in terms(batch.column(1), batch.column(0)):
                 at, which = words.find(chunk.hashes)
-                pair = np.unique(chunk.doc_of()[at] * len(words.values) + which)
-                doc, node = pair // len(words.values), pair % len(words.values)
+                pair = np.unique(chunk.doc_of()[at] * width + which)
+                doc, node = pair // width, pair % width
                 count = np.bincount(doc, minlength=chunk.hi - chunk.lo)
                 start = np.cumsum(count) - count
                 mine = np.flatnonzero(rank[node] >= 0)
                 length = count[doc[mine]]
-                other = node[np.repeat(start[doc[mine]], length) + _ranges(length)]
-                np.add.at(total, np.repeat(rank[node[mine]], length) * len(words.values) + other, 1)
+                cell = np.repeat(rank[node[mine]], length) * width + node[np.repeat(start[doc[mine]], length) + _ranges(length)]
+                kind = U(1) << (mix(sketches(tokens, 1)[:, 0]) >> U(58))
+                np.add.at(total, cell, 1)
+                np.bitwise_or.at(kinds, cell, np.repeat(kind[doc[mine]], length))
         some = np.flatnonzero(total)
         for lo in range(0, len(some), 1 << 18):
             part = some[lo : lo + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array((part // len(words.values)).astype(np.int32)), pa.array((part % len(words.values)).astype(np.int32)), pa.array(total[part])], names=["seed", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array((part // width).astype(np.int32)), pa.array((part % width).astype(np.int32)), pa.array(total[part]), pa.array(kinds[part].view(np.int64))], names=["seed", "node", "n", "kinds"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "seed int, node int, n int").groupBy("seed", "node").agg(F.sum("n").alias("n"))
+    mapped = _keyed(docs).select("code", "text").mapInArrow(run, "seed int, node int, n int, kinds long")
+    return mapped.groupBy("seed", "node").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("kinds")).alias("kinds"))
 
 
-def walk(size: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, start: np.ndarray, damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
-    """Visiting probabilities of a random walk with restarts at ``start`` over undirected edges a-b."""
+def walk(size: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, origin: np.ndarray, damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
+    """Visits of a random walk over undirected edges a-b that restarts by ``origin``."""
     x, y, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([weight, weight])
-    out = np.bincount(x, w, size)
-    share = w / out[x]
-    origin = np.zeros(size)
-    if len(start):
-        origin[start] = 1 / len(start)
+    share = w / np.maximum(np.bincount(x, w, size)[x], 1e-300)
     p = origin
     for _ in range(steps):
         p = damping * np.bincount(y, p[x] * share, size) + (1 - damping) * origin
     return p
 
 
+def polarity(code: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """(t - c) / (t + c) of the visits of the toxic walk and the clean one; 0 for terms that neither reaches.
+
+    Both walks restart alike often in each language.
+    """
+    visits = []
+    for seeds in (bad, good):
+        _, at, number = np.unique(code[seeds], return_inverse=True, return_counts=True)
+        origin = np.zeros(len(code))
+        origin[seeds] = 1 / number[at] if len(seeds) else 0
+        visits.append(walk(len(code), a, b, weight, origin))
+    return (visits[0] - visits[1]) / np.maximum(visits[0] + visits[1], 1e-300)
+
+
 def induce(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Lexicon:
-    """The polarity of every node word, from -1 (clean) to 1 (toxic).
+    """The polarity of every node term, from -1 (clean) to 1 (toxic).
 
-    The graph joins each seed to the nodes with which it shares documents, by positive pointwise mutual information over
-    all documents. One walk restarts at the toxic seeds and one at the clean ones; a word's polarity is the share of
-    the toxic walk in its visits, less that of a median word, rescaled. Nodes and edges are bounded by shares of the
-    documents, so what reaches the driver doesn't grow with the corpus.
+    The graph joins each seed to the nodes of its language with which it shares documents, by positive pointwise mutual
+    information over all documents of the language. One walk restarts at the toxic seeds and one at the clean ones; a
+    term's polarity compares how often they visit it; its ``share`` is what the labelled documents say of it. Nodes are bounded by a share of the documents, seeds by number, so what reaches the
+    driver doesn't grow with the corpus. Without toxic labels, or without seeds, no term is toxic.
     """
-    total = docs.count()
+    languages = {r.code: r.n for r in _keyed(docs).groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "code").collect()}
+    total = sum(languages.values())
+    sample = labelled(docs, labels, max_labelled)
     low, high = max(3, NODE_SHARE[0] * total), max(3, NODE_SHARE[1] * total)
-    counted = word_counts(docs, labels, max_labelled).where(F.col("n").between(low, high))
-    rows = counted.toArrow()
-    classes = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long")).agg(F.max(F.col("toxic").cast("int")).alias("t")).agg(F.count(F.lit(1)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    share = min(1.0, max_labelled / max(1, classes[0]))
-    n_toxic, n_clean = classes[1] * share, (classes[0] - classes[1]) * share
+    counted = cut(word_counts(docs, sample), "terms")
+    rows = counted.where(F.col("n").between(low, high)).toArrow()
+    drop(counted)
     hashes = rows.column("hash").to_numpy().astype(np.int64).view(U)
     by = np.argsort(hashes)
     hashes, words = hashes[by], rows.column("word").take(pa.array(by)).to_pylist()
-    n, toxic, clean = (rows.column(c).to_numpy()[by] for c in ("n", "toxic", "clean"))
-    if not len(hashes) or not n_toxic:
-        return Lexicon([], np.empty(0, U), np.empty(0), np.empty(0, bool))
-    bad, good = choose_seeds(n, np.minimum(toxic, n_toxic), np.minimum(clean, n_clean), n_toxic, n_clean)
-    seeds = np.concatenate([bad, good])
-    is_seed = np.zeros(len(hashes), bool)
+    code, n, toxic, clean = (rows.column(c).to_numpy()[by] for c in ("code", "n", "toxic", "clean"))
+    classes = {k: _per_code(code, sample.column("code").to_numpy()[sample.column("toxic").to_numpy() == k]) for k in (0, 1)}
+    here = _per_code(code, np.array(list(languages), np.int64), np.array(list(languages.values()), np.int64))
+    root = signed_root(np.minimum(toxic, classes[1]), classes[1], np.minimum(toxic + clean, classes[0] + classes[1]), classes[0] + classes[1])
+    bad, good = choose_seeds(hashes, code, root, clean)
+    seeds, is_seed = np.concatenate([bad, good]), np.zeros(len(hashes), bool)
     is_seed[bad] = True
     if not len(bad):
-        return Lexicon(words, hashes, np.full(len(hashes), -1.0), is_seed)
-    together = shared_documents(docs, hashes, seeds).where(F.col("n") >= max(2, EDGE_SHARE * total)).toArrow()
+        return Lexicon(words, hashes, np.zeros(len(hashes)), np.zeros(len(hashes)), is_seed)
+    together = shared_documents(docs, hashes, seeds).where((F.col("n") >= EDGE_COUNT) & (F.col("kinds") >= F.least(F.lit(EDGE_KINDS), F.ceil(F.col("n") / 2)))).toArrow()
     a, b, both = seeds[together.column("seed").to_numpy()], together.column("node").to_numpy().astype(np.int64), together.column("n").to_numpy()
-    pmi = np.log(both * float(total) / (n[a].astype(float) * n[b]))
-    use = (pmi > 0) & (a != b) & ~(np.isin(b, seeds) & (a > b))
+    pmi = np.log(both * here[a].astype(float) / (n[a].astype(float) * n[b]))
+    use = (pmi > 0) & (a != b) & ~(np.isin(b, seeds) & (a > b)) & (signed_root(both, n[a], n[b], here[a]) >= EDGE_ROOT)
     a, b, pmi = a[use], b[use], pmi[use]
-    return Lexicon(words, hashes, polarity(len(hashes), a, b, pmi, bad, good), is_seed)
+    out = polarity(code, a, b, pmi, bad, good)
+    return Lexicon(words, hashes, out, (toxic + PRIOR * np.maximum(out, 0)) / (toxic + clean + PRIOR), is_seed)
 
 
-def polarity(size: int, a: np.ndarray, b: np.ndarray, pmi: np.ndarray, bad: np.ndarray, good: np.ndarray) -> np.ndarray:
-    toxic, clean = walk(size, a, b, pmi, bad), walk(size, a, b, pmi, good)
-    seen = toxic + clean > 0
-    ratio = np.log((toxic + 1e-12) / (clean + 1e-12))
-    middle = np.median(ratio[seen]) if seen.any() else 0.0
-    out = np.tanh((ratio - middle) / 2)
-    out[~seen] = 0
-    return out
+def _per_code(code: np.ndarray, codes: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """For each of ``code``, how often it is among ``codes``."""
+    known, at = np.unique(codes, return_inverse=True)
+    if not len(known):
+        return np.zeros(len(code), np.int64)
+    number = np.bincount(at, weights, len(known)).astype(np.int64)
+    where = np.minimum(np.searchsorted(known, code), len(known) - 1)
+    return np.where(known[where] == code, number[where], 0)
+
+
+SCORES = "doc_id long, score double, hits int, tokens int, rate double, toxic int"
+
+
+def score(docs: DataFrame, lexicon: Lexicon, min_score: float = MIN_SCORE, min_rate: float = MIN_RATE) -> DataFrame:
+    """One row a document: the summed weights of its lexicon terms, how many it has, and whether it is toxic.
+
+    A map over whole texts; the lexicon is broadcast, and its size is bounded by NODE_SHARE. Null, empty and wordless
+    texts score 0 and aren't toxic; repeated rows give repeated rows; a null id stays null; other columns aren't read.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(_scorer(lexicon))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, chunk in terms(batch.column(2), batch.column(1)):
+                columns = _scored(chunk, known.value, min_score, min_rate)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, chunk.hi - chunk.lo), *map(pa.array, columns)], names=[x.split()[0] for x in SCORES.split(", ")])
+
+    return _keyed(docs).select("doc_id", "code", "text").mapInArrow(run, SCORES)
+
+
+def _scorer(lexicon: Lexicon) -> tuple[Filter, np.ndarray]:
+    words = Filter(lexicon.hashes)
+    weight = np.zeros(len(words.values))
+    weight[np.searchsorted(words.values, lexicon.hashes)] = lexicon.weight
+    return words, weight
+
+
+def _scored(chunk: Chunk, scorer: tuple[Filter, np.ndarray], min_score: float, min_rate: float) -> tuple[np.ndarray, ...]:
+    words, weight = scorer
+    at, which = words.find(chunk.hashes)
+    doc = np.searchsorted(chunk.offsets, at, "right") - 1
+    size, tokens = chunk.hi - chunk.lo, chunk.counts
+    total, hits = np.bincount(doc, weight[which], size), np.bincount(doc, minlength=size)
+    rate = total / np.maximum(tokens, 1)
+    toxic = (total >= min_score) & (rate >= min_rate)
+    return total, hits.astype(np.int32), tokens.astype(np.int32), rate, toxic.astype(np.int32)
+
+
+def toxic_documents(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
+    """The rows of :func:`score` that are toxic, by the lexicon that :func:`induce` finds in ``docs``."""
+    return score(docs, induce(docs, labels, **parameters).keep()).where("toxic = 1").drop("toxic")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE, min_rate: float = MIN_RATE, **parameters) -> DataFrame:
+    """The rows of ``docs`` that aren't toxic, columns as they are; a map over the rows, without a join."""
+    known = docs.sparkSession.sparkContext.broadcast(_scorer(induce(docs, labels, **parameters).keep()))
+    width = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = [_scored(chunk, known.value, min_score, min_rate)[-1] == 0 for _, chunk in terms(batch.column(width), batch.column(width + 1))]
+            if clean:
+                yield batch.select(range(width)).filter(pa.array(np.concatenate(clean)))
+
+    return docs.select("*", F.col("text").cast("string").alias("__text"), _code(docs).alias("__code")).mapInArrow(run, docs.schema)
