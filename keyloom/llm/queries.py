@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import compression, decontaminate, minhash, mixing, sharding, toxicity
+from keyloom.llm import compression, decontaminate, minhash, mixing, sharding, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.kept(_table(spark, sf_dir, "documents"))
 
 
+def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every interval of tokens that repeats, in every document, and whether it is to be removed."""
+    return substrings.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of a group of near-duplicates, with the one that its group keeps."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -44,7 +49,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_compression_bands, op5_near_duplicates, op7_decontamination, op9_shard_placement, op10_source_mixing)
+    f.__name__: f for f in (op1_toxicity, op3_compression_bands, op4_repeated_substrings, op5_near_duplicates, op7_decontamination, op9_shard_placement, op10_source_mixing)
 }
 
 

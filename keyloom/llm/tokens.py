@@ -51,7 +51,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Chunk:
-    """Tokens of documents lo..hi-1 of a column; ``offsets`` has the first token of each, and the end."""
+    """Tokens of documents lo..hi-1 of a column; ``offsets`` and ``bounds`` have the first token and byte of each, and the end."""
 
     lo: int
     hi: int
@@ -61,6 +61,7 @@ class Chunk:
     ends: np.ndarray
     data: np.ndarray
     sums: np.ndarray
+    bounds: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
@@ -81,7 +82,7 @@ def _lowered(texts: pa.Array) -> pa.Array:
         return pa.array([x.as_buffer().to_pybytes().decode("utf-8", "replace").lower() for x in texts], pa.string())
 
 
-def chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
+def chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES, lower: bool = True) -> Iterator[Chunk]:
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -91,7 +92,8 @@ def chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterat
     group = np.cumsum(lengths) // size
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(lengths)]
     for lo, hi in zip(cuts, cuts[1:]):
-        part = _lowered(texts.slice(lo, hi - lo)).cast(pa.large_string())
+        part = texts.slice(lo, hi - lo)
+        part = (_lowered(part) if lower else part).cast(pa.large_string())
         part = pc.binary_join_element_wise(part, _EMPTY, _BREAK)
         bounds = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
         data = np.frombuffer(part.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
@@ -100,7 +102,7 @@ def chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterat
         sums = np.empty(len(data) + 1, U)
         sums[0] = 0
         np.cumsum((data.astype(U) + U(1)) * powers(BASE, len(data)), out=sums[1:])
-        yield Chunk(lo, hi, _hashed(sums, starts, ends), np.searchsorted(starts, bounds - bounds[0]), starts, ends, data, sums)
+        yield Chunk(lo, hi, _hashed(sums, starts, ends), np.searchsorted(starts, bounds - bounds[0]), starts, ends, data, sums, bounds - bounds[0])
 
 
 def _hashed(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
