@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most rows of a written table that may be broadcast.
+MAX_BROADCAST_ROWS = 1_000_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -35,6 +39,11 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
+def sized(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A narrow written table, marked for broadcast where it is small; its row count comes from the footers."""
+    return F.broadcast(table) if table.count() <= max_rows else table
+
+
 def drop(df: DataFrame) -> None:
     """Delete the table behind a result of :func:`cut`."""
     path = getattr(df, "_keyloom_path", None)
