@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm.minhash import with_key
 from keyloom.llm.tokens import U, Chunk, chunks, mix, windows
+from keyloom.plans.lineage import cut, sized
 
 #: Tokens of a shingle, and the least share of an item's shingles that a window of the item's size must hold.
 SHINGLE_TOKENS = 3
@@ -263,9 +265,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, **parameters) ->
 
     The keys of contaminated documents are joined; Spark broadcasts them if they are few.
     """
-    from keyloom.llm.minhash import _sized, with_key
-    from keyloom.plans.lineage import cut
-
     gone = cut(contaminated(docs, benchmark, **parameters).select(F.col("key").alias("__key")).distinct(), "contaminated")
-    left = with_key(docs).join(_sized(gone), "__key", "left_anti")
+    left = with_key(docs).join(sized(gone), "__key", "left_anti")
     return left.select(*[F.col(c).cast(t).alias(c) for c, t in docs.dtypes])

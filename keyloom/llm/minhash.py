@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.tokens import Chunk, U, chunks, mix, windows
-from keyloom.plans.lineage import cut, drop
+from keyloom.plans.lineage import cut, drop, sized
 
 #: Tokens of a shingle; bins of a signature; values in a band. Four 16-bit values fill a 64-bit band.
 SHINGLE_TOKENS = 3
@@ -19,8 +19,6 @@ ROWS = 4
 #: Least share of equal bins, an estimate of the Jaccard similarity of two shingle sets. Copies with a few edits lie
 #: above 0.5, unrelated texts below 0.25.
 THRESHOLD = 0.4
-#: Most rows of a written table that may be broadcast.
-MAX_BROADCAST_ROWS = 1_000_000
 
 #: PREFERENCE[a, j]: the bin that empty bin j asks at its attempt a; a permutation for each j.
 PREFERENCE = np.argsort(np.random.default_rng(7).random((BINS, BINS)), axis=0)
@@ -162,19 +160,15 @@ def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     """``docs`` without the documents of :func:`near_duplicates` that aren't kept; the columns stay as they are.
 
     Of rows with equal id and text one stays, if they have tokens; rows without tokens all stay. The keys to drop are
-    broadcast if there are at most MAX_BROADCAST_ROWS, else joined by a shuffle.
+    broadcast if they are few, else joined by a shuffle.
     """
     keyed = with_key(docs)
     gone = cut(near_duplicates(docs, threshold).where("key != keep_key").select(F.col("key").alias("__key")).distinct(), "dropped")
-    left = keyed.join(_sized(gone), "__key", "left_anti")
+    left = keyed.join(sized(gone), "__key", "left_anti")
     lettered = F.col("text").rlike("[\\p{L}\\p{N}]|[^\\x00-\\x7F]")
     again = cut(with_key(docs.select("doc_id", "text")).groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key"), "repeated")
     if again.count():
-        twice = left.join(_sized(again), "__key", "left_semi")
-        left = left.join(_sized(again), "__key", "left_anti").unionByName(twice.where(lettered).dropDuplicates(["__key"])).unionByName(twice.where(~F.coalesce(lettered, F.lit(False))))
+        twice = left.join(sized(again), "__key", "left_semi")
+        left = left.join(sized(again), "__key", "left_anti").unionByName(twice.where(lettered).dropDuplicates(["__key"])).unionByName(twice.where(~F.coalesce(lettered, F.lit(False))))
     return left.select(*[F.col(c).cast(t).alias(c) for c, t in docs.dtypes])
 
-
-def _sized(table: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast where it is small; its row count comes from the footers."""
-    return F.broadcast(table) if table.count() <= MAX_BROADCAST_ROWS else table

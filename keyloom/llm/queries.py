@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import compression, decontaminate, minhash, mixing, sharding, substrings, toxicity
+from keyloom.llm import compression, decontaminate, linetemplates, minhash, mixing, sharding, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line whose template recurs across documents."""
+    return linetemplates.recurring_lines(_table(spark, sf_dir, "documents"))
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents whose compression ratios lie within their bands."""
     return compression.kept(_table(spark, sf_dir, "documents"))
@@ -49,7 +54,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_compression_bands, op4_repeated_substrings, op5_near_duplicates, op7_decontamination, op9_shard_placement, op10_source_mixing)
+    f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_compression_bands, op4_repeated_substrings, op5_near_duplicates, op7_decontamination, op9_shard_placement, op10_source_mixing)
 }
 
 
