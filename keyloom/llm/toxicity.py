@@ -27,9 +27,9 @@ TOXIC_SEEDS, CLEAN_SEEDS, MIN_ROOT = 32, 64, 4.0
 #: Least documents that two terms of an edge have in common, and the least signed root of the likelihood ratio of their
 #: independence: a term that met a seed by chance gets no edge.
 EDGE_COUNT, EDGE_ROOT = 3, 6.0
-#: Least contents, out of 64 classes, among the documents of an edge, or half of its documents: copies of one document
-#: make no edge.
-EDGE_KINDS = 8
+#: Least classes of contents, out of 16, among the documents of an edge, or half of its documents: copies of one
+#: document make no edge.
+EDGE_KINDS = 6
 #: Tokens and number of the shingle minima that tell contents apart.
 SKETCH_TOKENS, SKETCHES = 4, 4
 #: Probability to go on rather than restart at a seed, and steps of the walk.
@@ -205,18 +205,20 @@ def choose_seeds(hashes: np.ndarray, code: np.ndarray, root: np.ndarray, clean:
 
 
 def shared_documents(docs: DataFrame, nodes: np.ndarray, seeds: np.ndarray) -> DataFrame:
-    """(seed, node, n, kinds): in how many documents each seed occurs with each other node, both indexes of ``nodes``.
+    """(seed, node, n): in how many documents each seed occurs with each other node; ``node`` is an index of ``nodes``.
 
-    ``kinds`` has a bit for each of 64 classes of contents that occur among those documents.
+    Cells with fewer documents than EDGE_COUNT are left out, and those whose documents have too few kinds of contents. Tasks sum their own documents; a row
+    of the table travels as one value, and is summed by one task.
     """
     known = docs.sparkSession.sparkContext.broadcast((Filter(nodes), seeds))
+    kinds_of = (np.int32, np.int32, np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seeds = known.value
         rank = np.full(len(words.values), -1)
         rank[seeds] = np.arange(len(seeds))
         width = len(words.values)
-        total, kinds = np.zeros(len(seeds) * width, np.int32), np.zeros(len(seeds) * width, U)
+        total, kinds = np.zeros(len(seeds) * width, np.int32), np.zeros(len(seeds) * width, np.uint16)
         for batch in batches:
             for tokens, chunk in terms(batch.column(1), batch.column(0)):
                 at, which = words.find(chunk.hashes)
@@ -227,16 +229,38 @@ def shared_documents(docs: DataFrame, nodes: np.ndarray, seeds: np.ndarray) -> D
                 mine = np.flatnonzero(rank[node] >= 0)
                 length = count[doc[mine]]
                 cell = np.repeat(rank[node[mine]], length) * width + node[np.repeat(start[doc[mine]], length) + _ranges(length)]
-                kind = U(1) << (mix(sketches(tokens, 1)[:, 0]) >> U(58))
+                kind = (U(1) << (mix(sketches(tokens, 1)[:, 0]) >> U(60))).astype(np.uint16)
                 np.add.at(total, cell, 1)
                 np.bitwise_or.at(kinds, cell, np.repeat(kind[doc[mine]], length))
-        some = np.flatnonzero(total)
-        for lo in range(0, len(some), 1 << 18):
-            part = some[lo : lo + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array((part // width).astype(np.int32)), pa.array((part % width).astype(np.int32)), pa.array(total[part]), pa.array(kinds[part].view(np.int64))], names=["seed", "node", "n", "kinds"])
-
-    mapped = _keyed(docs).select("code", "text").mapInArrow(run, "seed int, node int, n int, kinds long")
-    return mapped.groupBy("seed", "node").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("kinds")).alias("kinds"))
+        for seed in range(len(seeds)):
+            n = total[seed * width : (seed + 1) * width]
+            some = np.flatnonzero(n)
+            if len(some):
+                cells = (np.diff(some, prepend=0), n[some], kinds[seed * width : (seed + 1) * width][some])
+                yield pa.RecordBatch.from_arrays([pa.array([seed], pa.int32()), *(pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip(cells, kinds_of))], names=["seed", "nodes", "ns", "kinds"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, now = len(known.value[0].values), None
+        for batch in batches:
+            for seed, *cells in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if seed != now:
+                    if now is not None:
+                        yield edges(now, n, kinds)
+                    now, n, kinds = seed, np.zeros(width, np.int64), np.zeros(width, np.uint16)
+                gap, number, kind = (np.frombuffer(x, t) for x, t in zip(cells, kinds_of))
+                node = np.cumsum(gap)
+                n[node] += number
+                kinds[node] |= kind
+        if now is not None:
+            yield edges(now, n, kinds)
+
+    def edges(seed: int, n: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
+        classes = np.bitwise_count(kinds)
+        some = np.flatnonzero((n >= EDGE_COUNT) & (classes >= np.minimum(EDGE_KINDS, (n + 1) // 2)))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), seed, np.int32)), pa.array(some.astype(np.int32)), pa.array(n[some])], names=["seed", "node", "n"])
+
+    mapped = _keyed(docs).select("code", "text").mapInArrow(run, "seed int, nodes binary, ns binary, kinds binary")
+    return mapped.repartition("seed").sortWithinPartitions("seed").mapInArrow(add, "seed int, node int, n long")
 
 
 def walk(size: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, origin: np.ndarray, damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
@@ -290,7 +314,7 @@ def induce(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     is_seed[bad] = True
     if not len(bad):
         return Lexicon(words, hashes, np.zeros(len(hashes)), np.zeros(len(hashes)), is_seed)
-    together = shared_documents(docs, hashes, seeds).where((F.col("n") >= EDGE_COUNT) & (F.col("kinds") >= F.least(F.lit(EDGE_KINDS), F.ceil(F.col("n") / 2)))).toArrow()
+    together = shared_documents(docs, hashes, seeds).toArrow()
     a, b, both = seeds[together.column("seed").to_numpy()], together.column("node").to_numpy().astype(np.int64), together.column("n").to_numpy()
     pmi = np.log(both * here[a].astype(float) / (n[a].astype(float) * n[b]))
     use = (pmi > 0) & (a != b) & ~(np.isin(b, seeds) & (a > b)) & (signed_root(both, n[a], n[b], here[a]) >= EDGE_ROOT)
@@ -341,7 +365,7 @@ def _scored(chunk: Chunk, scorer: tuple[Filter, np.ndarray], min_score: float, m
     at, which = words.find(chunk.hashes)
     doc = np.searchsorted(chunk.offsets, at, "right") - 1
     size, tokens = chunk.hi - chunk.lo, chunk.counts
-    total, hits = np.bincount(doc, weight[which], size), np.bincount(doc, minlength=size)
+    total, hits = np.bincount(doc, weight[which], size).astype(float), np.bincount(doc, minlength=size)
     rate = total / np.maximum(tokens, 1)
     toxic = (total >= min_score) & (rate >= min_rate)
     return total, hits.astype(np.int32), tokens.astype(np.int32), rate, toxic.astype(np.int32)
