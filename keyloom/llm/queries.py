@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import compression, decontaminate, linetemplates, minhash, mixing, sharding, substrings, toxicity
+from keyloom.llm import compression, decontaminate, linetemplates, minhash, mixing, sharding, substrings, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, the score of its URL, and whether it is rejected."""
+    return urls.url_filter(_table(spark, sf_dir, "pages"))
+
+
 def op9_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slot and shard of every document."""
     return sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id"))
@@ -54,7 +59,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_compression_bands, op4_repeated_substrings, op5_near_duplicates, op7_decontamination, op9_shard_placement, op10_source_mixing)
+    f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_compression_bands, op4_repeated_substrings, op5_near_duplicates, op7_decontamination, op8_url_language_models, op9_shard_placement, op10_source_mixing)
 }
 
 
