@@ -6,23 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import mixing, sharding
+from keyloom.llm import decontaminate, minhash, mixing, sharding, toxicity
 from keyloom.plans.lineage import cut
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the lexicon induced from them and ``labels`` doesn't reject."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, and all that are in none."""
+    return minhash.one_of_each_group(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that contain no item of ``benchmark``."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the rate of its source says."""
     return mixing.mix(docs, copy_column=None)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their shards."""
     return sharding.assign_shards(docs, slot_column=None)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_stage),
+    ("MinHash near-dedup", near_duplicates_stage),
+    ("benchmark decontamination", decontamination_stage),
     ("mixing sources to target weights", mixing_stage),
     ("sharding", sharding_stage),
 ]
 
+#: SQL can't walk the word graph or hash the signatures; the pipeline is tested against brute force.
 ORACLE_SQL = None
 
 
