@@ -305,7 +305,7 @@ def from_entries(entries: DataFrame) -> DataFrame:
 
     A document of which only the root's type is there is an empty object or array.
     """
-    step = F.regexp_extract_all(F.col("key"), F.lit(r"(?:^|\.)([^.\[]*)|\[(\d+)\]"), F.lit(0))
+    step = F.regexp_extract_all(F.col("key"), F.lit(r"\[(\d+)\]|(?:^|\.)([^.\[]*)"), F.lit(0))
     name = lambda s: F.when(s.startswith("["), F.lit(None).cast("string")).otherwise(F.regexp_replace(s, r"^\.", ""))
     idx = lambda s: F.when(s.startswith("["), F.regexp_extract(s, r"\d+", 0).cast("bigint"))
     segments = F.filter(F.transform(step, lambda s: F.struct(name(s).alias("name"), idx(s).alias("idx"))), lambda s: s["idx"].isNotNull() | (s["name"] != ""))

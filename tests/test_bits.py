@@ -1,0 +1,96 @@
+"""Bit fields, variable-length integers and UTF-8."""
+
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from keyloom.functions import bits
+
+NUMBERS = [0, 1, -1, 63, 64, 127, 128, -128, 16383, 16384, 2147483647, -2147483648, (1 << 63) - 1, -(1 << 63)]
+
+
+def values(spark, rows, schema, *columns):
+    return [tuple(r) for r in spark.createDataFrame(rows, schema).coalesce(1).select(*columns).collect()]
+
+
+def leb(n):
+    out = b""
+    while True:
+        n, low = n >> 7, n & 127
+        out += bytes([low | (128 if n else 0)])
+        if not n:
+            return out
+
+
+def test_varints(spark):
+    got = values(spark, [(n,) for n in NUMBERS], "x bigint", bits.varint(F.col("x")), bits.read_varint(bits.varint(F.col("x"))), bits.varint_bits(F.col("x")), bits.varint_length(bits.varint(F.col("x"))))
+    for n, (code, back, size, length) in zip(NUMBERS, got):
+        u = n % (1 << 64)
+        assert bytes(code) == leb(u) and int(back) == u and length == len(leb(u))
+        assert size == (8 * len(leb(u)) if n >= 0 else None)
+
+
+def test_zigzag(spark):
+    for n, (z, back, code, again) in zip(NUMBERS, values(spark, [(n,) for n in NUMBERS], "x bigint", bits.zigzag(F.col("x")), bits.unzigzag(bits.zigzag(F.col("x"))), bits.signed_varint(F.col("x")), bits.read_signed_varint(bits.signed_varint(F.col("x"))))):
+        want = 2 * n if n >= 0 else -2 * n - 1
+        assert z % (1 << 64) == want and back == n and bytes(code) == leb(want) and again == n
+
+
+def test_cut_and_long_varints_are_null(spark):
+    data = [(bytearray(b),) for b in (b"", b"\x80", b"\xff" * 9 + b"\x02", b"\xff" * 10 + b"\x01", b"\xff" * 9 + b"\x01", b"\x00\x85\x01")]
+    got = values(spark, data, "b binary", bits.read_varint(F.col("b")), bits.read_varint(F.col("b"), F.lit(1)))
+    assert [x and int(x) for x, _ in got] == [None, None, None, None, (1 << 64) - 1, 0]
+    assert int(got[-1][1]) == 133
+
+
+def test_fields_at_bit_positions(spark):
+    b = bits.bit_string(F.col("b"))
+    ((text, u, s, whole, past),) = values(spark, [(bytearray(b"\xa5\xf0" + b"\xff" * 8),)], "b binary", b, bits.read_bits(b, F.lit(3), 5), bits.read_bits_signed(b, F.lit(0), 3), bits.read_bits(b, F.lit(16), 64), bits.read_bits(b, F.lit(77), 5))
+    assert text.startswith("1010010111110000") and (int(u), s, int(whole), past) == (5, -3, (1 << 64) - 1, None)
+
+
+def test_bits_to_bytes_and_back(spark):
+    rows = [("",), ("1",), ("10100101",), ("101001011",)]
+    got = values(spark, rows, "t string", bits.bytes_of(F.col("t")), bits.bit_string(bits.bytes_of(F.col("t"))))
+    assert [bytes(x) for x, _ in got] == [b"", b"\x80", b"\xa5", b"\xa5\x80"]
+    assert [t for _, t in got] == ["", "10000000", "10100101", "1010010110000000"]
+
+
+@pytest.mark.parametrize("size", [1, 2, 4, 8])
+def test_fixed_width_numbers(spark, size):
+    rows = [(0,), (1,), (-1,), (123456789,)]
+    for (n,), (code, back) in zip(rows, values(spark, rows, "x bigint", bits.write_uint(F.col("x"), size), bits.read_uint(bits.write_uint(F.col("x"), size), F.lit(0), size))):
+        u = n % (1 << 8 * size)
+        assert bytes(code) == u.to_bytes(size, "big") and int(back) == u
+
+
+def test_written_bits(spark):
+    got = values(spark, [(5,), (-1,)], "x bigint", bits.write_bits(F.col("x"), 4), bits.align(bits.write_bits(F.col("x"), 4)))
+    assert got == [("0101", "01010000"), ("1111", "11110000")]
+
+
+def test_positions(spark):
+    got = values(spark, [(0,), (1,), (8,), (9,)], "p int", bits.aligned(F.col("p")), bits.is_aligned(F.col("p")))
+    assert got == [(0, True), (8, False), (8, True), (16, False)]
+    with pytest.raises(Exception, match="beyond the end"):
+        values(spark, [(9,)], "p int", bits.seek(F.lit("10101010"), F.col("p")))
+
+
+def test_utf8(spark):
+    points = [0, 0x7F, 0x80, 0x7FF, 0x800, 0xFFFF, 0x10000, 0x10FFFF, 0xD800, 0x110000]
+    got = values(spark, [(p,) for p in points], "c int", bits.utf8(F.col("c")), bits.utf8_length(F.col("c")))
+    for p, (code, n) in zip(points, got):
+        want = None if 0xD800 <= p <= 0xDFFF or p > 0x10FFFF else chr(p).encode()
+        assert (code and bytes(code)) == want and n == (want and len(want))
+    ((codes,), (none,), (null,)) = values(spark, [("aé東😀",), ("",), (None,)], "t string", bits.code_points(F.col("t")))
+    assert codes == [ord(c) for c in "aé東😀"] and none == [] and null is None
+    got = values(spark, [(bytearray(b),) for b in (b"ok", b"\xc0\x80", b"\xed\xa0\x80")], "b binary", bits.is_utf8(F.col("b")))
+    assert [x for (x,) in got] == [True, False, False]
+
+
+def test_checksums(spark):
+    ((crc, text, sha),) = values(spark, [(bytearray(b"123456789"),)], "b binary", bits.crc32(F.col("b")), bits.checksum(F.col("b")), bits.checksum(F.col("b"), "sha256"))
+    assert crc == 0xCBF43926 == zlib.crc32(b"123456789") and text == "cbf43926" and sha.startswith("15e2b0d3")
+    with pytest.raises(ValueError):
+        bits.checksum(F.col("b"), "md4")
