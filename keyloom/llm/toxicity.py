@@ -204,63 +204,77 @@ def choose_seeds(hashes: np.ndarray, code: np.ndarray, root: np.ndarray, clean:
     return np.concatenate(bad or none), np.concatenate(good or none)
 
 
-def shared_documents(docs: DataFrame, nodes: np.ndarray, seeds: np.ndarray) -> DataFrame:
-    """(seed, node, n): in how many documents each seed occurs with each other node; ``node`` is an index of ``nodes``.
+def edges(docs: DataFrame, nodes: np.ndarray, code: np.ndarray, seeds: np.ndarray, number: np.ndarray, total: np.ndarray) -> DataFrame:
+    """(seed, node, pmi): the edges of the graph; ``seed`` is an index of ``seeds``, ``node`` one of ``nodes``.
 
-    Cells with fewer documents than EDGE_COUNT are left out, and those whose documents have too few kinds of contents. Tasks sum their own documents; a row
-    of the table travels as one value, and is summed by one task.
+    Nodes occur in ``number`` of the ``total`` documents of their language. Tasks count in how many of their own documents
+    a seed meets each node; a row of that table travels as one value, and one task sums it, leaves out
+    what is no edge (see EDGE_COUNT, EDGE_KINDS, EDGE_ROOT) and weighs the others by positive mutual information.
     """
-    known = docs.sparkSession.sparkContext.broadcast((Filter(nodes), seeds))
+    _, lang, sizes = np.unique(code, return_inverse=True, return_counts=True)
+    by_lang = np.argsort(lang, kind="stable")
+    first = np.cumsum(sizes) - sizes
+    local = np.empty(len(code), np.int64)
+    local[by_lang] = np.arange(len(code)) - first[lang[by_lang]]
+    # a seed has a cell for each node of its language
+    width, origin = sizes[lang[seeds]], first[lang[seeds]]
+    base = np.append(0, np.cumsum(width))
+    known = docs.sparkSession.sparkContext.broadcast((Filter(nodes), seeds, number, total, by_lang, local, width, origin, base))
     kinds_of = (np.int32, np.int32, np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seeds = known.value
+        words, seeds, _, _, _, local, width, _, base = known.value
         rank = np.full(len(words.values), -1)
         rank[seeds] = np.arange(len(seeds))
-        width = len(words.values)
-        total, kinds = np.zeros(len(seeds) * width, np.int32), np.zeros(len(seeds) * width, np.uint16)
+        number = len(words.values)
+        total, kinds = np.zeros(base[-1], np.int32), np.zeros(base[-1], np.uint16)
         for batch in batches:
             for tokens, chunk in terms(batch.column(1), batch.column(0)):
                 at, which = words.find(chunk.hashes)
-                pair = np.unique(chunk.doc_of()[at] * width + which)
-                doc, node = pair // width, pair % width
+                pair = np.unique(chunk.doc_of()[at] * number + which)
+                doc, node = pair // number, pair % number
                 count = np.bincount(doc, minlength=chunk.hi - chunk.lo)
                 start = np.cumsum(count) - count
                 mine = np.flatnonzero(rank[node] >= 0)
                 length = count[doc[mine]]
-                cell = np.repeat(rank[node[mine]], length) * width + node[np.repeat(start[doc[mine]], length) + _ranges(length)]
+                cell = np.repeat(base[rank[node[mine]]], length) + local[node[np.repeat(start[doc[mine]], length) + _ranges(length)]]
                 kind = (U(1) << (mix(sketches(tokens, 1)[:, 0]) >> U(60))).astype(np.uint16)
                 np.add.at(total, cell, 1)
                 np.bitwise_or.at(kinds, cell, np.repeat(kind[doc[mine]], length))
         for seed in range(len(seeds)):
-            n = total[seed * width : (seed + 1) * width]
-            some = np.flatnonzero(n)
+            mine = slice(base[seed], base[seed + 1])
+            some = np.flatnonzero(total[mine])
             if len(some):
-                cells = (np.diff(some, prepend=0), n[some], kinds[seed * width : (seed + 1) * width][some])
+                cells = (np.diff(some, prepend=0), total[mine][some], kinds[mine][some])
                 yield pa.RecordBatch.from_arrays([pa.array([seed], pa.int32()), *(pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip(cells, kinds_of))], names=["seed", "nodes", "ns", "kinds"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, now = len(known.value[0].values), None
+        width, now = known.value[6], None
         for batch in batches:
             for seed, *cells in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if seed != now:
                     if now is not None:
-                        yield edges(now, n, kinds)
-                    now, n, kinds = seed, np.zeros(width, np.int64), np.zeros(width, np.uint16)
+                        yield weighed(now, n, kinds)
+                    now, n, kinds = seed, np.zeros(width[seed], np.int64), np.zeros(width[seed], np.uint16)
                 gap, number, kind = (np.frombuffer(x, t) for x, t in zip(cells, kinds_of))
                 node = np.cumsum(gap)
                 n[node] += number
                 kinds[node] |= kind
         if now is not None:
-            yield edges(now, n, kinds)
-
-    def edges(seed: int, n: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
-        classes = np.bitwise_count(kinds)
-        some = np.flatnonzero((n >= EDGE_COUNT) & (classes >= np.minimum(EDGE_KINDS, (n + 1) // 2)))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), seed, np.int32)), pa.array(some.astype(np.int32)), pa.array(n[some])], names=["seed", "node", "n"])
+            yield weighed(now, n, kinds)
+
+    def weighed(seed: int, n: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
+        _, seeds, number, total, by_lang, _, width, origin, _ = known.value
+        me, here = seeds[seed], by_lang[origin[seed] : origin[seed] + width[seed]]
+        cell = np.flatnonzero((n >= EDGE_COUNT) & (np.bitwise_count(kinds) >= np.minimum(EDGE_KINDS, (n + 1) // 2)))
+        some, n = here[cell], n[cell]
+        pmi = np.log(n * float(total[me]) / (float(number[me]) * number[some]))
+        good = (pmi > 0) & (some != me) & (signed_root(n, number[me], number[some], total[me]) >= EDGE_ROOT)
+        some = some[good]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), seed, np.int32)), pa.array(some.astype(np.int32)), pa.array(pmi[good])], names=["seed", "node", "pmi"])
 
     mapped = _keyed(docs).select("code", "text").mapInArrow(run, "seed int, nodes binary, ns binary, kinds binary")
-    return mapped.repartition("seed").sortWithinPartitions("seed").mapInArrow(add, "seed int, node int, n long")
+    return mapped.repartition("seed").sortWithinPartitions("seed").mapInArrow(add, "seed int, node int, pmi double")
 
 
 def walk(size: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, origin: np.ndarray, damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
@@ -314,10 +328,9 @@ def induce(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     is_seed[bad] = True
     if not len(bad):
         return Lexicon(words, hashes, np.zeros(len(hashes)), np.zeros(len(hashes)), is_seed)
-    together = shared_documents(docs, hashes, seeds).toArrow()
-    a, b, both = seeds[together.column("seed").to_numpy()], together.column("node").to_numpy().astype(np.int64), together.column("n").to_numpy()
-    pmi = np.log(both * here[a].astype(float) / (n[a].astype(float) * n[b]))
-    use = (pmi > 0) & (a != b) & ~(np.isin(b, seeds) & (a > b)) & (signed_root(both, n[a], n[b], here[a]) >= EDGE_ROOT)
+    graph = edges(docs, hashes, code, seeds, n, here).toArrow()
+    a, b, pmi = seeds[graph.column("seed").to_numpy()], graph.column("node").to_numpy().astype(np.int64), graph.column("pmi").to_numpy()
+    use = ~(np.isin(b, seeds) & (a > b))
     a, b, pmi = a[use], b[use], pmi[use]
     out = polarity(code, a, b, pmi, bad, good)
     return Lexicon(words, hashes, out, (toxic + PRIOR * np.maximum(out, 0)) / (toxic + clean + PRIOR), is_seed)
