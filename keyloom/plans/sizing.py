@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most rows that are ever collected for a broadcast. 200k narrow rows are a few MB.
 MAX_BROADCAST_ROWS = 200_000
 
+#: Bytes of an Arrow batch of texts, in a session that keeps Spark's default. A task holds several batches at once, in
+#: the JVM and in Python.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_texts(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(f, schema)`` in batches of at most BATCH_BYTES, unless the session names a size of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, "67108864b") == "67108864b":
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
+    return df.mapInArrow(f, schema)
+
 
 def collect_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> list | None:
     """The rows of ``df`` if there are at most ``max_rows``, else None.
