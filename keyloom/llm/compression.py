@@ -9,6 +9,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.plans.sizing import map_texts
+
 LEVEL = 3
 CHUNK_BYTES = 4096
 #: (least bytes, lowest ratio, highest ratio) of compressed to plain bytes. Frame overhead makes short texts look
@@ -73,7 +75,7 @@ def compression_bands(docs: DataFrame, bands=BANDS, chunk_bytes: int = CHUNK_BYT
             columns = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, SCHEMA)
 
 
 def kept(docs: DataFrame, **limits) -> DataFrame:

@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.minhash import with_key
+from keyloom.llm.minhash import key_of
 from keyloom.llm.tokens import U, Chunk, chunks, mix, windows
 from keyloom.plans.lineage import cut, sized
+from keyloom.plans.names import fresh
+from keyloom.plans.sizing import map_texts
 
 #: Tokens of a shingle, and the least share of an item's shingles that a window of the item's size must hold.
 SHINGLE_TOKENS = 3
@@ -116,7 +118,7 @@ def corpus_frequency(docs: DataFrame, items: Items, n: int = SHINGLE_TOKENS) ->
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(known.value.values[some].view(np.int64)), pa.array(total[some])], names=["shingle", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = map_texts(docs.select("text"), run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     return {r.shingle: r.n for r in counted.toLocalIterator()}
 
 
@@ -221,7 +223,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     stays null. Empty tables give an empty one. Other columns aren't read. ``key`` tells rows of one doc_id apart.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), F.col("text").cast("string").alias("text"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of().alias("key"), F.col("text").cast("string").alias("text"))
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     parts = max(1, -(-wanted.count() // items_per_pass))
     out = None
@@ -254,7 +256,7 @@ def _one_pass(spark, keyed: DataFrame, wanted: DataFrame, containment: float, n:
                     columns = [batch.column(0).take(where), batch.column(1).take(where), pa.array(ids, mask=ids == _NULL_ID), *(pa.array(x.astype(np.int32)) for x in (best, known.needed[i], known.total[i], token))]
                     yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return keyed.mapInArrow(run, SCHEMA)
+    return map_texts(keyed, run, SCHEMA)
 
 
 _NULL_ID = -(1 << 63)
@@ -265,6 +267,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, **parameters) ->
 
     The keys of contaminated documents are joined; Spark broadcasts them if they are few.
     """
-    gone = cut(contaminated(docs, benchmark, **parameters).select(F.col("key").alias("__key")).distinct(), "contaminated")
-    left = with_key(docs).join(sized(gone), "__key", "left_anti")
-    return left.select(*[F.col(c).cast(t).alias(c) for c, t in docs.dtypes])
+    (key,) = fresh(docs, "__key")
+    gone = cut(contaminated(docs, benchmark, **parameters).select(F.col("key").alias(key)).distinct(), "contaminated")
+    return docs.withColumn(key, key_of()).join(sized(gone), key, "left_anti").select(*docs.columns)

@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.tokens import Chunk, U, chunks, mix, windows
 from keyloom.plans.lineage import cut, drop, sized
+from keyloom.plans.names import fresh
+from keyloom.plans.sizing import map_texts
 
 #: Tokens of a shingle; bins of a signature; values in a band. Four 16-bit values fill a 64-bit band.
 SHINGLE_TOKENS = 3
@@ -77,12 +79,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                 where = pa.array(some + chunk.lo)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), lists], names=["doc_id", "key", "bands"])
 
-    return with_key(docs).select("doc_id", "__key", "text").mapInArrow(run, SIGNATURES)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of().alias("key"), F.col("text").cast("string").alias("text")), run, SIGNATURES)
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__key``, equal for rows of equal id and text only (but for collisions of 64 bits)."""
-    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("__key", F.xxhash64("doc_id", "text"))
+def key_of() -> Column:
+    """Equal for rows of equal id and text only (but for collisions of 64 bits)."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def star_edges(sigs: DataFrame) -> DataFrame:
@@ -162,13 +164,13 @@ def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     Of rows with equal id and text one stays, if they have tokens; rows without tokens all stay. The keys to drop are
     broadcast if they are few, else joined by a shuffle.
     """
-    keyed = with_key(docs)
-    gone = cut(near_duplicates(docs, threshold).where("key != keep_key").select(F.col("key").alias("__key")).distinct(), "dropped")
-    left = keyed.join(sized(gone), "__key", "left_anti")
-    lettered = F.col("text").rlike("[\\p{L}\\p{N}]|[^\\x00-\\x7F]")
-    again = cut(with_key(docs.select("doc_id", "text")).groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key"), "repeated")
+    (key,) = fresh(docs, "__key")
+    keyed = docs.withColumn(key, key_of())
+    gone = cut(near_duplicates(docs, threshold).where("key != keep_key").select(F.col("key").alias(key)).distinct(), "dropped")
+    left = keyed.join(sized(gone), key, "left_anti")
+    again = cut(docs.select(key_of().alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "repeated")
     if again.count():
-        twice = left.join(sized(again), "__key", "left_semi")
-        left = left.join(sized(again), "__key", "left_anti").unionByName(twice.where(lettered).dropDuplicates(["__key"])).unionByName(twice.where(~F.coalesce(lettered, F.lit(False))))
-    return left.select(*[F.col(c).cast(t).alias(c) for c, t in docs.dtypes])
-
+        lettered = F.coalesce(F.col("text").cast("string").rlike("[A-Za-z0-9]|[^\\x00-\\x7F]"), F.lit(False))
+        twice = left.join(sized(again), key, "left_semi")
+        left = left.join(sized(again), key, "left_anti").unionByName(twice.where(lettered).dropDuplicates([key])).unionByName(twice.where(~lettered))
+    return left.select(*docs.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.plans.names import fresh
 from keyloom.plans.sizing import small_side
 
 #: Exponent of the token counts that gives the default target weights: below 1, small sources gain.
@@ -52,14 +53,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     texts have 0 tokens; a null ``doc_id`` draws as ''; repeated rows draw alike; an empty table gives an empty one;
     other columns are passed on.
     """
-    rates = small_side(source_rates(docs, weights, alpha, epochs).select(F.col("source").alias("__src"), F.col("rate").alias("__rate")))
-    joined = docs.join(rates, docs["source"].cast("string").eqNullSafe(rates["__src"]), "inner")
-    whole = F.floor("__rate")
-    times = (whole + (unit_draw(F.col("doc_id"), seed) < F.col("__rate") - whole).cast("long")).cast("int")
-    copies = joined.withColumn("__n", times).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    src, rate, n, number = fresh(docs, "__src", "__rate", "__n", "__copy")
+    rates = small_side(source_rates(docs, weights, alpha, epochs).select(F.col("source").alias(src), F.col("rate").alias(rate)))
+    joined = docs.join(rates, docs["source"].cast("string").eqNullSafe(rates[src]), "inner")
+    whole = F.floor(rate)
+    times = (whole + (unit_draw(F.col("doc_id"), seed) < F.col(rate) - whole).cast("long")).cast("int")
+    copies = joined.withColumn(n, times).where(F.col(n) > 0).withColumn(number, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     if copy_column is None:
-        return copies.select(*[copies[c] for c in docs.columns])
-    return copies.select(*[copies[c] for c in docs.columns if c != copy_column], F.col("__copy").alias(copy_column))
+        return copies.select(*docs.columns)
+    return copies.select(*[c for c in docs.columns if c != copy_column], F.col(number).alias(copy_column))
 
 
 ORACLE_SQL = f"""

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.plans.names import fresh
+
 #: Slots of the table, a prime; at least 100 slots a shard keep loads within one per cent of each other.
 TABLE_SIZE = 65537
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
@@ -60,11 +62,12 @@ def assign_shards(docs: DataFrame, shards: list[str] = SHARDS, size: int = TABLE
     shard; null keys are placed as ''. Texts aren't read. An empty table gives an empty one. Input columns
     named as ``slot_column`` or ``shard_column`` are replaced, others passed on.
     """
-    table = [(slot, shards[i]) for slot, i in enumerate(lookup_table(shards, size).tolist())]
-    placed = F.broadcast(docs.sparkSession.createDataFrame(table, "__slot int, __shard string"))
-    new = {slot_column: "__slot"} if slot_column else {}
-    joined = docs.withColumn("__at", slot_of(F.col(key), size)).join(placed, F.col("__at") == F.col("__slot"))
-    return joined.select(*[joined[c] for c in docs.columns if c not in (slot_column, shard_column)], *[F.col(v).alias(k) for k, v in (new | {shard_column: "__shard"}).items()])
+    at, slot, shard = fresh(docs, "__at", "__slot", "__shard")
+    table = [(k, shards[i]) for k, i in enumerate(lookup_table(shards, size).tolist())]
+    placed = F.broadcast(docs.sparkSession.createDataFrame(table, f"{slot} int, {shard} string"))
+    new = {slot_column: slot} if slot_column else {}
+    joined = docs.withColumn(at, slot_of(F.col(key), size)).join(placed, F.col(at) == F.col(slot))
+    return joined.select(*[c for c in docs.columns if c not in (slot_column, shard_column)], *[F.col(v).alias(k) for k, v in (new | {shard_column: shard}).items()])
 
 
 def oracle_sql(shards: list[str] = SHARDS, size: int = TABLE_SIZE) -> str:

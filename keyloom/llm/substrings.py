@@ -10,7 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm.minhash import key_of
 from keyloom.llm.tokens import U, chunks, mix, windows
+from keyloom.plans.names import fresh
+from keyloom.plans.sizing import map_texts
 
 #: Tokens of a window.
 WINDOW_TOKENS = 50
@@ -18,8 +21,8 @@ WINDOW_TOKENS = 50
 MINIMIZER_TOKENS = 4
 #: Bytes of input for one bucket; the number of buckets follows the size of the input.
 BUCKET_BYTES = 1 << 18
-#: Chunks (of 1 MB of text) in which a task looks for repeats before it sends windows on.
-FLUSH = 8
+#: Chunks (of half a MB of text) in which a task looks for repeats before it sends windows on.
+FLUSH = 16
 #: Windows that are counted at a time, in whole buckets.
 COUNT_WINDOWS = 1 << 20
 
@@ -178,7 +181,7 @@ def repeats(docs: DataFrame, n: int = WINDOW_TOKENS, bucket_bytes: int = BUCKET_
     Null, empty and short texts have no window. Rows of equal id and text count as one document; ``key`` tells rows of
     one id apart. A null id comes before others. An empty table gives an empty one; other columns aren't read.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of().alias("key"), F.col("text").cast("string").alias("text"))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = max(64, min(1 << 40, size // bucket_bytes))
 
@@ -224,7 +227,7 @@ def repeats(docs: DataFrame, n: int = WINDOW_TOKENS, bucket_bytes: int = BUCKET_
             where = pa.array(which)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(removed)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    sent = keyed.mapInArrow(send, _ROWS).repartition("bucket").sortWithinPartitions("bucket")
+    sent = map_texts(keyed, send, _ROWS).repartition("bucket").sortWithinPartitions("bucket")
     runs = sent.mapInArrow(receive, _RUNS)
     return runs.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "length", "again")).alias("runs")).mapInArrow(merge, SCHEMA)
 
@@ -240,15 +243,15 @@ def without_repeats(docs: DataFrame, n: int = WINDOW_TOKENS) -> DataFrame:
 
     What lies between the first removed token and the next one that stays is cut. The intervals are joined by key.
     """
-    gone = repeats(docs, n).where("removed").groupBy(F.col("key").alias("__key")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    joined = keyed.join(gone, "__key", "left").select(*[keyed[c] for c in docs.columns], "__cuts")
+    key, cuts = fresh(docs, "__key", "__cuts")
+    gone = repeats(docs, n).where("removed").groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts))
+    joined = docs.withColumn(key, key_of()).join(gone, key, "left").select(*docs.columns, cuts)
     names, at, width = docs.columns, docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, cuts = batch.column(at), batch.column(width)
-            some = np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False))
+            texts, lists = batch.column(at), batch.column(width)
+            some = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
             columns = [batch.column(k) for k in range(width)]
             if len(some):
                 new = texts.to_pylist()
@@ -259,11 +262,11 @@ def without_repeats(docs: DataFrame, n: int = WINDOW_TOKENS) -> DataFrame:
                         base = chunk.bounds[d - chunk.lo]
                         starts = chunk.starts[a:b] - base
                         kept, here = [], 0
-                        for cut in cuts[int(some[d])].as_py():
+                        for cut in lists[int(some[d])].as_py():
                             kept.append(raw[here : starts[cut["start"]]])
                             here = starts[cut["end"]] if cut["end"] < len(starts) else len(raw)
                         new[some[d]] = b"".join([*kept, raw[here:]]).decode("utf-8", "replace")
                 columns[at] = pa.array(new, texts.type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return map_texts(joined, run, docs.schema)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from keyloom.llm.decontaminate import Filter, _ranges
 from keyloom.llm.tokens import Chunk, U, chunks, mix, stems, windows
 from keyloom.plans.lineage import cut, drop
+from keyloom.plans.names import fresh
+from keyloom.plans.sizing import map_texts
 
 #: Most labelled documents whose terms choose the seeds.
 MAX_LABELLED = 50_000
@@ -39,8 +41,8 @@ DAMPING, STEPS = 0.5, 40
 MIN_POLARITY, MIN_SHARE, PRIOR = 0.5, 0.3, 2.0
 #: A document is toxic if the weights of its terms sum to as much, and are as large a share of its tokens.
 MIN_SCORE, MIN_RATE = 1.0, 0.006
-#: Chunks whose counts a task holds before it emits them.
-FLUSH = 64
+#: Chunks whose counts a task sums up at a time, and the most distinct terms that it holds before it sends them.
+FLUSH, MOST_TERMS = 16, 300_000
 
 _COUNTS = "hash long, word string, code long, n long, toxic long, clean long"
 _LABELLED = "key long, code long, toxic int"
@@ -127,7 +129,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
                 s = sketches(chunk).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(k)[part] for k in range(3)] + [pa.array(s[:, k]) for k in range(SKETCHES)], names=["key", "code", "toxic", *(f"s{k}" for k in range(SKETCHES))])
 
-    rows = joined.mapInArrow(run, _LABELLED + "".join(f", s{k} long" for k in range(SKETCHES))).toArrow().sort_by("key")
+    rows = map_texts(joined, run, _LABELLED + "".join(f", s{k} long" for k in range(SKETCHES))).toArrow().sort_by("key")
     fresh = np.ones(rows.num_rows, bool)
     for k in range(SKETCHES):
         s = rows.column(f"s{k}").to_numpy()
@@ -144,13 +146,17 @@ def word_counts(docs: DataFrame, sample: pa.Table) -> DataFrame:
     """
     known = docs.sparkSession.sparkContext.broadcast((sample.column("key").to_numpy(), sample.column("toxic").to_numpy()))
 
-    def emit(held: list) -> pa.RecordBatch:
+    def summed(held: list) -> tuple:
         hashes = np.concatenate([x[0] for x in held])
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        words = pa.chunked_array([x[1] for x in held]).combine_chunks().take(pa.array(first)).cast(pa.string())
+        words = pa.chunked_array([x[1] for x in held]).combine_chunks().take(pa.array(first))
         codes = np.concatenate([x[2] for x in held])[first]
-        sums = [np.bincount(which, np.concatenate([x[k] for x in held]), len(first)).astype(np.int64) for k in (3, 4, 5)]
-        return pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), words, pa.array(codes), *map(pa.array, sums)], names=[x.split()[0] for x in _COUNTS.split(", ")])
+        return hashes[first], words, codes, *(np.bincount(which, np.concatenate([x[k] for x in held]), len(first)).astype(np.int64) for k in (3, 4, 5))
+
+    def sent(hashes: np.ndarray, words: pa.Array, *rest: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(hashes), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[part].view(np.int64)), words[part].cast(pa.string()), *(pa.array(x[part]) for x in rest)], names=[x.split()[0] for x in _COUNTS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, labels = known.value
@@ -165,13 +171,14 @@ def word_counts(docs: DataFrame, sample: pa.Table) -> DataFrame:
                 kind = toxic[chunk.lo : chunk.hi][doc]
                 code = codes[chunk.lo : chunk.hi][np.searchsorted(chunk.offsets, first, "right") - 1]
                 held.append((chunk.hashes[first], _words(chunk, first), code, np.bincount(word, minlength=len(first)), *(np.bincount(word[kind == k], minlength=len(first)) for k in (1, 0))))
-                if len(held) == FLUSH:
-                    yield emit(held)
-                    held = []
+                if len(held) > FLUSH:
+                    held = [summed(held)]
+                    if len(held[0][0]) > MOST_TERMS:
+                        yield from sent(*held.pop())
         if held:
-            yield emit(held)
+            yield from sent(*summed(held))
 
-    return _keyed(docs).select("key", "code", "text").mapInArrow(run, _COUNTS).groupBy("hash", "code").agg(F.min("word").alias("word"), *[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
+    return map_texts(_keyed(docs).select("key", "code", "text"), run, _COUNTS).groupBy("hash", "code").agg(F.min("word").alias("word"), *[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
 
 
 def signed_root(k: np.ndarray, n: np.ndarray, m: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -273,7 +280,7 @@ def edges(docs: DataFrame, nodes: np.ndarray, code: np.ndarray, seeds: np.ndarra
         some = some[good]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), seed, np.int32)), pa.array(some.astype(np.int32)), pa.array(pmi[good])], names=["seed", "node", "pmi"])
 
-    mapped = _keyed(docs).select("code", "text").mapInArrow(run, "seed int, nodes binary, ns binary, kinds binary")
+    mapped = map_texts(_keyed(docs).select("code", "text"), run, "seed int, nodes binary, ns binary, kinds binary")
     return mapped.repartition("seed").sortWithinPartitions("seed").mapInArrow(add, "seed int, node int, pmi double")
 
 
@@ -363,7 +370,7 @@ def score(docs: DataFrame, lexicon: Lexicon, min_score: float = MIN_SCORE, min_r
                 columns = _scored(chunk, known.value, min_score, min_rate)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, chunk.hi - chunk.lo), *map(pa.array, columns)], names=[x.split()[0] for x in SCORES.split(", ")])
 
-    return _keyed(docs).select("doc_id", "code", "text").mapInArrow(run, SCORES)
+    return map_texts(_keyed(docs).select("doc_id", "code", "text"), run, SCORES)
 
 
 def _scorer(lexicon: Lexicon) -> tuple[Filter, np.ndarray]:
@@ -392,12 +399,12 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, **parameters) -> DataFra
 def without_toxic(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE, min_rate: float = MIN_RATE, **parameters) -> DataFrame:
     """The rows of ``docs`` that aren't toxic, columns as they are; a map over the rows, without a join."""
     known = docs.sparkSession.sparkContext.broadcast(_scorer(induce(docs, labels, **parameters).keep()))
-    width = len(docs.columns)
+    at, width = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean = [_scored(chunk, known.value, min_score, min_rate)[-1] == 0 for _, chunk in terms(batch.column(width), batch.column(width + 1))]
+            clean = [_scored(chunk, known.value, min_score, min_rate)[-1] == 0 for _, chunk in terms(batch.column(at), batch.column(width))]
             if clean:
                 yield batch.select(range(width)).filter(pa.array(np.concatenate(clean)))
 
-    return docs.select("*", F.col("text").cast("string").alias("__text"), _code(docs).alias("__code")).mapInArrow(run, docs.schema)
+    return map_texts(docs.withColumn(*fresh(docs, "__code"), _code(docs)), run, docs.schema)
