@@ -18,9 +18,9 @@ from keyloom.plans.sizing import map_texts
 SHINGLE_TOKENS = 3
 BINS = 192
 ROWS = 4
-#: Least share of equal bins, an estimate of the Jaccard similarity of two shingle sets. Copies with a few edits lie
-#: above 0.5, unrelated texts below 0.25.
-THRESHOLD = 0.4
+#: Least share of equal bins, an estimate of the Jaccard similarity of two shingle sets: half of the union. Copies with a few
+#: edits lie above it, short texts with the same boilerplate line below.
+THRESHOLD = 0.5
 
 #: PREFERENCE[a, j]: the bin that empty bin j asks at its attempt a; a permutation for each j.
 PREFERENCE = np.argsort(np.random.default_rng(7).random((BINS, BINS)), axis=0)
@@ -47,7 +47,8 @@ def signatures_of(chunk: Chunk, n: int = SHINGLE_TOKENS) -> tuple[np.ndarray, np
         h, doc = np.concatenate([h, whole]), np.concatenate([doc, short])
     bits = U(max(1, len(counts).bit_length()))
     order = np.sort((doc.astype(U) << (U(64) - bits)) | (h >> bits))
-    doc, h = (order >> (U(64) - bits)).astype(np.int64), order << bits
+    # the same 40 bits of a hash count, however many documents a chunk has
+    doc, h = (order >> (U(64) - bits)).astype(np.int64), (order << bits) & U(0xFFFFFFFFFF000000)
     at = doc * BINS + (((h >> U(32)) * U(BINS)) >> U(32)).astype(np.int64)
     least = np.flatnonzero(np.diff(at, prepend=-1))
     sig, filled = np.zeros(len(counts) * BINS, np.uint16), np.zeros(len(counts) * BINS, bool)
