@@ -130,13 +130,14 @@ def count(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, lengths: np.nda
     w = np.flatnonzero(many)
     if len(w):
         w = w[np.lexsort((at[w], keys[run[w]], ids[run[w]], hashes[w]))]
-        w = w[_breaks(hashes[w], keys[run[w]], at[w])]
-        head = _breaks(hashes[w])
-        again = np.ones(len(w), bool)
-        again[head] = False
-        group = np.cumsum(~again) - 1
-        repeated = (np.bincount(group) > 1) | (np.bincount(group, states[run[w]] == FIRST) > 0)
-        w, again = w[repeated[group]], again[repeated[group]]
+        new = np.zeros(len(w), bool)
+        new[_breaks(hashes[w])] = True
+        group = np.cumsum(new) - 1
+        place = np.zeros(len(w), bool)
+        place[_breaks(hashes[w], keys[run[w]], at[w])] = True  # else a row that occurs again
+        repeated = (np.bincount(group, place) > 1) | (np.bincount(group, states[run[w]] == FIRST) > 0)
+        use = place & repeated[group]
+        w, again = w[use], ~new[use]
         by = np.lexsort((at[w], again, keys[run[w]], ids[run[w]]))
         w, again = w[by], again[by]
         doc, key, place = ids[run[w]], keys[run[w]], at[w]
