@@ -1,0 +1,54 @@
+"""Compression bands."""
+
+import random
+import string
+
+import zstandard
+from pyspark.sql import functions as F
+
+from keyloom.llm import compression as C
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(n, seed=0):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9))) for _ in range(800)]
+    return " ".join(rng.choices(words, k=n))
+
+
+def noise(n, seed=0):
+    rng = random.Random(seed)
+    return "".join(chr(rng.randint(0x3400, 0x9000)) for _ in range(n))
+
+
+def test_repetitive_and_incompressible_texts_go(spark):
+    rows = [(1, prose(500)), (2, "buy now " * 500), (3, noise(3000)), (4, prose(3000) + " spam" * 6000), (5, prose(3000))]
+    got = {r.doc_id: r.reason for r in C.compression_bands(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)).collect()}
+    assert got == {1: None, 2: "repetitive", 3: "incompressible", 4: got[4], 5: None} and got[4] in ("repetitive", "chunks")
+
+
+def test_measures_by_definition():
+    z = zstandard.ZstdCompressor(level=C.LEVEL)
+    text = prose(4000).encode()
+    whole, parts = C.measure(text, z)
+    assert whole == len(z.compress(text)) / len(text)
+    size = C.CHUNK_BYTES
+    cuts = [text[i : i + size] for i in range(0, len(text), size)]
+    if len(cuts[-1]) < size // 2:
+        cuts[-2:] = [cuts[-2] + cuts[-1]]
+    assert parts == [len(z.compress(c)) / len(c) for c in cuts] and b"".join(cuts) == text
+
+
+def test_limits_depend_on_the_length():
+    assert C.verdict(100, 3.0, [3.0])[2] is None and C.verdict(300, 1.0, [1.0])[2] == "incompressible"
+    assert C.verdict(5000, 0.19, [0.19])[2] == "repetitive" and C.verdict(40_000, 0.19, [0.19] * 9)[2] is None
+    assert C.verdict(40_000, 0.4, [0.05] * 3 + [0.4] * 6) == (5, 3, "chunks") and C.verdict(40_000, 0.4, [0.05] * 2 + [0.4] * 7)[2] is None
+
+
+def test_odd_rows(spark):
+    rows = [(None, "short", None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, prose(400_000), "en", "s", 0), (4, "twice", "en", "s", 0), (4, "twice", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("ratio", F.lit("x")).withColumn("reason", F.lit(1))
+    got = sorted(((r.doc_id or -1), r.n_bytes, r.reason) for r in C.compression_bands(docs).collect())
+    assert got == [(-1, 5, None), (1, 0, "empty"), (2, 0, "empty"), (3, len(rows[3][1]), None), (4, 5, None), (4, 5, None)]
+    assert C.kept(docs).count() == 4 and C.kept(docs.limit(0)).count() == 0

@@ -1,0 +1,103 @@
+"""Character models against plain ones, and the filter on held-out hosts."""
+
+import math
+import random
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from keyloom.llm import urls as L
+
+
+def pages(spark, urls):
+    return spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+
+
+def plain(urls):
+    """The counts and probabilities of one class by dictionaries."""
+    grams, contexts = {}, {}
+    for u in urls:
+        text = "\x01" * L.ORDER + u + "\x02"
+        for i in range(L.ORDER, len(text)):
+            for k in range(L.ORDER + 1):
+                grams[text[i - k : i], text[i]] = grams.get((text[i - k : i], text[i]), 0) + 1
+    grams = {g: n for g, n in grams.items() if n >= L.MIN_COUNT}
+    for (c, _), n in grams.items():
+        total, kinds = contexts.get(c, (0, 0))
+        contexts[c] = (total + n, kinds + 1)
+
+    def log_likelihood(u):
+        text, out = "\x01" * L.ORDER + u + "\x02", 0.0
+        for i in range(L.ORDER, len(text)):
+            p = 1 / 256
+            for k in range(L.ORDER + 1):
+                c = text[i - k : i]
+                if c in contexts:
+                    total, kinds = contexts[c]
+                    p = (grams.get((c, text[i]), 0) + kinds * p) / (total + kinds)
+            out += math.log(p)
+        return out
+
+    return log_likelihood
+
+
+def test_scores_are_those_of_plain_models(spark):
+    rng = random.Random(1)
+    good = ["".join(rng.choices("abc/.", k=rng.randint(1, 12))) for _ in range(60)]
+    bad = ["".join(rng.choices("abx-.", k=rng.randint(1, 12))) for _ in range(60)]
+    table = spark.createDataFrame([(u, 0) for u in good] + [(u, 1) for u in bad], "text string, kind int").repartition(3)
+    models = L.train(table)
+    probes = ["abc", "x-x", "", "zzz", "a/b.c", *good[:5], *bad[:5]]
+    got = {r.url: r.score for r in L.score(pages(spark, probes), models).collect()}
+    a, b = plain(good), plain(bad)
+    for u in probes:
+        assert got[u] is None if not u else got[u] == pytest.approx((b(u) - a(u)) / (len(u) + 1))
+
+
+def test_probabilities_of_a_model_sum_to_at_most_one(spark):
+    models = L.train(spark.createDataFrame([("abab", 0), ("abba", 0), ("bb", 0)] * 3, "text string, kind int"))
+    for start in ("", "a", "ab", "zz"):
+        ends = [start + chr(c) for c in range(3, 128)]
+        (_, _, text), = L.texts(pa.array([*ends, start]))
+        p = [math.exp(x) for x in models[0].log_likelihood(text)]
+        last = [p[e - 2] for e in text.ends[:-1]] + [p[-1]]
+        assert 0.4 < sum(last) <= 1.0000001
+
+
+def test_rejected_hosts_are_told_from_others(spark):
+    rng = random.Random(2)
+    plain_words = ["garden", "river", "school", "paper", "music"]
+    urls, kinds = [], []
+    for i in range(600):
+        bad = i % 4 == 0
+        name = f"{rng.choice(['win', 'big', 'best'])}-casino{''}" if bad else rng.choice(plain_words) + rng.choice(plain_words)
+        urls.append(f"https://{'www.' if i % 3 else ''}{name}.example{i % 40}.com/{rng.randint(1, 999)}{'?bonus=free' if bad else '.html'}")
+        kinds.append(bad)
+    got = [r.rejected for r in L.url_filter(pages(spark, urls)).orderBy("page_id").collect()]
+    assert sum(a == b for a, b in zip(got, kinds)) >= 0.98 * len(urls)
+
+
+def test_examples_and_cleaning(spark):
+    rows = [("https://m.free-bets.example.com/x", 1), ("http://alphabets.example/bets", 0), ("www.poker.net", 1), ("HTTP://USER@Casino.X:80/", 1), ("", None), (None, None)]
+    got = spark.createDataFrame(rows, "u string, k int").select(L.example(F.col("u")), "k", L.cleaned(F.col("u"))).collect()
+    assert all(r[0] == r[1] for r in got)
+    assert got[3][2] == "user@casino.x:00/"
+
+
+def test_threshold_is_between_the_kinds(spark):
+    df = spark.createDataFrame([(0, -1.0), (0, -0.5), (1, 0.5), (1, 1.0), (0, None)], "kind int, score double")
+    assert -0.5 < L.calibrate(df) <= 0.5
+    assert L.calibrate(df.where("kind = 0")) == 0.0
+    far = spark.createDataFrame([(0, -1e9), (1, 1e9)], "kind int, score double")
+    assert -20 < L.calibrate(far) <= 20
+
+
+def test_odd_rows(spark):
+    urls = ["https://a.example/x", None, "", "https://a.example/x", "https://casino.example/" + "y" * 300_000, "https://日本.example/é"]
+    docs = pages(spark, urls).withColumn("score", F.lit(1)).withColumn("kind", F.lit("k")).withColumn("text", F.lit("t"))
+    got = {r.page_id: r for r in L.url_filter(docs).collect()}
+    assert len(got) == 6 and got[1].score is None and got[1].rejected is False and got[2].n_chars == 0 and got[0].score == got[3].score and got[4].n_chars > 300_000
+    assert L.url_filter(docs.limit(0)).count() == 0
+    nobody = spark.createDataFrame([(None, "x.example", None)], "page_id long, url string, html string")
+    assert L.url_filter(nobody).first().page_id is None
