@@ -11,7 +11,9 @@ import re
 from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,6 +115,42 @@ def leaves(text: str, max_depth: int = MAX_DEPTH) -> tuple[str, list[tuple[tuple
     return ("object" if text[start] == "{" else "array"), list(out.items())
 
 
+class _Refused(ValueError):
+    pass
+
+
+def _constant(name: str) -> None:
+    raise _Refused(name)
+
+
+_DECODER = json.JSONDecoder(parse_constant=_constant)
+
+
+def _walk(v: object, path: tuple, depth: int, max_depth: int, out: list) -> None:
+    if isinstance(v, (dict, list)):
+        if depth >= max_depth:
+            raise DepthFault(f"nested deeper than {max_depth}")
+        for step, x in v.items() if isinstance(v, dict) else enumerate(v):
+            _walk(x, (*path, step), depth + 1, max_depth, out)
+        if v:
+            return
+    out.append((path, v))
+
+
+def quick_leaves(text: str, max_depth: int = MAX_DEPTH) -> list[tuple[tuple, object]]:
+    """The leaves of :func:`leaves`, by Python's own decoder where it accepts the text; what it refuses is parsed there."""
+    start = _SPACE.match(text).end()
+    if text[start : start + 1] in ("{", "["):
+        try:
+            v, _ = _DECODER.raw_decode(text, start)
+        except (ValueError, RecursionError):
+            return leaves(text, max_depth)[1]
+        out: list = []
+        _walk(v, (), 0, max_depth, out)
+        return out
+    return leaves(text, max_depth)[1]
+
+
 def path_text(segments: tuple) -> str:
     """a.b[0] from names and indexes."""
     return "".join(f"[{s}]" if isinstance(s, int) else (f".{s}" if i else s) for i, s in enumerate(segments))
@@ -129,9 +167,11 @@ def typed(v: object) -> tuple[int, str | None, object]:
         return 0, None, None
     if isinstance(v, bool):
         return 1, "v_bool", v
-    if isinstance(v, _Number):
-        if any(c in v for c in ".eE"):
-            return 5, "v_f64", float(v)
+    if isinstance(v, float):
+        return 5, "v_f64", v
+    if isinstance(v, _Number) and any(c in v for c in ".eE"):
+        return 5, "v_f64", float(v)
+    if isinstance(v, (int, _Number)):
         n = int(v)
         if n <= _INT_MAX:
             return 2, "v_int", max(n, _INT_MIN)
@@ -144,6 +184,15 @@ def typed(v: object) -> tuple[int, str | None, object]:
 _ARROW = {"boolean": pa.bool_(), "bigint": pa.int64(), "decimal(20,0)": pa.decimal128(20, 0), "float": pa.float32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
 
 
+def _spread(rows: list[int], values: list, kind: pa.DataType, n: int) -> pa.Array:
+    """An array of n cells with ``values`` in some rows, null in the others."""
+    if not rows:
+        return pa.nulls(n, kind)
+    at = np.full(n, -1)
+    at[rows] = np.arange(len(rows))
+    return pa.array(values, kind).take(pa.array(at, mask=at < 0))
+
+
 def flatten(docs: DataFrame, max_depth: int = MAX_DEPTH, keep_empty: bool = True, bad: str = "error") -> DataFrame:
     """The leaves of documents (doc_id, json), in their order (``seq``).
 
@@ -157,28 +206,42 @@ def flatten(docs: DataFrame, max_depth: int = MAX_DEPTH, keep_empty: bool = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "seq", "path", "segments", "tag", *COLUMNS]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.list_(pa.struct([("name", pa.string()), ("idx", pa.int64())])), pa.int8(), *(_ARROW[t] for t in TYPES.values())]
+        place = {c: k for k, c in enumerate(COLUMNS)}
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            owner, seqs, paths, ends, steps, indexes, tags = [], [], [], [0], [], [], []
+            payloads: list[tuple[list[int], list]] = [([], []) for _ in COLUMNS]
+            for doc, text in enumerate(batch.column(1).to_pylist()):
                 if text is None:
                     continue
                 try:
-                    _, found = leaves(text, max_depth)
+                    found = quick_leaves(text, max_depth)
                 except (SyntaxFault, DepthFault) as fault:
                     if bad == "error":
-                        raise ValueError(f"document {doc_id}: {fault}") from None
+                        raise ValueError(f"document {batch.column(0)[doc]}: {fault}") from None
                     continue
                 seq = 0
                 for segments, v in found:
                     if segments and not keep_empty and isinstance(v, (dict, list)):
                         continue
                     tag, column, payload = typed(v)
-                    steps = [{"name": None, "idx": s} if isinstance(s, int) else {"name": s, "idx": None} for s in segments]
-                    rows.append((doc_id, seq, path_text(segments), steps, tag, *(payload if c == column else None for c in COLUMNS)))
+                    if column:
+                        rows, values = payloads[place[column]]
+                        rows.append(len(tags))
+                        values.append(payload)
+                    for step in segments:
+                        named = isinstance(step, str)
+                        steps.append(step if named else None)
+                        indexes.append(None if named else step)
+                    ends.append(len(steps))
+                    owner.append(doc)
+                    seqs.append(seq)
+                    paths.append(path_text(segments))
+                    tags.append(tag)
                     seq += 1
-            columns = zip(*rows) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds)], names=names)
+            parts = pa.StructArray.from_arrays([pa.array(steps, pa.string()), pa.array(indexes, pa.int64())], ["name", "idx"])
+            segments = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)
+            columns = [_spread(rows, values, _ARROW[t], len(tags)) for (rows, values), t in zip(payloads, TYPES.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(seqs, pa.int64()), pa.array(paths, pa.string()), segments, pa.array(tags, pa.int8()), *columns], names=names)
 
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("json").cast("string").alias("json")).mapInArrow(run, FLAT)
 
@@ -192,7 +255,7 @@ def faults(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     if text is not None:
-                        leaves(text, max_depth)
+                        quick_leaves(text, max_depth)
                 except SyntaxFault:
                     rows.append((doc_id, "syntax"))
                 except DepthFault:
@@ -225,22 +288,35 @@ def unflatten(flat: DataFrame, indent: str | int | None = None, blobs: bool = Fa
     """
     import base64
 
+    separators = (",", ":") if indent is None else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for rows in batch.column(1).to_pylist():
+            lists = batch.column(1)
+            cells = lists.flatten()
+            seq, segments, tag, *payloads = (cells.field(k) for k in range(cells.type.num_fields))
+            parts = segments.flatten()
+            steps = [i if n is None else n for n, i in zip(parts.field(0).to_pylist(), parts.field(1).to_pylist())]
+            ends = np.append(0, np.cumsum(pc.list_value_length(segments).to_numpy(zero_copy_only=False))).tolist()
+            values: list = [None] * len(cells)
+            for column in payloads:
+                at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+                for i, v in zip(at.tolist(), column.take(pa.array(at)).to_pylist()):
+                    values[i] = v
+            tags, order = tag.to_pylist(), seq.to_pylist()
+            out, lo = [], 0
+            for size in pc.list_value_length(lists).to_pylist():
                 items = []
-                for row in sorted(rows, key=lambda r: r["seq"]):
-                    tag = row["tag"]
-                    v = next((row[c] for c in COLUMNS if row[c] is not None), None)
-                    if tag in (8, 9):
+                for i in sorted(range(lo, lo + size), key=order.__getitem__):
+                    v = values[i]
+                    if tags[i] in (8, 9):
                         v = json.loads(v)
-                    elif tag == 7:
+                    elif tags[i] == 7:
                         v = base64.b64encode(v).decode() if blobs and v is not None else None
                     elif isinstance(v, Decimal):
                         v = int(v)
-                    items.append((tuple(s["name"] if s["name"] is not None else s["idx"] for s in row["segments"]), v))
-                separators = (",", ":") if indent is None else None
+                    items.append((tuple(steps[ends[i] : ends[i + 1]]), v))
+                lo += size
                 out.append(json.dumps(assemble(items), ensure_ascii=False, indent=indent, separators=separators))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "json"])
 

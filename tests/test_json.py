@@ -43,6 +43,8 @@ _json = st.recursive(st.none() | st.booleans() | st.integers(-(1 << 63), (1 << 6
 def test_leaves_of_any_document(value):
     found = [(s, v if isinstance(v, (dict, list)) or v is None else J.typed(v)[2]) for s, v in J.leaves(json.dumps(value))[1]]
     assert J.assemble(found) == value
+    quick = [(s, v if isinstance(v, (dict, list)) or v is None else J.typed(v)[2]) for s, v in J.quick_leaves(json.dumps(value))]
+    assert quick == found
 
 
 def test_types_and_paths(spark):
@@ -61,10 +63,11 @@ def test_the_last_of_equal_names_counts(spark):
     assert [(r.path, r.v_int) for r in rows] == [("a.c", 3), ("b", 2)]
 
 
-@pytest.mark.parametrize("text", ["1", '"x"', "null", "", "{", '{"a"}', '{"a":}', "[1,]", "[1 2]", '{"a":1', '{"a":"\\q"}', "{a:1}", "[tru]"])
+@pytest.mark.parametrize("text", ["1", '"x"', "null", "", "{", '{"a"}', '{"a":}', "[1,]", "[1 2]", '{"a":1', '{"a":"\\q"}', "{a:1}", "[tru]", "[NaN]", "[1,Infinity]"])
 def test_what_is_no_document_raises(spark, text):
-    with pytest.raises(J.SyntaxFault):
-        J.leaves(text)
+    for parse in (J.leaves, J.quick_leaves):
+        with pytest.raises(J.SyntaxFault):
+            parse(text)
 
 
 def test_bad_documents_raise_or_are_skipped_or_listed(spark):
