@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.decontaminate import Filter
 from keyloom.llm.tokens import BASE, BASE_INV, U, mix, powers
+from keyloom.plans.lineage import cut, drop
 
 #: Words in a host name that make its URLs examples of rejected ones; all other URLs are examples of accepted ones.
 REJECTED_WORDS = ("adult", "ads", "bet", "bets", "casino", "gambling", "loans", "pharma", "pills", "poker", "porn", "sex", "spam", "track", "viagra", "warez", "xxx")
 #: Most characters of context.
 ORDER = 5
-#: A gram is kept if it is seen as often, and makes up as large a share of its class; so the models don't grow without
-#: end, and a context that is rare is left to its shorter ones.
-MIN_COUNT, MIN_SHARE = 2, 5e-6
+#: A gram is kept if its class has it as often; at 1 none is dropped, and contexts have their whole totals and kinds.
+MIN_COUNT = 1
+#: Most grams whose models are broadcast; more are looked up by joins, with the same scores.
+MAX_GRAMS = 1_000_000
 #: One of this many hosts is held out of the models, to calibrate the threshold.
 HELD_OUT = 5
 #: Bins of score differences, per unit, and the most units on either side, in calibration.
@@ -140,22 +142,29 @@ class Model:
         return np.log(p)
 
 
-def train(pages: DataFrame) -> tuple[Model, Model]:
-    """The models of accepted and of rejected URLs in ``pages`` (text, kind)."""
-    rows = gram_counts(pages)
-    totals = pages.groupBy("kind").agg(F.sum(F.octet_length("text") + 1).alias("n")).collect()
-    least = {r.kind: max(MIN_COUNT, MIN_SHARE * r.n) for r in totals}
-    keep = (F.col("accepted") >= least.get(0, MIN_COUNT)) | (F.col("rejected") >= least.get(1, MIN_COUNT))
-    table = rows.where(keep).toArrow()
+def gram_table(pages: DataFrame) -> DataFrame:
+    """The rows of :func:`gram_counts` that a class has at least MIN_COUNT times; lower counts of the other class are 0."""
+    some = [F.when(F.col(c) >= MIN_COUNT, F.col(c)).otherwise(F.lit(0)).cast("long").alias(c) for c in _CLASSES]
+    return gram_counts(pages).select("gram", "context", "k", *some).where(" or ".join(f"{c} > 0" for c in _CLASSES))
+
+
+def models_of(grams: DataFrame) -> tuple[Model, Model]:
+    """The models of both classes, on the driver, from the rows of :func:`gram_table`."""
+    table = grams.toArrow()
     gram, context = (table.column(c).to_numpy().astype(np.int64).view(U) for c in ("gram", "context"))
     models = []
-    for kind, name in enumerate(_CLASSES):
+    for name in _CLASSES:
         n = table.column(name).to_numpy()
-        some = n >= least.get(kind, MIN_COUNT)
+        some = n > 0
         models.append(Model(gram[some], context[some], n[some]))
     return models[0], models[1]
 
 
+def train(pages: DataFrame) -> tuple[Model, Model]:
+    """The models of accepted and of rejected URLs in ``pages`` (text, kind)."""
+    return models_of(gram_table(pages))
+
+
 def score(pages: DataFrame, models: tuple[Model, Model]) -> DataFrame:
     """(page_id, url, n_chars, score): the log-likelihood of the rejected model less that of the accepted one, a character."""
     known = pages.sparkSession.sparkContext.broadcast(models)
@@ -174,6 +183,49 @@ def score(pages: DataFrame, models: tuple[Model, Model]) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), cleaned(F.col("url").cast("string")).alias("text")).mapInArrow(run, SCHEMA)
 
 
+def score_by_join(pages: DataFrame, grams: DataFrame) -> DataFrame:
+    """As :func:`score`, by joins with the rows of :func:`gram_table`, for models too large to broadcast.
+
+    A character's probability follows from it and its ORDER predecessors, so each distinct window of these is looked up once.
+    """
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for lo, hi, text in texts(batch.column(1)):
+                key = np.repeat(keys[lo:hi], np.diff(text.ends, prepend=0))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(text.hashes(ORDER, True).view(np.int64))], names=["key", "window"])
+
+    def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, text in texts(batch.column(1)):
+                window, first = np.unique(text.hashes(ORDER, True), return_index=True)
+                for k in range(ORDER + 1):
+                    columns = (window, text.hashes(k, True)[first], text.hashes(k, False)[first])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in columns), pa.array(np.full(len(window), k, np.int32))], names=["window", "gram", "context", "k"])
+
+    named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), cleaned(F.col("url").cast("string")).alias("text"))
+    named = named.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    distinct = named.where("text != ''").groupBy("key").agg(F.min("text").alias("text"))
+    contexts = grams.groupBy("context").agg(*[x for c in _CLASSES for x in (F.sum(c).alias(f"{c}_total"), F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds"))])
+    found = distinct.mapInArrow(lookups, "window long, gram long, context long, k int").dropDuplicates(["window", "k"])
+    found = found.join(grams.select("gram", *_CLASSES), "gram", "left").join(contexts, "context", "left")
+    parts = [(c, k, x) for c in _CLASSES for k in range(ORDER + 1) for x in ("", "_total", "_kinds")]
+    wide = found.groupBy("window").agg(*[F.max(F.when(F.col("k") == k, F.col(c + x))).alias(f"{c}{x}{k}") for c, k, x in parts])
+    logs = []
+    for c in _CLASSES:
+        p = F.lit(1 / 256)
+        for k in range(ORDER + 1):
+            n, total, kinds = (F.coalesce(F.col(f"{c}{x}{k}"), F.lit(0)) for x in ("", "_total", "_kinds"))
+            # an unknown context leaves p as it is
+            kinds = F.when(total > 0, kinds).otherwise(F.lit(1))
+            p = (n + kinds * p) / (total + kinds)
+        logs.append(F.log(p))
+    ratios = wide.select("window", (logs[1] - logs[0]).alias("ratio"))
+    per = distinct.mapInArrow(places, "key long, window long").join(ratios, "window").groupBy("key").agg(F.avg("ratio").alias("score"))
+    return named.join(cut(per, "scores"), "key", "left").select("page_id", "url", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_chars"), "score")
+
+
 def calibrate(scored: DataFrame) -> float:
     """The threshold that best separates the scores of the two kinds: the highest sum of both rates that are right.
 
@@ -196,16 +248,20 @@ def url_filter(pages: DataFrame, words: tuple[str, ...] = REJECTED_WORDS) -> Dat
     """(page_id, url, n_chars, score, rejected): every page, and whether its URL is rejected.
 
     The models count the characters of all URLs of all hosts but one in HELD_OUT (by hash), as examples by
-    :func:`example`; counts are summed by Spark and pruned by MIN_SHARE before they reach the driver. The
-    held-out hosts calibrate the threshold. Three scans of the URLs; other columns, texts included, aren't read.
+    :func:`example`; counts are summed by Spark, and none is dropped. Up to MAX_GRAMS grams are broadcast, more are joined.
+    The held-out hosts calibrate the threshold. Three scans of the URLs; other columns, texts included, aren't read.
 
     Null and empty URLs have no score and aren't rejected; repeated rows give repeated rows; a null id stays null. Without
     examples of a kind, its model gives every character 1/256 and the threshold is 0. An empty table gives an empty one.
     """
     url = F.col("url").cast("string")
     seen = pages.select(cleaned(url).alias("text"), example(url, words).alias("kind"), F.pmod(F.xxhash64(host(url)), F.lit(HELD_OUT)).alias("part")).where("kind is not null")
-    models = train(seen.where("part != 0").select("text", "kind"))
-    scored = score(pages, models)
+    grams = cut(gram_table(seen.where("part != 0").select("text", "kind")), "grams")
+    if grams.count() <= MAX_GRAMS:
+        scored = score(pages, models_of(grams))
+        drop(grams)
+    else:
+        scored = score_by_join(pages, grams)
     held = scored.where(F.pmod(F.xxhash64(host(F.col("url"))), F.lit(HELD_OUT)) == 0).withColumn("kind", example(F.col("url"), words)).where("kind is not null")
     threshold = calibrate(held)
     return scored.withColumn("rejected", F.coalesce(F.col("score") >= threshold, F.lit(False)))

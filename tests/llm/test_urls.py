@@ -55,6 +55,27 @@ def test_scores_are_those_of_plain_models(spark):
         assert got[u] is None if not u else got[u] == pytest.approx((b(u) - a(u)) / (len(u) + 1))
 
 
+def test_grams_of_rare_urls_stay_in_large_classes(spark):
+    table = spark.createDataFrame([("a" * 999, 0)] * 900 + [("qzq", 0)] * 2 + [("xw", 0)], "text string, kind int")
+    _, _, text = next(L.texts(pa.array(["qzq", "xw"])))
+    model = L.train(table)[0]
+    assert all(len(model.grams.find(text.hashes(k, True))[0]) == len(text.places) for k in range(L.ORDER + 1))
+
+
+def test_joins_give_the_scores_of_broadcast_models(spark, monkeypatch):
+    rng = random.Random(3)
+    urls = [f"https://{rng.choice(['casino', 'bets', 'park', 'lake', 'hill'])}{'.' * (i % 2)}x{i % 37}.example/{''.join(rng.choices('abcd/', k=9))}" for i in range(300)]
+    docs = pages(spark, [*urls, urls[0], None, "", "https://日本.example/é"]).unionByName(spark.createDataFrame([(None, urls[1], None)], "page_id long, url string, html string"))
+    want = {(r.page_id, r.url): r for r in L.url_filter(docs).collect()}
+    monkeypatch.setattr(L, "MAX_GRAMS", 0)
+    got = L.url_filter(docs)
+    assert dict(got.dtypes) == dict(L.url_filter(docs.limit(0)).dtypes) and got.count() == docs.count()
+    for r in got.collect():
+        x = want[r.page_id, r.url]
+        assert (r.score is None) == (x.score is None) and r.n_chars == x.n_chars and r.rejected == x.rejected
+        assert x.score is None or r.score == pytest.approx(x.score)
+
+
 def test_probabilities_of_a_model_sum_to_at_most_one(spark):
     models = L.train(spark.createDataFrame([("abab", 0), ("abba", 0), ("bb", 0)] * 3, "text string, kind int"))
     for start in ("", "a", "ab", "zz"):
