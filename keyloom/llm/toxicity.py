@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.decontaminate import Filter, _ranges
-from keyloom.llm.tokens import Chunk, U, chunks, mix, stems, windows
+from keyloom.llm.tokens import Chunk, U, chunks, hash_words, mix, stems, windows
 from keyloom.plans.lineage import cut, drop
 from keyloom.plans.names import fresh
 from keyloom.plans.sizing import map_texts
@@ -21,8 +21,10 @@ MAX_LABELLED = 50_000
 #: A term is a token cut to this many characters, so that inflected and compound forms count as one. Terms of different
 #: languages are different terms, and each language is a graph of its own.
 STEM = 5
-#: Terms in at least and at most these shares of the documents are nodes; so their number doesn't grow with the corpus.
-NODE_SHARE = (5e-4, 0.2)
+#: Terms in at least so many documents, and in at most this share of all, are nodes. The least doesn't rise with the corpus.
+NODE_COUNT, NODE_SHARE = 3, 0.2
+#: The language of documents without one.
+NO_LANGUAGE = 0
 #: Most seeds of either polarity in a language. A toxic seed is more frequent in toxic than in clean labelled documents
 #: by a likelihood ratio whose signed root is at least MIN_ROOT.
 TOXIC_SEEDS, CLEAN_SEEDS, MIN_ROOT = 32, 64, 4.0
@@ -43,6 +45,8 @@ MIN_POLARITY, MIN_SHARE, PRIOR = 0.5, 0.3, 2.0
 MIN_SCORE, MIN_RATE = 1.0, 0.006
 #: Chunks whose counts a task sums up at a time, and the most distinct terms that it holds before it sends them.
 FLUSH, MOST_TERMS = 16, 300_000
+#: Most pairs of a seed and a node that a task holds before it sends them.
+MOST_CELLS = 1_000_000
 
 _COUNTS = "hash long, word string, code long, n long, toxic long, clean long"
 _LABELLED = "key long, code long, toxic int"
@@ -55,6 +59,7 @@ class Lexicon:
     polarity: np.ndarray
     share: np.ndarray
     is_seed: np.ndarray
+    code: np.ndarray
 
     @property
     def weight(self) -> np.ndarray:
@@ -62,13 +67,13 @@ class Lexicon:
 
     def keep(self, least: float = MIN_POLARITY, share: float = MIN_SHARE) -> Lexicon:
         m = (self.polarity >= least) & (self.share >= share)
-        return Lexicon([w for w, x in zip(self.words, m) if x], self.hashes[m], self.polarity[m], self.share[m], self.is_seed[m])
+        return Lexicon([w for w, x in zip(self.words, m) if x], self.hashes[m], self.polarity[m], self.share[m], self.is_seed[m], self.code[m])
 
 
 def _code(docs: DataFrame) -> Column:
-    """A hash of the language; null, and a table without languages, count as ''."""
+    """A hash of the language; NO_LANGUAGE for null, '' and a table without languages."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    return F.xxhash64(lang)
+    return F.when(lang == "", F.lit(NO_LANGUAGE).cast("long")).otherwise(F.xxhash64(lang))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -234,7 +239,7 @@ def edges(docs: DataFrame, nodes: np.ndarray, code: np.ndarray, seeds: np.ndarra
         rank = np.full(len(words.values), -1)
         rank[seeds] = np.arange(len(seeds))
         number = len(words.values)
-        total, kinds = np.zeros(base[-1], np.int32), np.zeros(base[-1], np.uint16)
+        held: list = []
         for batch in batches:
             for tokens, chunk in terms(batch.column(1), batch.column(0)):
                 at, which = words.find(chunk.hashes)
@@ -246,13 +251,26 @@ def edges(docs: DataFrame, nodes: np.ndarray, code: np.ndarray, seeds: np.ndarra
                 length = count[doc[mine]]
                 cell = np.repeat(base[rank[node[mine]]], length) + local[node[np.repeat(start[doc[mine]], length) + _ranges(length)]]
                 kind = (U(1) << (mix(sketches(tokens, 1)[:, 0]) >> U(60))).astype(np.uint16)
-                np.add.at(total, cell, 1)
-                np.bitwise_or.at(kinds, cell, np.repeat(kind[doc[mine]], length))
-        for seed in range(len(seeds)):
-            mine = slice(base[seed], base[seed + 1])
-            some = np.flatnonzero(total[mine])
-            if len(some):
-                cells = (np.diff(some, prepend=0), total[mine][some], kinds[mine][some])
+                held.append((cell, np.ones(len(cell), np.int32), np.repeat(kind[doc[mine]], length)))
+                if len(held) > FLUSH:
+                    held = [summed(held)]
+                    if len(held[0][0]) > MOST_CELLS:
+                        yield from sent(base, *held.pop())
+        if held:
+            yield from sent(base, *summed(held))
+
+    def summed(held: list) -> tuple:
+        cell, which = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        kinds = np.zeros(len(cell), np.uint16)
+        np.bitwise_or.at(kinds, which, np.concatenate([x[2] for x in held]))
+        return cell, np.bincount(which, np.concatenate([x[1] for x in held]), len(cell)).astype(np.int32), kinds
+
+    def sent(base: np.ndarray, cell: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bounds = np.searchsorted(cell, base)
+        for seed in range(len(base) - 1):
+            mine = slice(bounds[seed], bounds[seed + 1])
+            if bounds[seed] < bounds[seed + 1]:
+                cells = (np.diff(cell[mine] - base[seed], prepend=0), total[mine], kinds[mine])
                 yield pa.RecordBatch.from_arrays([pa.array([seed], pa.int32()), *(pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip(cells, kinds_of))], names=["seed", "nodes", "ns", "kinds"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,13 +331,13 @@ def induce(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     The graph joins each seed to the nodes of its language with which it shares documents, by positive pointwise mutual
     information over all documents of the language. One walk restarts at the toxic seeds and one at the clean ones; a
-    term's polarity compares how often they visit it; its ``share`` is what the labelled documents say of it. Nodes are bounded by a share of the documents, seeds by number, so what reaches the
-    driver doesn't grow with the corpus. Without toxic labels, or without seeds, no term is toxic.
+    term's polarity compares how often they visit it; its ``share`` is what the labelled documents say of it. Every term of
+    NODE_COUNT documents is a node, however large the corpus, so the nodes that reach the driver grow with the vocabulary. Without toxic labels, or without seeds, no term is toxic.
     """
     languages = {r.code: r.n for r in _keyed(docs).groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "code").collect()}
     total = sum(languages.values())
     sample = labelled(docs, labels, max_labelled)
-    low, high = max(3, NODE_SHARE[0] * total), max(3, NODE_SHARE[1] * total)
+    low, high = NODE_COUNT, max(NODE_COUNT, NODE_SHARE * total)
     counted = cut(word_counts(docs, sample), "terms")
     rows = counted.where(F.col("n").between(low, high)).toArrow()
     drop(counted)
@@ -334,13 +352,13 @@ def induce(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     seeds, is_seed = np.concatenate([bad, good]), np.zeros(len(hashes), bool)
     is_seed[bad] = True
     if not len(bad):
-        return Lexicon(words, hashes, np.zeros(len(hashes)), np.zeros(len(hashes)), is_seed)
+        return Lexicon(words, hashes, np.zeros(len(hashes)), np.zeros(len(hashes)), is_seed, code)
     graph = edges(docs, hashes, code, seeds, n, here).toArrow()
     a, b, pmi = seeds[graph.column("seed").to_numpy()], graph.column("node").to_numpy().astype(np.int64), graph.column("pmi").to_numpy()
     use = ~(np.isin(b, seeds) & (a > b))
     a, b, pmi = a[use], b[use], pmi[use]
     out = polarity(code, a, b, pmi, bad, good)
-    return Lexicon(words, hashes, out, (toxic + PRIOR * np.maximum(out, 0)) / (toxic + clean + PRIOR), is_seed)
+    return Lexicon(words, hashes, out, (toxic + PRIOR * np.maximum(out, 0)) / (toxic + clean + PRIOR), is_seed, code)
 
 
 def _per_code(code: np.ndarray, codes: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
@@ -359,29 +377,38 @@ SCORES = "doc_id long, score double, hits int, tokens int, rate double, toxic in
 def score(docs: DataFrame, lexicon: Lexicon, min_score: float = MIN_SCORE, min_rate: float = MIN_RATE) -> DataFrame:
     """One row a document: the summed weights of its lexicon terms, how many it has, and whether it is toxic.
 
-    A map over whole texts; the lexicon is broadcast, and its size is bounded by NODE_SHARE. Null, empty and wordless
+    Documents without a language, or of one without lexicon terms, are scored by the terms of all languages. A map over
+    whole texts; the lexicon is broadcast. Null, empty and wordless
     texts score 0 and aren't toxic; repeated rows give repeated rows; a null id stays null; other columns aren't read.
     """
     known = docs.sparkSession.sparkContext.broadcast(_scorer(lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, chunk in terms(batch.column(2), batch.column(1)):
+            for _, chunk in terms(batch.column(2), _scored_as(batch.column(1), known.value)):
                 columns = _scored(chunk, known.value, min_score, min_rate)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, chunk.hi - chunk.lo), *map(pa.array, columns)], names=[x.split()[0] for x in SCORES.split(", ")])
 
     return map_texts(_keyed(docs).select("doc_id", "code", "text"), run, SCORES)
 
 
-def _scorer(lexicon: Lexicon) -> tuple[Filter, np.ndarray]:
-    words = Filter(lexicon.hashes)
+def _scorer(lexicon: Lexicon) -> tuple[Filter, np.ndarray, np.ndarray]:
+    """(hashes, their weights, languages with terms of their own); NO_LANGUAGE has the terms of all, at their highest weight."""
+    own = lexicon.code != NO_LANGUAGE
+    hashes = np.concatenate([lexicon.hashes[own], mix(hash_words(lexicon.words) ^ U(NO_LANGUAGE))])
+    words = Filter(hashes)
     weight = np.zeros(len(words.values))
-    weight[np.searchsorted(words.values, lexicon.hashes)] = lexicon.weight
-    return words, weight
+    np.maximum.at(weight, np.searchsorted(words.values, hashes), np.concatenate([lexicon.weight[own], lexicon.weight]))
+    return words, weight, np.unique(lexicon.code[own])
+
+
+def _scored_as(codes: pa.Array, scorer: tuple[Filter, np.ndarray, np.ndarray]) -> pa.Array:
+    codes = codes.to_numpy()
+    return pa.array(np.where(np.isin(codes, scorer[2]), codes, NO_LANGUAGE))
 
 
-def _scored(chunk: Chunk, scorer: tuple[Filter, np.ndarray], min_score: float, min_rate: float) -> tuple[np.ndarray, ...]:
-    words, weight = scorer
+def _scored(chunk: Chunk, scorer: tuple[Filter, np.ndarray, np.ndarray], min_score: float, min_rate: float) -> tuple[np.ndarray, ...]:
+    words, weight, _ = scorer
     at, which = words.find(chunk.hashes)
     doc = np.searchsorted(chunk.offsets, at, "right") - 1
     size, tokens = chunk.hi - chunk.lo, chunk.counts
@@ -403,7 +430,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean = [_scored(chunk, known.value, min_score, min_rate)[-1] == 0 for _, chunk in terms(batch.column(at), batch.column(width))]
+            clean = [_scored(chunk, known.value, min_score, min_rate)[-1] == 0 for _, chunk in terms(batch.column(at), _scored_as(batch.column(width), known.value))]
             if clean:
                 yield batch.select(range(width)).filter(pa.array(np.concatenate(clean)))
 

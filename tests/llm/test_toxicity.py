@@ -127,3 +127,19 @@ def test_nulls_long_texts_repeated_rows_and_clashing_columns(spark):
     left = T.without_toxic(docs.drop("__code"), marks)
     assert left.columns == docs.drop("__code").columns and {2000, 2001, 2002, 2003, 2004} <= {r.doc_id for r in left.collect()}
     assert T.toxic_documents(docs.drop("lang"), marks).count() >= 100
+
+
+def test_a_small_language_has_nodes_of_its_own(spark):
+    rows, labels = corpus(120)
+    many = [(10_000 + i, f"zu{i % 7} za{i % 11}", "zz", "s", 0) for i in range(60_000)]
+    found = {r.doc_id for r in T.toxic_documents(*frames(spark, rows + many, labels)).collect()}
+    assert found == {i for i in range(120) if i % 6 == 0}
+
+
+def test_documents_without_a_seeded_language_are_scored_by_the_others(spark):
+    rows, labels = corpus()
+    toxic, clean = rows[0][1], rows[1][1]
+    odd = [(3000 + i, text, lang, "s", 0) for i, (text, lang) in enumerate([(toxic, None), (toxic, ""), (toxic, "xx"), (clean, None), (clean, "xx")])]
+    docs, marks = frames(spark, rows + odd, labels)
+    assert {r.doc_id for r in T.toxic_documents(docs, marks).where("doc_id >= 3000").collect()} == {3000, 3001, 3002}
+    assert {r.doc_id for r in T.without_toxic(docs, marks).where("doc_id >= 3000").collect()} == {3003, 3004}
