@@ -25,9 +25,9 @@ STEM = 5
 NODE_COUNT, NODE_SHARE = 3, 0.2
 #: The language of documents without one.
 NO_LANGUAGE = 0
-#: Most seeds of either polarity in a language. A toxic seed is more frequent in toxic than in clean labelled documents
-#: by a likelihood ratio whose signed root is at least MIN_ROOT.
-TOXIC_SEEDS, CLEAN_SEEDS, MIN_ROOT = 32, 64, 4.0
+#: A toxic seed is more frequent in toxic than in clean labelled documents by a likelihood ratio whose signed root is at
+#: least MIN_ROOT; all such terms are seeds. Of clean terms, so many in a language are.
+CLEAN_SEEDS, MIN_ROOT = 64, 4.0
 #: Least documents that two terms of an edge have in common, and the least signed root of the likelihood ratio of their
 #: independence: a term that met a seed by chance gets no edge.
 EDGE_COUNT, EDGE_ROOT = 3, 6.0
@@ -198,20 +198,19 @@ def signed_root(k: np.ndarray, n: np.ndarray, m: np.ndarray, total: np.ndarray)
     return np.sqrt(np.maximum(0, 2 * g)) * np.sign(k * total - n * m)
 
 
-def choose_seeds(hashes: np.ndarray, code: np.ndarray, root: np.ndarray, clean: np.ndarray, sizes=(TOXIC_SEEDS, CLEAN_SEEDS), least: float = MIN_ROOT) -> tuple[np.ndarray, np.ndarray]:
+def choose_seeds(hashes: np.ndarray, code: np.ndarray, root: np.ndarray, clean: np.ndarray, size: int = CLEAN_SEEDS, least: float = MIN_ROOT) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the toxic and of the clean seeds; ``root`` binds a term to toxic labelled documents of its language.
 
-    The toxic seeds of a language are its most bound terms. Its clean seeds are terms, of the least mixed hashes, that
+    The toxic seeds of a language are all terms bound by ``least``. Its clean seeds are terms, of the least mixed hashes, that
     are at most as frequent in toxic as in clean documents; taken by chance, they stand for every topic. A language
     without toxic seeds has none at all.
     """
     bad, good = [], []
     for lang in np.unique(code[root >= least]):
         mine = np.flatnonzero(code == lang)
-        order = mine[np.argsort(-root[mine], kind="stable")[: sizes[0]]]
-        bad.append(order[root[order] >= least])
+        bad.append(mine[root[mine] >= least])
         plain = mine[(root[mine] <= 0) & (clean[mine] > 0)]
-        good.append(plain[np.argsort(mix(hashes[plain]), kind="stable")[: sizes[1]]])
+        good.append(plain[np.argsort(mix(hashes[plain]), kind="stable")[:size]])
     none = [np.empty(0, np.int64)]
     return np.concatenate(bad or none), np.concatenate(good or none)
 
@@ -329,8 +328,10 @@ def polarity(code: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray,
 def induce(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Lexicon:
     """The polarity of every node term, from -1 (clean) to 1 (toxic).
 
-    The graph joins each seed to the nodes of its language with which it shares documents, by positive pointwise mutual
-    information over all documents of the language. One walk restarts at the toxic seeds and one at the clean ones; a
+    The graph joins each seed, and each term that proves to be in the lexicon, to the nodes of its language with which it
+    shares documents, by positive pointwise mutual information over all documents of the language. Terms that join the
+    lexicon get their edges by another pass over the documents, until no term joins; edges between two other terms aren't
+    counted. One walk restarts at the toxic seeds and one at the clean ones; a
     term's polarity compares how often they visit it; its ``share`` is what the labelled documents say of it. Every term of
     NODE_COUNT documents is a node, however large the corpus, so the nodes that reach the driver grow with the vocabulary. Without toxic labels, or without seeds, no term is toxic.
     """
@@ -353,12 +354,17 @@ def induce(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     is_seed[bad] = True
     if not len(bad):
         return Lexicon(words, hashes, np.zeros(len(hashes)), np.zeros(len(hashes)), is_seed, code)
-    graph = edges(docs, hashes, code, seeds, n, here).toArrow()
-    a, b, pmi = seeds[graph.column("seed").to_numpy()], graph.column("node").to_numpy().astype(np.int64), graph.column("pmi").to_numpy()
-    use = ~(np.isin(b, seeds) & (a > b))
-    a, b, pmi = a[use], b[use], pmi[use]
-    out = polarity(code, a, b, pmi, bad, good)
-    return Lexicon(words, hashes, out, (toxic + PRIOR * np.maximum(out, 0)) / (toxic + clean + PRIOR), is_seed, code)
+    expanded, frontier, graph = np.empty(0, np.int64), seeds, []
+    while len(frontier):
+        found = edges(docs, hashes, code, frontier, n, here).toArrow()
+        graph.append((frontier[found.column("seed").to_numpy()], found.column("node").to_numpy().astype(np.int64), found.column("pmi").to_numpy()))
+        expanded = np.concatenate([expanded, frontier])
+        a, b, pmi = (np.concatenate(x) for x in zip(*graph))
+        use = ~(np.isin(b, expanded) & (a > b))
+        out = polarity(code, a[use], b[use], pmi[use], bad, good)
+        share = (toxic + PRIOR * np.maximum(out, 0)) / (toxic + clean + PRIOR)
+        frontier = np.setdiff1d(np.flatnonzero((out >= MIN_POLARITY) & (share >= MIN_SHARE)), expanded)
+    return Lexicon(words, hashes, out, share, is_seed, code)
 
 
 def _per_code(code: np.ndarray, codes: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:

@@ -143,3 +143,20 @@ def test_documents_without_a_seeded_language_are_scored_by_the_others(spark):
     docs, marks = frames(spark, rows + odd, labels)
     assert {r.doc_id for r in T.toxic_documents(docs, marks).where("doc_id >= 3000").collect()} == {3000, 3001, 3002}
     assert {r.doc_id for r in T.without_toxic(docs, marks).where("doc_id >= 3000").collect()} == {3003, 3004}
+
+
+def test_a_term_two_hops_from_the_seeds_is_induced(spark):
+    rows, labels = corpus()
+    # "clown" meets a seed; "goblin" meets "clown" only; neither is labelled
+    base = [(i, text.replace("clown", "x"), *rest) for i, text, *rest in rows]
+    base += [(5000 + i, rows[6 * i + 1][1] + " idiot clown", "en", "s", 0) for i in range(40)]
+    base += [(6000 + i, rows[6 * i + 2][1] + " clown goblin", "en", "s", 0) for i in range(40)]
+    lexicon = T.induce(*frames(spark, base, labels))
+    polarity = {w[:5]: p for w, p in zip(lexicon.words, lexicon.polarity)}
+    assert polarity["clown"] >= T.MIN_POLARITY and polarity["gobli"] >= T.MIN_POLARITY
+
+
+def test_every_bound_term_is_a_seed():
+    root = np.append(np.full(100, 9.0), np.full(100, -1.0))
+    bad, good = T.choose_seeds(np.arange(200).astype(U), np.zeros(200, np.int64), root, np.ones(200, np.int64))
+    assert sorted(bad) == list(range(100)) and len(good) == T.CLEAN_SEEDS
