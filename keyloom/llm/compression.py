@@ -13,10 +13,13 @@ from keyloom.plans.sizing import map_texts
 
 LEVEL = 3
 CHUNK_BYTES = 4096
-#: (least bytes, lowest ratio, highest ratio) of compressed to plain bytes. Frame overhead makes short texts look
+#: (least bytes, lowest ratio, highest ratio or (least bytes, highest ratio) of several) of compressed to plain bytes. Frame overhead makes short texts look
 #: incompressible, and long ones share more, so the limits fall with the length. Below 128 bytes ratios say nothing. From
 #: 1 kB on, Base64 (0.76 at best) is above the highest, prose well below.
-BANDS = ((0, 0.0, 99.0), (128, 0.35, 1.1), (256, 0.32, 0.95), (1024, 0.25, 0.74), (4096, 0.2, 0.7), (32768, 0.15, 0.7))
+#: Below that, the highest ratio falls within a band by lengths of its own, between prose and random Base64 of the length.
+_HIGHEST_128 = ((128, 0.98), (144, 0.97), (160, 0.95), (192, 0.9), (224, 0.88))
+_HIGHEST_256 = ((256, 0.86), (320, 0.84), (384, 0.82), (448, 0.79), (512, 0.77), (640, 0.76), (768, 0.75), (896, 0.74))
+BANDS = ((0, 0.0, 99.0), (128, 0.35, _HIGHEST_128), (256, 0.32, _HIGHEST_256), (1024, 0.25, 0.74), (4096, 0.2, 0.7), (32768, 0.15, 0.7))
 #: Limits of a whole chunk, and the share of a document's chunks that may lie outside.
 CHUNK_BAND = (0.15, 0.72)
 MAX_BAD_CHUNKS = 0.25
@@ -43,6 +46,8 @@ def verdict(size: int, whole: float, chunks: list[float], bands=BANDS, chunk_ban
     band = max(i for i, b in enumerate(bands) if size >= b[0])
     bad = sum(not chunk_band[0] <= x <= chunk_band[1] for x in chunks) if len(chunks) > 1 else 0
     _, low, high = bands[band]
+    if isinstance(high, tuple):
+        high = max(b for b in high if size >= b[0])[1]
     if size == 0:
         return band, 0, "empty"
     if whole < low:

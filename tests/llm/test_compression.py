@@ -1,5 +1,6 @@
 """Compression bands."""
 
+import base64
 import random
 import string
 
@@ -52,3 +53,14 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id or -1), r.n_bytes, r.reason) for r in C.compression_bands(docs).collect())
     assert got == [(-1, 5, None), (1, 0, "empty"), (2, 0, "empty"), (3, len(rows[3][1]), None), (4, 5, None), (4, 5, None)]
     assert C.kept(docs).count() == 4 and C.kept(docs.limit(0)).count() == 0
+
+
+def test_short_base64_goes_and_prose_of_its_length_stays(spark):
+    rng = random.Random(4)
+    english = "The garden by the river was quiet that morning, and the children walked slowly home from school with their books, while their mother waited at the gate and talked to a neighbour about the weather. "
+    sizes = (140, 150, 170, 200, 240, 300, 350, 400, 480, 600, 700, 800, 1000)
+    junk = [(n, base64.b64encode(rng.randbytes(n)).decode()[:n]) for n in sizes]
+    words = [(2000 + n, (english if n < 200 else english + prose(200, n))[:n]) for n in sizes]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in junk + words], SCHEMA)
+    got = {r.doc_id: r.reason for r in C.compression_bands(docs).collect()}
+    assert got == {n: "incompressible" for n in sizes} | {2000 + n: None for n in sizes}
