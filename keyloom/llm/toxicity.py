@@ -18,9 +18,9 @@ from keyloom.plans.sizing import map_texts
 
 #: Most labelled documents whose terms choose the seeds.
 MAX_LABELLED = 50_000
-#: A term is a token cut to this many characters, so that inflected and compound forms count as one. Terms of different
-#: languages are different terms, and each language is a graph of its own.
-STEM = 5
+#: Characters to which tokens are cut; None takes whole tokens as terms, so that different words stay apart. Terms of
+#: different languages are different terms, and each language is a graph of its own.
+STEM = None
 #: Terms in at least so many documents, and in at most this share of all, are nodes. The least doesn't rise with the corpus.
 NODE_COUNT, NODE_SHARE = 3, 0.2
 #: The language of documents without one.
@@ -85,7 +85,7 @@ def terms(texts: pa.Array, codes: pa.Array) -> Iterator[tuple[Chunk, Chunk]]:
     """(tokens, terms) of each chunk of a column of texts with their languages."""
     codes = codes.to_numpy().view(U)
     for chunk in chunks(texts):
-        cut_off = stems(chunk, STEM)
+        cut_off = chunk if STEM is None else stems(chunk, STEM)
         yield chunk, replace(cut_off, hashes=mix(cut_off.hashes ^ np.repeat(codes[chunk.lo : chunk.hi], chunk.counts)))
 
 
@@ -215,7 +215,7 @@ def choose_seeds(hashes: np.ndarray, code: np.ndarray, root: np.ndarray, clean:
     return np.concatenate(bad or none), np.concatenate(good or none)
 
 
-def edges(docs: DataFrame, nodes: np.ndarray, code: np.ndarray, seeds: np.ndarray, number: np.ndarray, total: np.ndarray) -> DataFrame:
+def edges(docs: DataFrame, nodes: np.ndarray, code: np.ndarray, seeds: np.ndarray, number: np.ndarray, total: np.ndarray) -> pa.Table:
     """(seed, node, pmi): the edges of the graph; ``seed`` is an index of ``seeds``, ``node`` one of ``nodes``.
 
     Nodes occur in ``number`` of the ``total`` documents of their language. Tasks count in how many of their own documents
@@ -230,11 +230,12 @@ def edges(docs: DataFrame, nodes: np.ndarray, code: np.ndarray, seeds: np.ndarra
     # a seed has a cell for each node of its language
     width, origin = sizes[lang[seeds]], first[lang[seeds]]
     base = np.append(0, np.cumsum(width))
-    known = docs.sparkSession.sparkContext.broadcast((Filter(nodes), seeds, number, total, by_lang, local, width, origin, base))
+    known = docs.sparkSession.sparkContext.broadcast((nodes, seeds, number.astype(np.int32), total[seeds], by_lang.astype(np.int32), local.astype(np.int32), width, origin, base))
     kinds_of = (np.int32, np.int32, np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seeds, _, _, _, local, width, _, base = known.value
+        nodes, seeds, _, _, _, local, width, _, base = known.value
+        words = Filter(nodes)
         rank = np.full(len(words.values), -1)
         rank[seeds] = np.arange(len(seeds))
         number = len(words.values)
@@ -292,13 +293,15 @@ def edges(docs: DataFrame, nodes: np.ndarray, code: np.ndarray, seeds: np.ndarra
         me, here = seeds[seed], by_lang[origin[seed] : origin[seed] + width[seed]]
         cell = np.flatnonzero((n >= EDGE_COUNT) & (np.bitwise_count(kinds) >= np.minimum(EDGE_KINDS, (n + 1) // 2)))
         some, n = here[cell], n[cell]
-        pmi = np.log(n * float(total[me]) / (float(number[me]) * number[some]))
-        good = (pmi > 0) & (some != me) & (signed_root(n, number[me], number[some], total[me]) >= EDGE_ROOT)
+        pmi = np.log(n * float(total[seed]) / (float(number[me]) * number[some]))
+        good = (pmi > 0) & (some != me) & (signed_root(n, number[me], number[some], total[seed]) >= EDGE_ROOT)
         some = some[good]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), seed, np.int32)), pa.array(some.astype(np.int32)), pa.array(pmi[good])], names=["seed", "node", "pmi"])
 
     mapped = map_texts(_keyed(docs).select("code", "text"), run, "seed int, nodes binary, ns binary, kinds binary")
-    return mapped.repartition("seed").sortWithinPartitions("seed").mapInArrow(add, "seed int, node int, pmi double")
+    out = mapped.repartition("seed").sortWithinPartitions("seed").mapInArrow(add, "seed int, node int, pmi double").toArrow()
+    known.destroy()
+    return out
 
 
 def walk(size: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, origin: np.ndarray, damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
@@ -356,7 +359,7 @@ def induce(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         return Lexicon(words, hashes, np.zeros(len(hashes)), np.zeros(len(hashes)), is_seed, code)
     expanded, frontier, graph = np.empty(0, np.int64), seeds, []
     while len(frontier):
-        found = edges(docs, hashes, code, frontier, n, here).toArrow()
+        found = edges(docs, hashes, code, frontier, n, here)
         graph.append((frontier[found.column("seed").to_numpy()], found.column("node").to_numpy().astype(np.int64), found.column("pmi").to_numpy()))
         expanded = np.concatenate([expanded, frontier])
         a, b, pmi = (np.concatenate(x) for x in zip(*graph))

@@ -160,3 +160,11 @@ def test_every_bound_term_is_a_seed():
     root = np.append(np.full(100, 9.0), np.full(100, -1.0))
     bad, good = T.choose_seeds(np.arange(200).astype(U), np.zeros(200, np.int64), root, np.ones(200, np.int64))
     assert sorted(bad) == list(range(100)) and len(good) == T.CLEAN_SEEDS
+
+
+def test_words_of_one_stem_are_different_terms(spark):
+    rows, labels = corpus()
+    # toxic documents have "worthless", as many clean ones "worthy"
+    rows = [(i, text + (" worthless" if i % 6 == 0 else " worthy" if i % 6 < 3 else ""), *rest) for i, text, *rest in rows]
+    lexicon = T.induce(*frames(spark, rows, labels)).keep()
+    assert "worthless" in lexicon.words and "worthy" not in lexicon.words and "worth" not in lexicon.words
