@@ -49,6 +49,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def unmix(h: np.ndarray) -> np.ndarray:
+    """The value that :func:`mix` makes ``h`` of."""
+    back = U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+    h = h ^ (h >> U(32))
+    h *= back
+    h ^= h >> U(32)
+    h *= back
+    h ^= h >> U(32)
+    return h
+
+
 @dataclass
 class Chunk:
     """Tokens of documents lo..hi-1 of a column; ``offsets`` and ``bounds`` have the first token and byte of each, and the end."""
@@ -109,14 +120,6 @@ def _hashed(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix((sums[ends] - sums[starts]) * powers(BASE_INV, len(sums))[starts])
 
 
-def stems(chunk: Chunk, n: int) -> Chunk:
-    """``chunk`` with every token cut to its first n characters."""
-    first = np.flatnonzero((chunk.data & 0xC0) != 0x80)
-    at = np.searchsorted(first, chunk.starts) + n
-    ends = np.minimum(chunk.ends, np.append(first, len(chunk.data))[np.minimum(at, len(first))])
-    return replace(chunk, hashes=_hashed(chunk.sums, chunk.starts, ends), ends=ends)
-
-
 def hash_words(words: list[str]) -> np.ndarray:
     """The hash of each of ``words``, every one of which is a single token."""
     out = [c.hashes for c in chunks(pa.array(words, pa.string()))]

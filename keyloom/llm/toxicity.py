@@ -10,34 +10,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.decontaminate import Filter, _ranges
-from keyloom.llm.tokens import Chunk, U, chunks, hash_words, mix, stems, windows
-from keyloom.plans.lineage import cut, drop
+from keyloom.llm import wordgraph
+from keyloom.llm.decontaminate import Filter
+from keyloom.llm.tokens import Chunk, U, chunks, hash_words, mix, unmix, windows
+from keyloom.llm.wordgraph import signed_root_column
+from keyloom.plans.lineage import cut, drop, sized
 from keyloom.plans.names import fresh
 from keyloom.plans.sizing import map_texts
 
 #: Most labelled documents whose terms choose the seeds.
 MAX_LABELLED = 50_000
-#: Characters to which tokens are cut; None takes whole tokens as terms, so that different words stay apart. Terms of
-#: different languages are different terms, and each language is a graph of its own.
-STEM = None
-#: Terms in at least so many documents, and in at most this share of all, are nodes. The least doesn't rise with the corpus.
+#: Whole tokens are terms; those of different languages are different terms, and each language is a graph of its own.
+#: Terms in at least NODE_COUNT documents, and in at most NODE_SHARE of those of their language, are nodes; more frequent
+#: ones are stop terms. The least count doesn't rise with the corpus.
 NODE_COUNT, NODE_SHARE = 3, 0.2
 #: The language of documents without one.
 NO_LANGUAGE = 0
 #: A toxic seed is more frequent in toxic than in clean labelled documents by a likelihood ratio whose signed root is at
-#: least MIN_ROOT; all such terms are seeds. Of clean terms, so many in a language are.
-CLEAN_SEEDS, MIN_ROOT = 64, 4.0
-#: Least documents that two terms of an edge have in common, and the least signed root of the likelihood ratio of their
-#: independence: a term that met a seed by chance gets no edge.
-EDGE_COUNT, EDGE_ROOT = 3, 6.0
-#: Least classes of contents, out of 16, among the documents of an edge, or half of its documents: copies of one
-#: document make no edge.
-EDGE_KINDS = 6
+#: least MIN_ROOT. Clean seeds are the terms of clean labelled documents that are at most as frequent in toxic ones.
+MIN_ROOT = 4.0
 #: Tokens and number of the shingle minima that tell contents apart.
 SKETCH_TOKENS, SKETCHES = 4, 4
-#: Probability to go on rather than restart at a seed, and steps of the walk.
-DAMPING, STEPS = 0.5, 40
 #: Terms with at least this polarity are in the lexicon, unless fewer than MIN_SHARE of their labelled documents are
 #: toxic, where the walk counts as PRIOR documents. That share times the polarity is a term's weight.
 MIN_POLARITY, MIN_SHARE, PRIOR = 0.5, 0.3, 2.0
@@ -45,29 +38,33 @@ MIN_POLARITY, MIN_SHARE, PRIOR = 0.5, 0.3, 2.0
 MIN_SCORE, MIN_RATE = 1.0, 0.006
 #: Chunks whose counts a task sums up at a time, and the most distinct terms that it holds before it sends them.
 FLUSH, MOST_TERMS = 16, 300_000
-#: Most pairs of a seed and a node that a task holds before it sends them.
-MOST_CELLS = 1_000_000
 
-_COUNTS = "hash long, word string, code long, n long, toxic long, clean long"
+_COUNTS = "term long, code long, n long, uses long, toxic long, clean long"
 _LABELLED = "key long, code long, toxic int"
 
 
 @dataclass
 class Lexicon:
-    words: list[str]
-    hashes: np.ndarray
+    """Terms with their languages; ``term`` is a hash of both."""
+
+    term: np.ndarray
+    code: np.ndarray
     polarity: np.ndarray
     share: np.ndarray
-    is_seed: np.ndarray
-    code: np.ndarray
 
     @property
     def weight(self) -> np.ndarray:
         return self.polarity * self.share
 
-    def keep(self, least: float = MIN_POLARITY, share: float = MIN_SHARE) -> Lexicon:
-        m = (self.polarity >= least) & (self.share >= share)
-        return Lexicon([w for w, x in zip(self.words, m) if x], self.hashes[m], self.polarity[m], self.share[m], self.is_seed[m], self.code[m])
+    @property
+    def hashes(self) -> np.ndarray:
+        """The hashes of the terms' tokens, as :func:`tokens.hash_words` has them."""
+        return unmix(self.term) ^ self.code.view(U)
+
+    def words(self, candidates: list[str]) -> set[str]:
+        """Those of ``candidates`` that are terms in some language."""
+        known = set(self.hashes.tolist())
+        return {w for w, h in zip(candidates, hash_words(candidates).tolist()) if h in known}
 
 
 def _code(docs: DataFrame) -> Column:
@@ -77,16 +74,16 @@ def _code(docs: DataFrame) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, code, text); ``key`` tells rows of one id apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key"), _code(docs).alias("code"), F.col("text").cast("string").alias("text"))
+    """(doc_id, key, code, text); ``key`` tells rows of one id apart. An id that is no integer counts as null."""
+    doc_id, text = F.col("doc_id").try_cast("long"), F.col("text").cast("string")
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), _code(docs).alias("code"), text.alias("text"))
 
 
 def terms(texts: pa.Array, codes: pa.Array) -> Iterator[tuple[Chunk, Chunk]]:
     """(tokens, terms) of each chunk of a column of texts with their languages."""
     codes = codes.to_numpy().view(U)
     for chunk in chunks(texts):
-        cut_off = chunk if STEM is None else stems(chunk, STEM)
-        yield chunk, replace(cut_off, hashes=mix(cut_off.hashes ^ np.repeat(codes[chunk.lo : chunk.hi], chunk.counts)))
+        yield chunk, replace(chunk, hashes=mix(chunk.hashes ^ np.repeat(codes[chunk.lo : chunk.hi], chunk.counts)))
 
 
 def sketches(chunk: Chunk, number: int = SKETCHES) -> np.ndarray:
@@ -101,21 +98,6 @@ def sketches(chunk: Chunk, number: int = SKETCHES) -> np.ndarray:
     return out
 
 
-def distinct(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token index of each distinct term, document and term index of each distinct pair of them)."""
-    _, first, which = np.unique(chunk.hashes, return_index=True, return_inverse=True)
-    pair = np.unique(chunk.doc_of() * max(1, len(first)) + which)
-    return first, pair // max(1, len(first)), pair % max(1, len(first))
-
-
-def _words(chunk: Chunk, at: np.ndarray) -> pa.Array:
-    size = chunk.ends[at] - chunk.starts[at]
-    data = chunk.data[np.repeat(chunk.starts[at], size) + _ranges(size)]
-    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-    return binary.cast(pa.large_string())
-
-
 def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> pa.Table:
     """(key, code, toxic) of the labelled documents that choose the seeds.
 
@@ -123,7 +105,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     of several labels of an id the toxic one holds. Of documents that share a shingle minimum, as copies do, the one
     of the least key stays, lest the words of a document that was copied a thousand times become seeds.
     """
-    some = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    some = labels.where(F.col("doc_id").try_cast("long").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").try_cast("long").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = F.broadcast(some.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled))
     joined = _keyed(docs).join(some, F.col("doc_id") == F.col("__id")).select("key", "code", "toxic", "text")
 
@@ -145,37 +127,39 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
 
 
 def word_counts(docs: DataFrame, sample: pa.Table) -> DataFrame:
-    """(hash, word, code, n, toxic, clean): in how many documents, toxic and clean ones of the sample each term occurs.
+    """(term, code, n, uses, toxic, clean): in how many documents, toxic and clean ones of the sample each term occurs.
 
-    Every document counts in ``n``. Tasks sum the counts of their own documents before the shuffle.
+    ``uses`` counts its tokens. Every document counts. Tasks sum the counts of their own documents before the shuffle.
     """
     known = docs.sparkSession.sparkContext.broadcast((sample.column("key").to_numpy(), sample.column("toxic").to_numpy()))
 
-    def summed(held: list) -> tuple:
-        hashes = np.concatenate([x[0] for x in held])
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        words = pa.chunked_array([x[1] for x in held]).combine_chunks().take(pa.array(first))
-        codes = np.concatenate([x[2] for x in held])[first]
-        return hashes[first], words, codes, *(np.bincount(which, np.concatenate([x[k] for x in held]), len(first)).astype(np.int64) for k in (3, 4, 5))
+    def counted(chunk: Chunk, codes: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, ...]:
+        term, first, which, uses = np.unique(chunk.hashes, return_index=True, return_inverse=True, return_counts=True)
+        doc_of, size = chunk.doc_of(), max(1, len(term))
+        pair = np.sort(doc_of * size + which)
+        pair = pair[np.flatnonzero(np.diff(pair, prepend=-1))]
+        doc, word = pair // size, pair % size
+        kind = toxic[doc]
+        return term, codes[doc_of[first]], np.bincount(word, minlength=len(term)), uses, *(np.bincount(word[kind == k], minlength=len(term)) for k in (1, 0))
+
+    def summed(held: list) -> tuple[np.ndarray, ...]:
+        term, first, which = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
+        return term, np.concatenate([x[1] for x in held])[first], *(np.bincount(which, np.concatenate([x[k] for x in held]), len(term)).astype(np.int64) for k in (2, 3, 4, 5))
 
-    def sent(hashes: np.ndarray, words: pa.Array, *rest: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, len(hashes), 1 << 16):
-            part = slice(lo, lo + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[part].view(np.int64)), words[part].cast(pa.string()), *(pa.array(x[part]) for x in rest)], names=[x.split()[0] for x in _COUNTS.split(", ")])
+    def sent(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(columns[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)].view(np.int64)) for x in columns], names=[x.split()[0] for x in _COUNTS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, labels = known.value
         held: list = []
         for batch in batches:
-            mine = batch.column(0).to_numpy()
+            mine, codes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             at = np.minimum(np.searchsorted(keys, mine), max(0, len(keys) - 1))
             toxic = np.where(keys[at] == mine, labels[at], -1) if len(keys) else np.full(len(mine), -1)
-            codes = batch.column(1).to_numpy()
             for _, chunk in terms(batch.column(2), batch.column(1)):
-                first, doc, word = distinct(chunk)
-                kind = toxic[chunk.lo : chunk.hi][doc]
-                code = codes[chunk.lo : chunk.hi][np.searchsorted(chunk.offsets, first, "right") - 1]
-                held.append((chunk.hashes[first], _words(chunk, first), code, np.bincount(word, minlength=len(first)), *(np.bincount(word[kind == k], minlength=len(first)) for k in (1, 0))))
+                part = slice(chunk.lo, chunk.hi)
+                held.append(counted(chunk, codes[part], toxic[part]))
                 if len(held) > FLUSH:
                     held = [summed(held)]
                     if len(held[0][0]) > MOST_TERMS:
@@ -183,201 +167,56 @@ def word_counts(docs: DataFrame, sample: pa.Table) -> DataFrame:
         if held:
             yield from sent(*summed(held))
 
-    return map_texts(_keyed(docs).select("key", "code", "text"), run, _COUNTS).groupBy("hash", "code").agg(F.min("word").alias("word"), *[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
+    return map_texts(_keyed(docs).select("key", "code", "text"), run, _COUNTS).groupBy("term", "code").agg(*[F.sum(c).alias(c) for c in ("n", "uses", "toxic", "clean")])
 
 
-def signed_root(k: np.ndarray, n: np.ndarray, m: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """The root of the likelihood ratio of a 2x2 table, negative where fewer than expected.
+def _languages(docs: DataFrame, sample: pa.Table) -> DataFrame:
+    """(code, docs, toxic_docs, clean_docs), counted over all documents and over the sample."""
+    spark = docs.sparkSession
+    marks = spark.createDataFrame(sample.select(["code", "toxic"])).groupBy("code").agg(F.sum("toxic").alias("toxic_docs"), F.sum(1 - F.col("toxic")).alias("clean_docs"))
+    return docs.select(_code(docs).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("docs")).join(marks, "code", "left").fillna(0)
 
-    k of ``total`` cases are of both kinds, n of the one and m of the other.
-    """
-    k, n, m, total = (np.asarray(x, float) for x in (k, n, m, total))
-    cells = [(k, n, m), (n - k, n, total - m), (m - k, total - n, m), (total - n - m + k, total - n, total - m)]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = sum(np.where(c > 0, c * np.log(c * total / (x * y)), 0) for c, x, y in cells)
-    return np.sqrt(np.maximum(0, 2 * g)) * np.sign(k * total - n * m)
 
+def polarities(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ranked: int = wordgraph.RANKED) -> DataFrame:
+    """(term, code, n, toxic, clean, is_seed, polarity, share): the nodes that a walk visits, from -1 (clean) to 1 (toxic).
 
-def choose_seeds(hashes: np.ndarray, code: np.ndarray, root: np.ndarray, clean: np.ndarray, size: int = CLEAN_SEEDS, least: float = MIN_ROOT) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the toxic and of the clean seeds; ``root`` binds a term to toxic labelled documents of its language.
+    The graph joins all nodes of a language that meet (see :mod:`wordgraph`), by positive pointwise mutual information over
+    all documents. One walk restarts at the toxic seeds, alike often at each, one at the clean ones; a term's polarity compares how
+    often they visit it, and ``share`` is what the labelled documents say of it. All seeds count, all nodes are counted,
+    and neither is brought to the driver. A language without toxic seeds has no walk; without labels there is no row.
 
-    The toxic seeds of a language are all terms bound by ``least``. Its clean seeds are terms, of the least mixed hashes, that
-    are at most as frequent in toxic as in clean documents; taken by chance, they stand for every topic. A language
-    without toxic seeds has none at all.
+    Null, empty and wordless texts have no terms. Very long texts are whole documents like others. Repeated rows count each.
+    Rows of equal text but one give no seeds. Ties can't occur: every rule is a threshold. Extra columns aren't read.
     """
-    bad, good = [], []
-    for lang in np.unique(code[root >= least]):
-        mine = np.flatnonzero(code == lang)
-        bad.append(mine[root[mine] >= least])
-        plain = mine[(root[mine] <= 0) & (clean[mine] > 0)]
-        good.append(plain[np.argsort(mix(hashes[plain]), kind="stable")[:size]])
-    none = [np.empty(0, np.int64)]
-    return np.concatenate(bad or none), np.concatenate(good or none)
-
-
-def edges(docs: DataFrame, nodes: np.ndarray, code: np.ndarray, seeds: np.ndarray, number: np.ndarray, total: np.ndarray) -> pa.Table:
-    """(seed, node, pmi): the edges of the graph; ``seed`` is an index of ``seeds``, ``node`` one of ``nodes``.
-
-    Nodes occur in ``number`` of the ``total`` documents of their language. Tasks count in how many of their own documents
-    a seed meets each node; a row of that table travels as one value, and one task sums it, leaves out
-    what is no edge (see EDGE_COUNT, EDGE_KINDS, EDGE_ROOT) and weighs the others by positive mutual information.
-    """
-    _, lang, sizes = np.unique(code, return_inverse=True, return_counts=True)
-    by_lang = np.argsort(lang, kind="stable")
-    first = np.cumsum(sizes) - sizes
-    local = np.empty(len(code), np.int64)
-    local[by_lang] = np.arange(len(code)) - first[lang[by_lang]]
-    # a seed has a cell for each node of its language
-    width, origin = sizes[lang[seeds]], first[lang[seeds]]
-    base = np.append(0, np.cumsum(width))
-    known = docs.sparkSession.sparkContext.broadcast((nodes, seeds, number.astype(np.int32), total[seeds], by_lang.astype(np.int32), local.astype(np.int32), width, origin, base))
-    kinds_of = (np.int32, np.int32, np.uint16)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, seeds, _, _, _, local, width, _, base = known.value
-        words = Filter(nodes)
-        rank = np.full(len(words.values), -1)
-        rank[seeds] = np.arange(len(seeds))
-        number = len(words.values)
-        held: list = []
-        for batch in batches:
-            for tokens, chunk in terms(batch.column(1), batch.column(0)):
-                at, which = words.find(chunk.hashes)
-                pair = np.unique(chunk.doc_of()[at] * number + which)
-                doc, node = pair // number, pair % number
-                count = np.bincount(doc, minlength=chunk.hi - chunk.lo)
-                start = np.cumsum(count) - count
-                mine = np.flatnonzero(rank[node] >= 0)
-                length = count[doc[mine]]
-                cell = np.repeat(base[rank[node[mine]]], length) + local[node[np.repeat(start[doc[mine]], length) + _ranges(length)]]
-                kind = (U(1) << (mix(sketches(tokens, 1)[:, 0]) >> U(60))).astype(np.uint16)
-                held.append((cell, np.ones(len(cell), np.int32), np.repeat(kind[doc[mine]], length)))
-                if len(held) > FLUSH:
-                    held = [summed(held)]
-                    if len(held[0][0]) > MOST_CELLS:
-                        yield from sent(base, *held.pop())
-        if held:
-            yield from sent(base, *summed(held))
-
-    def summed(held: list) -> tuple:
-        cell, which = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-        kinds = np.zeros(len(cell), np.uint16)
-        np.bitwise_or.at(kinds, which, np.concatenate([x[2] for x in held]))
-        return cell, np.bincount(which, np.concatenate([x[1] for x in held]), len(cell)).astype(np.int32), kinds
-
-    def sent(base: np.ndarray, cell: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bounds = np.searchsorted(cell, base)
-        for seed in range(len(base) - 1):
-            mine = slice(bounds[seed], bounds[seed + 1])
-            if bounds[seed] < bounds[seed + 1]:
-                cells = (np.diff(cell[mine] - base[seed], prepend=0), total[mine], kinds[mine])
-                yield pa.RecordBatch.from_arrays([pa.array([seed], pa.int32()), *(pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip(cells, kinds_of))], names=["seed", "nodes", "ns", "kinds"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, now = known.value[6], None
-        for batch in batches:
-            for seed, *cells in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if seed != now:
-                    if now is not None:
-                        yield weighed(now, n, kinds)
-                    now, n, kinds = seed, np.zeros(width[seed], np.int64), np.zeros(width[seed], np.uint16)
-                gap, number, kind = (np.frombuffer(x, t) for x, t in zip(cells, kinds_of))
-                node = np.cumsum(gap)
-                n[node] += number
-                kinds[node] |= kind
-        if now is not None:
-            yield weighed(now, n, kinds)
-
-    def weighed(seed: int, n: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
-        _, seeds, number, total, by_lang, _, width, origin, _ = known.value
-        me, here = seeds[seed], by_lang[origin[seed] : origin[seed] + width[seed]]
-        cell = np.flatnonzero((n >= EDGE_COUNT) & (np.bitwise_count(kinds) >= np.minimum(EDGE_KINDS, (n + 1) // 2)))
-        some, n = here[cell], n[cell]
-        pmi = np.log(n * float(total[seed]) / (float(number[me]) * number[some]))
-        good = (pmi > 0) & (some != me) & (signed_root(n, number[me], number[some], total[seed]) >= EDGE_ROOT)
-        some = some[good]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), seed, np.int32)), pa.array(some.astype(np.int32)), pa.array(pmi[good])], names=["seed", "node", "pmi"])
-
-    mapped = map_texts(_keyed(docs).select("code", "text"), run, "seed int, nodes binary, ns binary, kinds binary")
-    out = mapped.repartition("seed").sortWithinPartitions("seed").mapInArrow(add, "seed int, node int, pmi double").toArrow()
-    known.destroy()
-    return out
-
-
-def walk(size: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, origin: np.ndarray, damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
-    """Visits of a random walk over undirected edges a-b that restarts by ``origin``."""
-    x, y, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([weight, weight])
-    share = w / np.maximum(np.bincount(x, w, size)[x], 1e-300)
-    p = origin
-    for _ in range(steps):
-        p = damping * np.bincount(y, p[x] * share, size) + (1 - damping) * origin
-    return p
-
-
-def polarity(code: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, bad: np.ndarray, good: np.ndarray) -> np.ndarray:
-    """(t - c) / (t + c) of the visits of the toxic walk and the clean one; 0 for terms that neither reaches.
-
-    Both walks restart alike often in each language.
-    """
-    visits = []
-    for seeds in (bad, good):
-        _, at, number = np.unique(code[seeds], return_inverse=True, return_counts=True)
-        origin = np.zeros(len(code))
-        origin[seeds] = 1 / number[at] if len(seeds) else 0
-        visits.append(walk(len(code), a, b, weight, origin))
-    return (visits[0] - visits[1]) / np.maximum(visits[0] + visits[1], 1e-300)
-
-
-def induce(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Lexicon:
-    """The polarity of every node term, from -1 (clean) to 1 (toxic).
-
-    The graph joins each seed, and each term that proves to be in the lexicon, to the nodes of its language with which it
-    shares documents, by positive pointwise mutual information over all documents of the language. Terms that join the
-    lexicon get their edges by another pass over the documents, until no term joins; edges between two other terms aren't
-    counted. One walk restarts at the toxic seeds and one at the clean ones; a
-    term's polarity compares how often they visit it; its ``share`` is what the labelled documents say of it. Every term of
-    NODE_COUNT documents is a node, however large the corpus, so the nodes that reach the driver grow with the vocabulary. Without toxic labels, or without seeds, no term is toxic.
-    """
-    languages = {r.code: r.n for r in _keyed(docs).groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "code").collect()}
-    total = sum(languages.values())
     sample = labelled(docs, labels, max_labelled)
-    low, high = NODE_COUNT, max(NODE_COUNT, NODE_SHARE * total)
-    counted = cut(word_counts(docs, sample), "terms")
-    rows = counted.where(F.col("n").between(low, high)).toArrow()
+    languages = cut(_languages(docs, sample), "languages")
+    high = F.greatest(F.lit(float(NODE_COUNT)), NODE_SHARE * F.col("docs"))
+    counted = cut(word_counts(docs, sample).join(sized(languages), "code").withColumn("stop", F.col("n") > high), "terms")
+    # at most mean distinct terms of a document / NODE_SHARE a language
+    stop = counted.where("stop").select("term").toArrow().column("term").to_numpy().view(U)
+    totals = counted.where("not stop").groupBy("code").agg(F.sum("uses").alias("total"))
+    seen = totals.agg(F.sum("total")).first()[0] or 0
+    nodes = counted.where((~F.col("stop")) & (F.col("n") >= NODE_COUNT)).join(totals, "code")
+    root = signed_root_column(F.least("toxic", "toxic_docs"), F.col("toxic_docs"), F.least(F.col("toxic") + F.col("clean"), F.col("toxic_docs") + F.col("clean_docs")), F.col("toxic_docs") + F.col("clean_docs"))
+    nodes = nodes.withColumn("kind", F.when(root >= MIN_ROOT, 1).when((root <= 0) & (F.col("clean") > 0), -1).otherwise(0))
+    nodes = cut(nodes.select("term", "code", "n", "uses", "total", "toxic", "clean", "kind"), "nodes")
     drop(counted)
-    hashes = rows.column("hash").to_numpy().astype(np.int64).view(U)
-    by = np.argsort(hashes)
-    hashes, words = hashes[by], rows.column("word").take(pa.array(by)).to_pylist()
-    code, n, toxic, clean = (rows.column(c).to_numpy()[by] for c in ("code", "n", "toxic", "clean"))
-    classes = {k: _per_code(code, sample.column("code").to_numpy()[sample.column("toxic").to_numpy() == k]) for k in (0, 1)}
-    here = _per_code(code, np.array(list(languages), np.int64), np.array(list(languages.values()), np.int64))
-    root = signed_root(np.minimum(toxic, classes[1]), classes[1], np.minimum(toxic + clean, classes[0] + classes[1]), classes[0] + classes[1])
-    bad, good = choose_seeds(hashes, code, root, clean)
-    seeds, is_seed = np.concatenate([bad, good]), np.zeros(len(hashes), bool)
-    is_seed[bad] = True
-    if not len(bad):
-        return Lexicon(words, hashes, np.zeros(len(hashes)), np.zeros(len(hashes)), is_seed, code)
-    expanded, frontier, graph = np.empty(0, np.int64), seeds, []
-    while len(frontier):
-        found = edges(docs, hashes, code, frontier, n, here)
-        graph.append((frontier[found.column("seed").to_numpy()], found.column("node").to_numpy().astype(np.int64), found.column("pmi").to_numpy()))
-        expanded = np.concatenate([expanded, frontier])
-        a, b, pmi = (np.concatenate(x) for x in zip(*graph))
-        use = ~(np.isin(b, expanded) & (a > b))
-        out = polarity(code, a[use], b[use], pmi[use], bad, good)
-        share = (toxic + PRIOR * np.maximum(out, 0)) / (toxic + clean + PRIOR)
-        frontier = np.setdiff1d(np.flatnonzero((out >= MIN_POLARITY) & (share >= MIN_SHARE)), expanded)
-    return Lexicon(words, hashes, out, share, is_seed, code)
-
-
-def _per_code(code: np.ndarray, codes: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-    """For each of ``code``, how often it is among ``codes``."""
-    known, at = np.unique(codes, return_inverse=True)
-    if not len(known):
-        return np.zeros(len(code), np.int64)
-    number = np.bincount(at, weights, len(known)).astype(np.int64)
-    where = np.minimum(np.searchsorted(known, code), len(known) - 1)
-    return np.where(known[where] == code, number[where], 0)
+    drop(languages)
+    graph = cut(wordgraph.edges(wordgraph.pairs(_keyed(docs).select("code", "text"), terms, sketches, nodes, stop, wordgraph.WINDOW * seen, ranked=ranked)), "graph")
+    number = nodes.where("kind != 0").groupBy("code").agg(*[F.sum((F.col("kind") == k).cast("long")).alias(c) for k, c in ((1, "bad"), (-1, "good"))]).where("bad > 0")
+    chance = lambda k, c: F.when(F.col("kind") == k, 1 / F.col(c)).otherwise(0.0)
+    origin = nodes.where("kind != 0").join(number, "code").select("term", chance(1, "bad").alias("t"), chance(-1, "good").alias("c"))
+    visits = wordgraph.walk(graph, origin, ["t", "c"])
+    polarity = (F.col("t") - F.col("c")) / (F.col("t") + F.col("c"))
+    share = (F.col("toxic") + PRIOR * F.greatest(F.lit(0.0), F.col("polarity"))) / (F.col("toxic") + F.col("clean") + PRIOR)
+    visited = visits.where("t + c > 0").select("term", polarity.alias("polarity"))
+    return nodes.join(visited, "term").select("term", "code", "n", "toxic", "clean", (F.col("kind") == 1).alias("is_seed"), "polarity", share.alias("share"))
+
+
+def induce(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ranked: int = wordgraph.RANKED) -> Lexicon:
+    """The terms of :func:`polarities` with at least MIN_POLARITY and MIN_SHARE, in order of their hashes."""
+    rows = polarities(docs, labels, max_labelled, ranked).where((F.col("polarity") >= MIN_POLARITY) & (F.col("share") >= MIN_SHARE)).select("term", "code", "polarity", "share").toArrow().sort_by("term")
+    return Lexicon(rows.column("term").to_numpy().view(U), *(rows.column(c).to_numpy() for c in ("code", "polarity", "share")))
 
 
 SCORES = "doc_id long, score double, hits int, tokens int, rate double, toxic int"
@@ -404,7 +243,7 @@ def score(docs: DataFrame, lexicon: Lexicon, min_score: float = MIN_SCORE, min_r
 def _scorer(lexicon: Lexicon) -> tuple[Filter, np.ndarray, np.ndarray]:
     """(hashes, their weights, languages with terms of their own); NO_LANGUAGE has the terms of all, at their highest weight."""
     own = lexicon.code != NO_LANGUAGE
-    hashes = np.concatenate([lexicon.hashes[own], mix(hash_words(lexicon.words) ^ U(NO_LANGUAGE))])
+    hashes = np.concatenate([lexicon.term[own], mix(lexicon.hashes ^ U(NO_LANGUAGE))])
     words = Filter(hashes)
     weight = np.zeros(len(words.values))
     np.maximum.at(weight, np.searchsorted(words.values, hashes), np.concatenate([lexicon.weight[own], lexicon.weight]))
@@ -429,12 +268,12 @@ def _scored(chunk: Chunk, scorer: tuple[Filter, np.ndarray, np.ndarray], min_sco
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """The rows of :func:`score` that are toxic, by the lexicon that :func:`induce` finds in ``docs``."""
-    return score(docs, induce(docs, labels, **parameters).keep()).where("toxic = 1").drop("toxic")
+    return score(docs, induce(docs, labels, **parameters)).where("toxic = 1").drop("toxic")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE, min_rate: float = MIN_RATE, **parameters) -> DataFrame:
     """The rows of ``docs`` that aren't toxic, columns as they are; a map over the rows, without a join."""
-    known = docs.sparkSession.sparkContext.broadcast(_scorer(induce(docs, labels, **parameters).keep()))
+    known = docs.sparkSession.sparkContext.broadcast(_scorer(induce(docs, labels, **parameters)))
     at, width = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
