@@ -7,7 +7,9 @@ an index each), and a tagged value. Empty containers are leaves of kind array or
 from __future__ import annotations
 
 import json
+import math
 import re
+import sys
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -17,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.plans.sizing import small_side
 from keyloom.schema import COLUMNS, TYPES, VALUE
 
 MAX_DEPTH = 32
@@ -43,6 +46,16 @@ _NUMBER = re.compile(r"-?\d+(\.\d+)?([eE][+-]?\d+)?")
 _STRING = json.decoder.scanstring
 
 
+def _string(text: str, at: int) -> tuple[str, int]:
+    """(string, end) of what begins after a quote; half of a surrogate pair is no character."""
+    try:
+        out, end = _STRING(text, at, True)
+        out.encode()
+    except (json.JSONDecodeError, IndexError, UnicodeEncodeError) as fault:
+        raise SyntaxFault(str(fault)) from None
+    return out, end
+
+
 def leaves(text: str, max_depth: int = MAX_DEPTH) -> tuple[str, list[tuple[tuple, object]]]:
     """(root type, [(segments, value)]) of a document; names are str and indexes int.
 
@@ -58,10 +71,7 @@ def leaves(text: str, max_depth: int = MAX_DEPTH) -> tuple[str, list[tuple[tuple
                 raise DepthFault(f"nested deeper than {max_depth}")
             return container(at + 1, c, depth + 1, path, out)
         if c == '"':
-            try:
-                out[path], end = _STRING(text, at + 1, True)
-            except (json.JSONDecodeError, IndexError) as fault:
-                raise SyntaxFault(str(fault)) from None
+            out[path], end = _string(text, at + 1)
             return end
         for word, v in (("true", True), ("false", False), ("null", None)):
             if text.startswith(word, at):
@@ -84,10 +94,7 @@ def leaves(text: str, max_depth: int = MAX_DEPTH) -> tuple[str, list[tuple[tuple
                 at = _SPACE.match(text, at).end()
                 if not text.startswith('"', at):
                     raise SyntaxFault(f"no name at {at}")
-                try:
-                    step, at = _STRING(text, at + 1, True)
-                except (json.JSONDecodeError, IndexError) as fault:
-                    raise SyntaxFault(str(fault)) from None
+                step, at = _string(text, at + 1)
                 at = _SPACE.match(text, at).end()
                 if not text.startswith(":", at):
                     raise SyntaxFault(f"no colon at {at}")
@@ -124,6 +131,7 @@ def _constant(name: str) -> None:
 
 
 _DECODER = json.JSONDecoder(parse_constant=_constant)
+_SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
 
 
 def _walk(v: object, path: tuple, depth: int, max_depth: int, out: list) -> None:
@@ -140,7 +148,7 @@ def _walk(v: object, path: tuple, depth: int, max_depth: int, out: list) -> None
 def quick_leaves(text: str, max_depth: int = MAX_DEPTH) -> list[tuple[tuple, object]]:
     """The leaves of :func:`leaves`, by Python's own decoder where it accepts the text; what it refuses is parsed there."""
     start = _SPACE.match(text).end()
-    if text[start : start + 1] in ("{", "["):
+    if text[start : start + 1] in ("{", "[") and not _SURROGATE.search(text):
         try:
             v, _ = _DECODER.raw_decode(text, start)
         except (ValueError, RecursionError):
@@ -162,17 +170,15 @@ def segments_of(path: str) -> tuple:
 
 
 def typed(v: object) -> tuple[int, str | None, object]:
-    """(tag, payload column, payload) of a parsed value; integers beyond 64 bits are held at the limit."""
+    """(tag, payload column, payload) of a parsed value; numbers beyond 64 bits are held at the limit of their kind."""
     if v is None:
         return 0, None, None
     if isinstance(v, bool):
         return 1, "v_bool", v
-    if isinstance(v, float):
-        return 5, "v_f64", v
-    if isinstance(v, _Number) and any(c in v for c in ".eE"):
-        return 5, "v_f64", float(v)
+    if isinstance(v, float) or isinstance(v, _Number) and any(c in v for c in ".eE"):
+        return 5, "v_f64", max(-sys.float_info.max, min(float(v), sys.float_info.max))
     if isinstance(v, (int, _Number)):
-        n = int(v)
+        n = int(v) if isinstance(v, int) else _bounded(v)
         if n <= _INT_MAX:
             return 2, "v_int", max(n, _INT_MIN)
         return 3, "v_uint", Decimal(min(n, _UINT_MAX))
@@ -181,6 +187,12 @@ def typed(v: object) -> tuple[int, str | None, object]:
     return (8, "v_str", "[]") if isinstance(v, list) else (9, "v_str", "{}")
 
 
+def _bounded(digits: str) -> int:
+    """The integer of a text of any length, held at 20 digits."""
+    sign, size = (-1, digits[1:].lstrip("0")) if digits.startswith("-") else (1, digits.lstrip("0"))
+    return sign * (int(size or "0") if len(size) <= 20 else 10**20)
+
+
 _ARROW = {"boolean": pa.bool_(), "bigint": pa.int64(), "decimal(20,0)": pa.decimal128(20, 0), "float": pa.float32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
 
 
@@ -197,7 +209,7 @@ def flatten(docs: DataFrame, max_depth: int = MAX_DEPTH, keep_empty: bool = True
     """The leaves of documents (doc_id, json), in their order (``seq``).
 
     A map over the rows, so nothing is shuffled. Values are typed as null, bool, float64 (with a point or exponent), int,
-    uint (beyond the signed range) or string. A document that is no JSON, whose root is a scalar, or that is nested
+    uint (beyond the signed range) or string. A document that is no JSON (half of a surrogate pair included), whose root is a scalar, or that is nested
     deeper than ``max_depth`` raises an error, or has no leaves if ``bad`` is 'skip'; null has none. Without
     ``keep_empty``, empty containers below the root vanish.
     """
@@ -284,7 +296,8 @@ def unflatten(flat: DataFrame, indent: str | int | None = None, blobs: bool = Fa
     """(doc_id, json): the documents of leaves, the inverse of :func:`flatten`.
 
     One shuffle on ``doc_id``; a document is built by one task. Members are in the order of ``seq``. Indexes order the
-    elements of arrays by number. Blobs are null, or base64 if ``blobs``. ``indent`` makes the text pretty.
+    elements of arrays by number. Blobs are null, or base64 if ``blobs``; NaN and infinities, which JSON has not, are null.
+    ``indent`` makes the text pretty.
     """
     import base64
 
@@ -315,9 +328,11 @@ def unflatten(flat: DataFrame, indent: str | int | None = None, blobs: bool = Fa
                         v = base64.b64encode(v).decode() if blobs and v is not None else None
                     elif isinstance(v, Decimal):
                         v = int(v)
+                    elif isinstance(v, float) and not math.isfinite(v):
+                        v = None
                     items.append((tuple(steps[ends[i] : ends[i + 1]]), v))
                 lo += size
-                out.append(json.dumps(assemble(items), ensure_ascii=False, indent=indent, separators=separators))
+                out.append(json.dumps(assemble(items), ensure_ascii=False, indent=indent, separators=separators, allow_nan=False))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "json"])
 
     rows = flat.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "segments", *VALUE)).alias("rows"))
@@ -327,21 +342,24 @@ def unflatten(flat: DataFrame, indent: str | int | None = None, blobs: bool = Fa
 def lookup_paths(flat: DataFrame, paths: DataFrame) -> DataFrame:
     """(doc_id, path, found, value): every path of every document; containers aren't leaves and so aren't found."""
     ids = flat.select("doc_id").distinct()
-    wanted = ids.crossJoin(F.broadcast(paths.select("path").distinct()))
+    wanted = ids.crossJoin(small_side(paths.select("path").distinct()))
     cells = flat.select("doc_id", "path", F.lit(True).alias("__found"), *VALUE)
     return wanted.join(cells, ["doc_id", "path"], "left").select("doc_id", "path", F.coalesce("__found", F.lit(False)).alias("found"), *VALUE)
 
 
+def _variant_path(path: str) -> str:
+    """The path as Spark's variants have it; names may hold quotes, but no dots or brackets, at which paths are split."""
+    return "$" + "".join(f"[{s}]" if isinstance(s, int) else f".{s}" for s in segments_of(path))
+
+
 def at_path(doc: Column, path: str, kind: str = "string") -> Column:
     """The value at a path of a JSON text, as ``kind``, or null; a container is JSON text. Stays in the JVM."""
-    steps = "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in segments_of(path))
-    return F.try_variant_get(F.try_parse_json(doc), "$" + steps, kind)
+    return F.try_variant_get(F.try_parse_json(doc), _variant_path(path), kind)
 
 
 def has_path(doc: Column, path: str) -> Column:
     """Whether there is a value at a path, null included."""
-    steps = "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in segments_of(path))
-    return F.coalesce(F.try_variant_get(F.try_parse_json(doc), "$" + steps, "variant").isNotNull(), F.lit(False))
+    return F.coalesce(F.try_variant_get(F.try_parse_json(doc), _variant_path(path), "variant").isNotNull(), F.lit(False))
 
 
 def root_type(doc: Column) -> Column:

@@ -115,3 +115,29 @@ def test_a_generated_catalogue_survives(spark):
     catalogue = analyze.catalog(spark, 15)
     back = J.unflatten(J.flatten(catalogue)).first().json
     assert json.loads(back) == json.loads(catalogue.first().json) and len(json.loads(back)["products"]) == 15
+
+
+def test_numbers_and_strings_that_no_type_holds(spark):
+    digits = "9" * 5000
+    texts = {"long": f'{{"a":{digits},"b":-{digits},"z":{"0" * 5000}7}}', "float": '{"a":1e400,"b":-1e400,"c":[1e400]}', "half": '{"a":"\\ud800"}', "name": '{"\\udc00x":1}', "pair": '{"a":"\\ud83d\\ude00"}'}
+    rows = J.flatten(docs(spark, texts), bad="skip").select("doc_id", "path", schema.text_of().alias("t")).collect()
+    got = {(r.doc_id, r.path): r.t for r in rows}
+    assert got["long", "a"] == str((1 << 64) - 1) and got["long", "b"] == str(-(1 << 63)) and got["long", "z"] == "7"
+    assert {k[0] for k in got} == {"long", "float", "pair"} and got["pair", "a"] == "\U0001f600"
+    assert {r.doc_id: r.fault for r in J.faults(docs(spark, texts)).collect()} == {"half": "syntax", "name": "syntax"}
+    with pytest.raises(Exception, match="document half"):
+        J.flatten(docs(spark, {"half": texts["half"]})).collect()
+    back = {r.doc_id: json.loads(r.json, parse_constant=lambda _: 1 / 0) for r in J.unflatten(J.flatten(docs(spark, texts), bad="skip")).collect()}
+    assert back["float"]["a"] == -back["float"]["b"] == back["float"]["c"][0] > 1e308
+
+
+def test_infinities_of_entries_are_null(spark):
+    flat = J.flatten(docs(spark, {"d": '{"a":1.5,"b":2.5}'})).withColumn("v_f64", F.when(F.col("path") == "a", F.lit(float("inf"))).otherwise(F.col("v_f64")))
+    assert json.loads(J.unflatten(flat).first().json) == {"a": None, "b": 2.5}
+
+
+def test_paths_with_quotes(spark):
+    df = docs(spark, {"d": json.dumps({"it's": 1, 'q"q': {"b": [5]}, "b'\"": 2})})
+    paths = ["it's", 'q"q.b[0]', "b'\""]
+    row = df.select(*[J.at_path(F.col("json"), p).alias(f"p{i}") for i, p in enumerate(paths)], *[J.has_path(F.col("json"), p).alias(f"h{i}") for i, p in enumerate(paths)]).first()
+    assert row[:3] == ("1", "5", "2") and all(row[3:])

@@ -100,4 +100,4 @@ def test_grams_and_sounds(spark):
     k = keys(spark, WORDS)
     got = {r.key: r.similarity for r in search.gram_join(k, spark.createDataFrame([("apples",)], "query string"), 2, 0.5).collect()}
     assert got == {"apple": 0.8, "apply": 0.5}
-    assert [r.key for r in search.sounds_like(k, spark.createDataFrame([("aple",)], "query string")).collect()] == ["apple"]
+    assert sorted(r.key for r in search.sounds_like(k, spark.createDataFrame([("aple",)], "query string")).collect()) == ["apple", "apply"]
