@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.plans.names import fresh
+from keyloom.plans.names import fresh, others
 from keyloom.plans.sizing import small_side
 
 #: Exponent of the token counts that gives the default target weights: below 1, small sources gain.
@@ -49,8 +49,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     broadcast if there are few sources, else joined by a shuffle. The extra copy depends on ``doc_id`` and ``seed``
     alone, so a retried task emits the same rows.
 
-    ``copy_column`` numbers the copies from 0 and replaces a column of that name; None leaves it out. Null or empty
-    texts have 0 tokens; a null ``doc_id`` draws as ''; repeated rows draw alike; an empty table gives an empty one;
+    ``copy_column`` numbers the copies from 0 and replaces a column of that name, in upper or lower case; None leaves it
+    out. Null or empty texts have 0 tokens, very long ones are counted whole; ties can't occur; a null ``doc_id`` draws as ''; repeated rows draw alike; an empty table gives an empty one;
     other columns are passed on.
     """
     src, rate, n, number = fresh(docs, "__src", "__rate", "__n", "__copy")
@@ -61,7 +61,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     copies = joined.withColumn(n, times).where(F.col(n) > 0).withColumn(number, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     if copy_column is None:
         return copies.select(*docs.columns)
-    return copies.select(*[c for c in docs.columns if c != copy_column], F.col(number).alias(copy_column))
+    return copies.select(*others(docs, copy_column), F.col(number).alias(copy_column))
 
 
 ORACLE_SQL = f"""

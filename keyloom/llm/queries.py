@@ -62,8 +62,8 @@ def op8_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slot and shard of every document."""
-    return sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id"))
+    """Every document, with its slot and shard."""
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

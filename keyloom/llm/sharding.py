@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.plans.names import fresh
+from keyloom.plans.names import fresh, others
 
 #: Slots of the table, a prime; at least 100 slots a shard keep loads within one per cent of each other.
 TABLE_SIZE = 65537
@@ -59,21 +59,22 @@ def assign_shards(docs: DataFrame, shards: list[str] = SHARDS, size: int = TABLE
     """``docs`` with the slot and shard of each row, without a shuffle.
 
     The table has ``size`` rows whatever the data, and is broadcast. Rows with one key, repeated rows included, share a
-    shard; null keys are placed as ''. Texts aren't read. An empty table gives an empty one. Input columns
-    named as ``slot_column`` or ``shard_column`` are replaced, others passed on.
+    shard; null keys are placed as ''; keys may be of any type that has a text. Texts of any length are passed on and
+    not read. An empty table gives an empty one. Input columns named as ``slot_column`` or ``shard_column``, in upper or
+    lower case, are replaced, others passed on.
     """
     at, slot, shard = fresh(docs, "__at", "__slot", "__shard")
     table = [(k, shards[i]) for k, i in enumerate(lookup_table(shards, size).tolist())]
     placed = F.broadcast(docs.sparkSession.createDataFrame(table, f"{slot} int, {shard} string"))
     new = {slot_column: slot} if slot_column else {}
     joined = docs.withColumn(at, slot_of(F.col(key), size)).join(placed, F.col(at) == F.col(slot))
-    return joined.select(*[c for c in docs.columns if c not in (slot_column, shard_column)], *[F.col(v).alias(k) for k, v in (new | {shard_column: shard}).items()])
+    return joined.select(*others(docs, slot_column, shard_column), *[F.col(v).alias(k) for k, v in (new | {shard_column: shard}).items()])
 
 
 def oracle_sql(shards: list[str] = SHARDS, size: int = TABLE_SIZE) -> str:
     """The placement in SQL, on the finished table; how it is filled is tested on its own."""
     return f"""
-WITH slots AS (SELECT doc_id, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {size})::INT AS slot FROM documents),
+WITH slots AS (SELECT *, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {size})::INT AS slot FROM documents),
      filled AS (SELECT {lookup_table(shards, size).tolist()} AS t)
-SELECT doc_id, slot, printf('shard-%03d', t[slot + 1]) AS shard FROM slots, filled
+SELECT slots.*, printf('shard-%03d', t[slot + 1]) AS shard FROM slots, filled
 """

@@ -13,6 +13,8 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -20,6 +22,20 @@ BASE_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes of text that are hashed at a time; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 19
 
+#: Bytes that one task of a shuffle is meant to read.
+TASK_BYTES = 64 << 20
+
+
+def total_bytes(df: DataFrame, column: str) -> int:
+    """The bytes of a column of texts, by a scan of that column."""
+    return df.agg(F.sum(F.octet_length(F.col(column).cast("string")).cast("long"))).first()[0] or 0
+
+
+def partitions(spark: SparkSession, size: int) -> int:
+    """Partitions for a shuffle of ``size`` bytes: those of the session, or as many as keep tasks at TASK_BYTES."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+
+
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(65, 91), *range(128, 256)]] = True
 _EMPTY, _BREAK = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())

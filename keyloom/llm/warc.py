@@ -13,14 +13,20 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keyloom.llm.tokens import partitions, total_bytes
+
 #: Bytes of the records of one archive that :func:`pack` writes, before compression.
 ARCHIVE_BYTES = 16 << 20
 #: Bytes of a compressed file that one task reads.
 SPLIT_BYTES = 64 << 20
-#: Bytes that are read at a time, and the most that a record's header may have.
+#: Bytes that are read at a time, and the most that a record's header may have; a longer one counts as damage.
 PIECE, MAX_HEADER = 1 << 18, 1 << 20
+#: The most bytes of a record's block, or of a member once inflated: a value of a table holds no more than 2 GB. What
+#: claims to be larger counts as damage.
+MAX_BLOCK = 1 << 30
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/"
 _VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r?\n")
+_LENGTH = re.compile(r"[0-9]{1,18}")
 
 #: ``kind`` is record, failure (a check failed at ``offset``) or end (of the file).
 SCHEMA = "path string, offset long, end long, kind string, reason string, record_type string, record_id string, uri string, date string, payload binary"
@@ -28,7 +34,11 @@ Reader = Callable[[int, int], bytes]
 
 
 class Damaged(Exception):
-    """A check failed; the message says which."""
+    """A check failed; the message says which. ``before`` has the records before the damage that hold their digests."""
+
+    def __init__(self, reason: str, before: list[tuple[dict[str, str], bytes]] | None = None):
+        super().__init__(reason)
+        self.before = before or []
 
 
 def _header(data: bytes) -> tuple[dict[str, str], int] | None:
@@ -45,59 +55,85 @@ def _header(data: bytes) -> tuple[dict[str, str], int] | None:
         if not colon and text:
             raise Damaged("bad header")
         fields[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    if not fields.get("content-length", "").isdigit():
+    if not _LENGTH.fullmatch(fields.get("content-length", "")):
         raise Damaged("no length")
+    if int(fields["content-length"]) > MAX_BLOCK:
+        raise Damaged("too large")
     return fields, end + 4
 
 
-def _checked(fields: dict[str, str], block: bytes) -> tuple[dict[str, str], bytes]:
+def _digest(fields: dict[str, str]) -> tuple[str, str] | None:
+    """(method, digest) of the block, where it has one that can be checked."""
     method, _, digest = fields.get("warc-block-digest", "").partition(":")
-    if method.lower() in ("sha1", "md5", "sha256"):
-        found = hashlib.new(method.lower(), block)
+    return (method.lower(), digest) if method.lower() in ("sha1", "md5", "sha256") else None
+
+
+def _checked(fields: dict[str, str], block: bytes) -> tuple[dict[str, str], bytes]:
+    if known := _digest(fields):
+        method, digest = known
+        found = hashlib.new(method, block)
         if digest.lower() != found.hexdigest() and digest.upper() != base64.b32encode(found.digest()).decode():
             raise Damaged("digest")
     return fields, block
 
 
-def records(data: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """The records of a decompressed member; every one must be whole."""
+def records(data: bytes, whole: bool = True) -> list[tuple[dict[str, str], bytes]]:
+    """The records of a decompressed member; every one must be whole.
+
+    Unless the member is ``whole``, those up to the first that fails, if a digest proves them.
+    """
     out, at = [], 0
-    while at < len(data):
-        found = _header(data[at : at + MAX_HEADER])
-        if found is None:
-            raise Damaged("bad header")
-        fields, size = found
-        start, length = at + size, int(fields["content-length"])
-        if start + length + 4 > len(data):
-            raise Damaged("too short")
-        if data[start + length : start + length + 4] != b"\r\n\r\n":
-            raise Damaged("length")
-        out.append(_checked(fields, data[start : start + length]))
-        at = start + length + 4
-    if not out:
-        raise Damaged("empty member")
-    return out
+    try:
+        while at < len(data):
+            found = _header(data[at : at + MAX_HEADER])
+            if found is None:
+                raise Damaged("bad header")
+            fields, size = found
+            start, length = at + size, int(fields["content-length"])
+            if start + length + 4 > len(data):
+                raise Damaged("too short")
+            if data[start + length : start + length + 4] != b"\r\n\r\n":
+                raise Damaged("length")
+            out.append(_checked(fields, data[start : start + length]))
+            at = start + length + 4
+        if not out:
+            raise Damaged("empty member")
+    except Damaged as damage:
+        proven = [x for x in out if _digest(x[0])]
+        if whole:
+            raise Damaged(str(damage), proven) from None
+        return proven
+    return out if whole else [x for x in out if _digest(x[0])]
 
 
 def member(read: Reader, at: int) -> tuple[int, list[tuple[dict[str, str], bytes]]]:
     """(end, records) of the gzip member at an offset."""
-    inflate, out, here = zlib.decompressobj(31), [], at
+    inflate, out, here, size = zlib.decompressobj(31), [], at, 0
+
+    def damaged(reason: str) -> Damaged:
+        return Damaged(reason, records(b"".join(out), False))
+
     while not inflate.eof:
-        piece = read(here, PIECE)
+        piece = inflate.unconsumed_tail
         if not piece:
-            raise Damaged("truncated")
-        here += len(piece)
+            piece = read(here, PIECE)
+            if not piece:
+                raise damaged("truncated")
+            here += len(piece)
         try:
-            out.append(inflate.decompress(piece))
+            out.append(inflate.decompress(piece, 16 * PIECE))
         except zlib.error as error:
-            raise Damaged("checksum" if "data check" in str(error) or "length check" in str(error) else "corrupt") from None
+            raise damaged("checksum" if "data check" in str(error) or "length check" in str(error) else "corrupt") from None
+        size += len(out[-1])
         if len(out) == 1 and len(out[0]) >= len(VERSION) and not out[0].startswith(VERSION):
             raise Damaged("no version line")
+        if size > MAX_BLOCK + MAX_HEADER:
+            raise damaged("too large")
     return here - len(inflate.unused_data), records(b"".join(out))
 
 
 def plain(read: Reader, at: int) -> tuple[int, list[tuple[dict[str, str], bytes]]]:
-    """(end, records) of the uncompressed record at an offset."""
+    """(end, records) of the uncompressed record at an offset. What ends the block is read before the block is."""
     size, found = 1 << 12, None
     while found is None:
         data = read(at, size)
@@ -107,12 +143,12 @@ def plain(read: Reader, at: int) -> tuple[int, list[tuple[dict[str, str], bytes]
         size *= 4
     fields, start = found
     length = int(fields["content-length"])
-    block = read(at + start, length + 4)
-    if len(block) < length + 4:
+    tail = read(at + start + length, 4)
+    if len(tail) < 4:
         raise Damaged("truncated")
-    if block[length:] != b"\r\n\r\n":
+    if tail != b"\r\n\r\n":
         raise Damaged("length")
-    return at + start + length + 4, [_checked(fields, block[:length])]
+    return at + start + length + 4, [_checked(fields, read(at + start, length))]
 
 
 def _next(read: Reader, at: int, hi: int, marks: tuple[bytes, ...]) -> int:
@@ -134,7 +170,12 @@ def salvage(read: Reader, size: int, lo: int = 0, hi: int | None = None) -> Iter
     ``read(offset, n)`` gives up to n bytes. A record is yielded if all its checks hold: a gzip member's checksum and
     length, the version line, the header, the content length and what follows it, and the block's digest if it
     has one. Where one fails, a failure is yielded, and the search goes on a byte further for the next member or
-    version line. A stretch that begins within a file looks for a member first. The last stretch ends with ``end``.
+    version line. Of a member that fails, the records before the damage are yielded if their digests prove them, with no
+    bytes of their own and the damage as their reason. A stretch that begins within a file looks for a member first. The
+    last stretch ends with ``end``.
+
+    An empty file has an end alone. A header of over MAX_HEADER bytes, a block of over MAX_BLOCK or a length that is no
+    number of at most 18 ASCII digits is damage. Records of any size up to that are read whole.
     """
     hi = size if hi is None else min(hi, size)
     at = _next(read, lo, hi, (MAGIC,)) if lo else 0
@@ -148,6 +189,8 @@ def salvage(read: Reader, size: int, lo: int = 0, hi: int | None = None) -> Iter
             else:
                 raise Damaged("garbage")
         except Damaged as damage:
+            for fields, block in damage.before:
+                yield at, at, "record", f"before damage: {damage}", fields, block
             yield at, None, "failure", str(damage), {}, None
             at = _next(read, at + 1, hi, (MAGIC, VERSION))
             continue
@@ -193,7 +236,7 @@ def from_files(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -
     """The rows of SCHEMA from the files of a path or pattern.
 
     Compressed files (.gz) are read by several tasks, each from the first member of its stretch on; others by one. Tasks
-    read ranges and never hold a file. The listing reads no content.
+    read ranges and never hold a file. The listing reads no content. Empty files have neither record nor gap.
     """
     listed = spark.read.format("binaryFile").load(path).select("path", "length")
     step = F.when(F.col("path").endswith(".gz"), F.lit(split_bytes)).otherwise(F.greatest("length", F.lit(1)))
@@ -213,7 +256,7 @@ def gaps(rows: DataFrame) -> DataFrame:
     """(path, offset, end, reason): the bytes that belong to no record, each as long as it can be.
 
     ``reason`` is the check that failed where the gap begins. Rows that begin before the end of an earlier record
-    of their file aren't counted.
+    of their file aren't counted. Repeated rows change nothing; no rows have no gaps.
     """
     before = Window.partitionBy("path").orderBy("offset", "end").rowsBetween(Window.unboundedPreceding, -1)
     solid = rows.where("kind != 'failure'").select("path", "offset", "end").withColumn("past", F.coalesce(F.max("end").over(before), F.lit(0).cast("long")))
@@ -243,11 +286,11 @@ def pack(pages: DataFrame, damage: Column | None = None, archive_bytes: int = AR
     """(path, content): the pages as compressed archives, a member each, about ``archive_bytes`` of records in a file.
 
     ``damage`` spoils members: FLIP inverts a byte in the middle, TRUNCATE cuts the last third, GARBAGE puts 64 bytes
-    before. Null texts are empty blocks.
+    before. A null id, URL or text is left out or an empty block; pages of any size are written whole; repeated rows are
+    records each, pages that tie in id and URL in any order. An empty table gives no archive; other columns aren't read.
     """
-    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    number = max(1, size // (archive_bytes // 2))
-    rows = pages.select(F.pmod(F.xxhash64("page_id", "url"), F.lit(number)).alias("file"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.coalesce(damage if damage is not None else F.lit(0), F.lit(0)).cast("int").alias("damage"))
+    number = max(1, total_bytes(pages, "html") // (archive_bytes // 2))
+    rows = pages.select(F.pmod(F.xxhash64("page_id", "url"), F.lit(number)).alias("file"), F.col("page_id").try_cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.coalesce(damage if damage is not None else F.lit(0), F.lit(0)).cast("int").alias("damage"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, part, held, size = None, 0, [], 0
@@ -277,7 +320,7 @@ def pack(pages: DataFrame, damage: Column | None = None, archive_bytes: int = AR
         if held:
             yield emit()
 
-    return rows.repartition("file").sortWithinPartitions("file", "page_id", "url").mapInArrow(run, "path string, content binary")
+    return rows.repartition(partitions(pages.sparkSession, number * archive_bytes // 2), "file").sortWithinPartitions("file", "page_id", "url").mapInArrow(run, "path string, content binary")
 
 
 def measured(rows: DataFrame) -> DataFrame:
@@ -288,8 +331,9 @@ def measured(rows: DataFrame) -> DataFrame:
 def salvaged(rows: DataFrame) -> DataFrame:
     """(kind, path, offset, end, page_id, url, n_bytes, digest, reason): every record, and every gap in quarantine.
 
-    ``rows`` has the size and MD5 of payloads (see :func:`measured`) in their stead.
+    ``rows`` has the size and MD5 of payloads (see :func:`measured`) in their stead. ``reason`` says why a gap begins, or
+    of what damage a record was recovered before. Records without a page's id have a null one; no rows give none.
     """
-    found = rows.where("kind = 'record'").select("kind", "path", "offset", "end", F.regexp_extract("record_id", r"^<urn:page:(-?\d+)>$", 1).try_cast("long").alias("page_id"), F.col("uri").alias("url"), "n_bytes", "digest", F.lit(None).cast("string").alias("reason"))
+    found = rows.where("kind = 'record'").select("kind", "path", "offset", "end", F.regexp_extract("record_id", r"^<urn:page:(-?\d+)>$", 1).try_cast("long").alias("page_id"), F.col("uri").alias("url"), "n_bytes", "digest", "reason")
     lost = gaps(rows).select(F.lit("gap").alias("kind"), "path", "offset", "end", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), (F.col("end") - F.col("offset")).alias("n_bytes"), F.lit(None).cast("string").alias("digest"), "reason")
     return found.unionByName(lost)

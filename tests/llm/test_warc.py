@@ -122,3 +122,31 @@ def test_odd_rows(spark):
     assert rows.where("kind = 'record'").count() == 0
     assert {(r.path, r.offset, r.end, r.reason) for r in W.gaps(rows).collect()} >= {("c", 0, 3, "truncated")}
     assert W.from_table(files.limit(0)).count() == 0 and W.pack(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("length", ["²", "9" * 5000, "-1", "1_0", "9" * 18, str(W.MAX_BLOCK + 1)])
+@pytest.mark.parametrize("pack", [W.compressed, bytes])
+def test_damaged_lengths_lose_one_record(pack, length):
+    parts = members(5)
+    parts[2] = W.record(2, None, "hello").replace(b"Content-Length: 5", b"Content-Length: " + length.encode())
+    found, rows = read(b"".join(pack(m) for m in parts))
+    assert found == ids(0, 1, 3, 4) and any(r[2] == "failure" for r in rows)
+
+
+def test_a_block_is_not_read_before_its_end_is_checked():
+    data = members(1)[0].replace(b"Content-Length: ", b"Content-Length: 9") + b"x" * 100
+    asked = []
+    rows = list(W.salvage(lambda at, n: (asked.append(n), data[at : at + n])[1], len(data)))
+    assert max(asked) <= W.PIECE and rows[0][2] == "failure"
+
+
+def test_records_before_the_damage_of_a_member_are_recovered():
+    parts = members(6, 4)
+    data = bytearray(W.compressed(b"".join(parts[:4])))
+    del data[-30:]
+    found, rows = read(bytes(data) + W.compressed(parts[5]))
+    assert found[:1] == ids(0) and found[-1:] == ids(5) and len(found) >= 3
+    assert all(r[3].startswith("before damage") and r[0] == r[1] for r in rows if r[2] == "record" and r[0] == 0)
+    # without a digest nothing proves a record
+    bare = [p.replace(b"WARC-Block-Digest", b"X-None") for p in parts[:4]]
+    assert read(W.compressed(b"".join(bare))[:-30] + W.compressed(parts[5]))[0] == ids(5)
