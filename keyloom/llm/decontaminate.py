@@ -87,7 +87,7 @@ class Filter:
 
     def __init__(self, values: np.ndarray):
         self.values = np.unique(values)
-        self.bits = max(12, min(26, int(len(self.values)).bit_length() + 6))
+        self.bits = max(12, min(24, int(len(self.values)).bit_length() + 6))
         self.table = np.zeros(1 << self.bits, bool)
         self.table[(self.values >> U(64 - self.bits)).astype(np.int64)] = True
 

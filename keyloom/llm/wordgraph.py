@@ -65,8 +65,13 @@ def meetings(hashes: np.ndarray, doc: np.ndarray, window: int) -> Iterator[tuple
 
 
 def packed(keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """Sorted keys and their counts, split by the hash of the pair, as differences in planes of bytes, compressed."""
-    part = (mix((keys >> U(4)).copy()) % U(parts)).astype(np.int64)
+    """Sorted keys and their counts, split by pair, as differences in planes of bytes, compressed.
+
+    A part has the pairs of a term with a stretch of others; the more parts, the shorter the stretches, so that the most
+    frequent term is spread over as many parts as any. Neighbours differ by little, and take three bytes.
+    """
+    stretch = _BITS - min(_BITS, max(0, parts.bit_length() - 6))
+    part = (mix((keys >> U(4 + stretch)).copy()) % U(parts)).astype(np.int64)
     by = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[by], np.arange(parts + 1))
     keys, counts = keys[by], np.minimum(counts[by], np.iinfo(np.uint32).max).astype(np.uint32)
