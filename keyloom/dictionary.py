@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from keyloom import schema
 from keyloom.operators import build, lookup, search
 from keyloom.operators import json_documents as documents
+from keyloom.schema import COLUMNS, VALUE
 from keyloom.sources import trie
 
 _KIND = {bool: "bool", int: "int", float: "float64", str: "string", bytes: "blob", type(None): "null"}
@@ -101,6 +103,40 @@ class Json:
         entries = documents.to_entries(documents.flatten(docs), docs)
         return bytes(trie.encode(entries).first().content)
 
+    def open(self, content: bytes) -> JsonHandle:
+        return JsonHandle(trie.decode(self.spark.createDataFrame([("", content)], "dict_id string, content binary")))
+
     def decode(self, content: bytes, indent: str | int | None = None) -> str:
         entries = trie.decode(self.spark.createDataFrame([("", content)], "dict_id string, content binary"))
         return documents.unflatten(documents.from_entries(entries), indent).select(F.col("json")).first()[0]
+
+
+class JsonHandle:
+    """A document in the binary form, opened to look paths up and to go through its leaves."""
+
+    def __init__(self, entries: DataFrame):
+        self.entries = entries
+        self.leaves = documents.from_entries(entries)
+
+    def lookup(self, path: str) -> tuple[bool, object]:
+        """(found, value) of a path; containers aren't leaves and so aren't found."""
+        row = self.leaves.where((F.col("path") == path) & ~F.col("tag").isin(8, 9)).select(*VALUE).first()
+        return (False, None) if row is None else (True, _value(row))
+
+    def __iter__(self) -> Iterator[tuple[str, object]]:
+        """(path, value) of every leaf, in the order of the document."""
+        for row in self.leaves.orderBy("seq", "path").toLocalIterator():
+            yield row.path, _value(row)
+
+    def __len__(self) -> int:
+        return self.leaves.count()
+
+    def root_type(self) -> str | None:
+        """object or array."""
+        row = self.entries.where(F.col("key") == documents.ROOT_KEY).select(F.coalesce("v_uint", "v_int")).first()
+        return {1: "object", 2: "array"}.get(int(row[0])) if row else None
+
+
+def _value(row: Row) -> object:
+    v = next((row[c] for c in COLUMNS if row[c] is not None), None)
+    return int(v) if isinstance(v, Decimal) else {8: [], 9: {}}.get(row.tag, v)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HALF, _WHOLE = "9223372036854775808", "18446744073709551616"
+_WHOLE = "18446744073709551616"
 #: Groups of seven bits in the longest variable-length integer.
 MAX_GROUPS = 10
 
@@ -21,10 +21,11 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def bit_string(data: Column) -> Column:
-    """The bits of a binary value."""
-    n = F.octet_length(data)
-    one = lambda i: F.lpad(F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 2), 8, "0")
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), one), "")).when(n == 0, F.lit(""))
+    """The bits of a binary value: hexadecimal digits, each replaced by its four bits."""
+    out = F.translate(F.hex(data), "0123456789ABCDEF", "ghijklmnopqrstuv")
+    for k, letter in enumerate("ghijklmnopqrstuv"):
+        out = F.replace(out, F.lit(letter), F.lit(f"{k:04b}"))
+    return out
 
 
 def bytes_of(bits: Column) -> Column:
@@ -107,45 +108,63 @@ def bits_needed(symbols: Column) -> Column:
     return F.length(F.bin((symbols + 5).cast("bigint")))
 
 
+def _rest(x: Column, group: int) -> Column:
+    """What is left of the 64 bits of ``x`` from a group of seven on."""
+    return F.shiftrightunsigned(x.cast("bigint"), 7 * group)
+
+
 def varint_bits(x: Column) -> Column:
     """The size in bits of a non-negative 64-bit integer as a variable-length one."""
-    return F.when(x >= 0, F.ceil(F.length(F.bin(x.cast("bigint"))) / 7) * 8).cast("int")
+    return F.when(x >= 0, 8 + sum((8 * (_rest(x, k) != 0).cast("int") for k in range(1, MAX_GROUPS - 1)), F.lit(0)))
 
 
 def varint(x: Column) -> Column:
-    """A 64-bit integer, taken as unsigned, in groups of seven bits, the least significant first (LEB128)."""
+    """A 64-bit integer, taken as unsigned, in groups of seven bits, the least significant first (LEB128).
 
-    def groups(bits: Column) -> Column:
-        n = F.ceil(F.length(bits) / 7).cast("int")
-        padded = F.lpad(bits, n * 7, F.lit("0"))
-        last = lambda i: F.when(i == 1, "0").otherwise("1")
-        one = lambda i: F.lpad(F.conv(F.concat(last(i), padded.substr(i * 7 - 6, F.lit(7))), 2, 16), 2, "0")
-        return F.unhex(F.array_join(F.transform(F.sequence(n, F.lit(1), F.lit(-1)), one), ""))
+    A byte is a group, with the highest bit set if more follow; all arithmetic is on 64-bit integers.
+    """
 
-    return let(F.bin(x.cast("bigint")), groups)
+    def byte(k: int) -> Column:
+        code = _rest(x, k).bitwiseAND(F.lit(127))
+        if k < MAX_GROUPS - 1:
+            code = code + F.when(_rest(x, k + 1) != 0, 128).otherwise(0)
+        digits = F.substring(F.hex(code + 256), 2, 2)
+        return digits if k == 0 else F.when(_rest(x, k) != 0, digits).otherwise("")
+
+    return F.unhex(F.concat(*[byte(k) for k in range(MAX_GROUPS)]))
 
 
 def _varint_hex(data: Column, offset: Column | None) -> Column:
-    """The bytes of the variable-length integer at an offset, in hexadecimal; empty if it doesn't end within ten."""
+    """The bytes of the variable-length integer at an offset, in hexadecimal; null if it doesn't end within ten."""
     start = F.lit(1) if offset is None else offset.cast("int") + 1
-    return F.regexp_extract(F.hex(F.substring(data, start, F.lit(MAX_GROUPS))), r"^(?:[89A-F][0-9A-F])*[0-7][0-9A-F]", 0)
+    return F.nullif(F.regexp_extract(F.hex(F.substring(data, start, F.lit(MAX_GROUPS))), r"^(?:[89A-F][0-9A-F])*[0-7][0-9A-F]", 0), F.lit(""))
 
 
 def varint_length(data: Column, offset: Column | None = None) -> Column:
     """How many bytes the variable-length integer at a byte offset has; null if it doesn't end within ten."""
-    return F.nullif((F.length(_varint_hex(data, offset)) / 2).cast("int"), F.lit(0))
+    return (F.length(_varint_hex(data, offset)) / 2).cast("int")
 
 
-def read_varint(data: Column, offset: Column | None = None) -> Column:
-    """The unsigned variable-length integer at a byte offset, as a decimal; null if it is cut off or over 64 bits."""
+def _varint_value(data: Column, offset: Column | None) -> Column:
+    """The 64 bits of the variable-length integer at a byte offset, as a signed integer; null if it is cut off or longer.
+
+    Its bytes, filled with zeros, are two integers of eight and two bytes, from which every group is shifted to its place.
+    """
+    code = F.rpad(_varint_hex(data, offset), 2 * MAX_GROUPS, "0")
+    high = F.conv(F.substring(code, 1, 16), 16, -10).cast("bigint")
+    low = F.conv(F.substring(code, 17, 4), 16, 10).cast("bigint")
+    groups = [F.shiftrightunsigned(high, 56 - 8 * k).bitwiseAND(F.lit(127)) for k in range(8)] + [F.shiftrightunsigned(low, 8).bitwiseAND(F.lit(127)), low.bitwiseAND(F.lit(127))]
+    value = groups[0]
+    for k in range(1, MAX_GROUPS):
+        value = value.bitwiseOR(F.shiftleft(groups[k].cast("bigint"), 7 * k))
+    return value + F.when(groups[-1] <= 1, F.lit(0).cast("bigint"))
 
-    def number(code: Column) -> Column:
-        one = lambda i: F.right(F.lpad(F.conv(code.substr(i * 2 - 1, F.lit(2)), 16, 2), 8, "0"), F.lit(7))
-        bits = F.array_join(F.transform(F.sequence((F.length(code) / 2).cast("int"), F.lit(1), F.lit(-1)), one), "")
-        return F.when(F.length(code) > 0, F.regexp_replace(bits, "^0+(?=.)", ""))
 
-    value = let(_varint_hex(data, offset), number)
-    return F.when(F.length(value) <= 64, F.conv(value, 2, 10).cast("decimal(20,0)"))
+def read_varint(data: Column, offset: Column | None = None) -> Column:
+    """The unsigned variable-length integer at a byte offset, as a decimal; null if it is cut off or over 64 bits."""
+    value = _varint_value(data, offset)
+    whole = value.cast("decimal(20,0)")
+    return F.when(value < 0, (whole + F.lit(_WHOLE).cast("decimal(20,0)")).cast("decimal(20,0)")).otherwise(whole)
 
 
 def zigzag(x: Column) -> Column:
@@ -164,9 +183,8 @@ def signed_varint(x: Column) -> Column:
 
 
 def read_signed_varint(data: Column, offset: Column | None = None) -> Column:
-    half, whole = (F.lit(x).cast("decimal(20,0)") for x in (_HALF, _WHOLE))
-    signed = let(read_varint(data, offset), lambda u: F.when(u >= half, u - whole).otherwise(u).cast("bigint"))
-    return let(signed, unzigzag)
+    """The signed variable-length integer at a byte offset; null if it is cut off or over 64 bits."""
+    return unzigzag(_varint_value(data, offset))
 
 
 def code_points(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.bits import bits_needed, varint_bits, zigzag
+from keyloom.plans.lineage import cut
 
 CONTROL_CODES = 6
 
@@ -49,15 +50,22 @@ def branch_fanout(keys: DataFrame) -> DataFrame:
     return own.join(parent, "prefix", "left").select("prefix", F.coalesce("children", F.lit(0)).cast("bigint").alias("children"), "terminal")
 
 
+def shared_bytes(a: Column, b: Column) -> Column:
+    """How many bytes two keys have in common at their starts; null if one is null."""
+    a, b = a.cast("binary"), b.cast("binary")
+    n = F.least(F.octet_length(a), F.octet_length(b))
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    same = F.size(F.filter(places, lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
+    return F.when(a.isNotNull() & b.isNotNull(), same)
+
+
 def common_prefix(a: Column, b: Column) -> Column:
-    """The longest common start of two texts."""
-    n = F.least(F.length(a), F.length(b))
-    same = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))
-    return F.substring(a, F.lit(1), F.size(same))
+    """The longest common start of two keys, by bytes, as binary: it may end within a character."""
+    return F.substring(a.cast("binary"), F.lit(1), shared_bytes(a, b))
 
 
 def group_prefixes(keys: DataFrame, by: str) -> DataFrame:
-    """The longest prefix that the keys of each group share: that of its least and greatest key."""
+    """The longest prefix, in bytes, that the keys of each group share: that of its least and greatest key."""
     ends = keys.groupBy(by).agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count_distinct("key").alias("keys"))
     return ends.select(by, "keys", common_prefix(F.col("lo"), F.col("hi")).alias("prefix"))
 
@@ -65,13 +73,14 @@ def group_prefixes(keys: DataFrame, by: str) -> DataFrame:
 def shared_prefixes(keys: DataFrame) -> DataFrame:
     """(key, shared): of each distinct key, how many bytes it shares with the one before it in order.
 
-    A global window would sort in one task, so keys are ordered within ranges by their first byte; a key that begins a
-    range shares none with the last of another.
+    Keys are sorted in ranges of equal size, whatever they begin with, and compared within them; the first key of a
+    range is compared with the last one of the ranges before, of which there is a row each. A null key is none.
     """
-    order = Window.partitionBy("__head").orderBy("key")
-    keyed = keys.select("key").distinct().withColumn("__head", F.substring("key", 1, 1))
-    before = F.coalesce(F.lag("key").over(order), F.lit(""))
-    return keyed.select("key", F.octet_length(common_prefix(F.col("key"), before)).alias("shared"))
+    ranges = cut(keys.select("key").where("key is not null").distinct().repartitionByRange("key").withColumn("__range", F.spark_partition_id()), "ranges")
+    ends = ranges.groupBy("__range").agg(F.max("key").alias("__end"))
+    ends = ends.select((F.lead("__range").over(Window.orderBy("__range"))).alias("__range"), "__end").where("__range is not null")
+    before = F.coalesce(F.lag("key").over(Window.partitionBy("__range").orderBy("key")), F.col("__end"), F.lit(""))
+    return ranges.join(F.broadcast(ends), "__range", "left").select("key", shared_bytes(F.col("key"), before).alias("shared"))
 
 
 def child_groups(keys: DataFrame, depth: int) -> DataFrame:

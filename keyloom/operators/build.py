@@ -61,6 +61,16 @@ def write(entries: DataFrame, path: str, files: int | None = None, bloom: bool =
     writer.parquet(path)
 
 
+def with_metadata(entries: DataFrame, metadata: dict) -> DataFrame:
+    """``entries`` with metadata of a caller's own (names to numbers, texts, or lists of them), which files keep."""
+    return entries.withMetadata("key", metadata)
+
+
+def metadata(entries: DataFrame) -> dict:
+    """What :func:`with_metadata` gave these entries, also after they were written and read; {} if nothing."""
+    return dict(entries.schema["key"].metadata or {})
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -16,32 +16,50 @@ def get(entries: DataFrame, key: str | bytes) -> DataFrame:
     return entries.where(F.col("key") == F.lit(key))
 
 
+def _on(entries: DataFrame, probes: DataFrame, on: str) -> list[tuple[str, str]]:
+    """(column of the probes, column of the entries): probes with a ``dict_id`` are looked up in that dictionary alone."""
+    return [(on, "key")] + ([("dict_id", "dict_id")] if "dict_id" in probes.columns and "dict_id" in entries.columns else [])
+
+
+def _joined(entries: DataFrame, probes: DataFrame, on: str, values: tuple[str, ...] | list[str]) -> DataFrame:
+    pairs = _on(entries, probes, on)
+    side = entries.select(*[F.col(e).alias(f"__{e}") for _, e in pairs], *values)
+    same = [probes[p].cast("string") == side[f"__{e}"].cast("string") if e == "dict_id" else probes[p] == side[f"__{e}"] for p, e in pairs]
+    joined = probes.join(side, same, "left")
+    return joined.select(*[probes[c] for c in probes.columns], F.col("__key").isNotNull().alias("found"), *[side[v] for v in values])
+
+
 def lookup(entries: DataFrame, probes: DataFrame, on: str = "key") -> DataFrame:
     """Every probe with ``found`` and the value of its key.
 
-    A null value that is present is found. Catalyst broadcasts the smaller side if it is small, else both are
-    shuffled by the key.
+    Probes with a ``dict_id`` are looked up in that dictionary; without one, a probe gives a row for each dictionary that
+    holds it. A null value that is present is found; a null probe isn't. Catalyst broadcasts the smaller side if it is
+    small, else both are shuffled by the key.
     """
-    side = entries.select(F.col("key").alias("__key"), *VALUE)
-    joined = probes.join(side, probes[on] == side["__key"], "left")
-    return joined.select(*[probes[c] for c in probes.columns], F.col("__key").isNotNull().alias("found"), *VALUE)
+    return _joined(entries, probes, on, VALUE)
 
 
 def contains(entries: DataFrame, probes: DataFrame, on: str = "key") -> DataFrame:
-    """Every probe with ``found``; values aren't read."""
-    side = entries.select(F.col("key").alias("__key"))
-    joined = probes.join(side, probes[on] == side["__key"], "left")
-    return joined.select(*[probes[c] for c in probes.columns], F.col("__key").isNotNull().alias("found"))
+    """Every probe with ``found``, as in :func:`lookup`; values aren't read."""
+    return _joined(entries, probes, on, [])
+
+
+def _side(entries: DataFrame, probes: DataFrame, on: str) -> tuple[DataFrame, list[str]]:
+    pairs = _on(entries, probes, on)
+    kind = dict(probes.dtypes)
+    return entries.select(*[(F.col(e).cast(kind[p]) if e == "dict_id" else F.col(e)).alias(p) for p, e in pairs]), [p for p, _ in pairs]
 
 
 def present(entries: DataFrame, probes: DataFrame, on: str = "key") -> DataFrame:
-    """The probes that are keys."""
-    return probes.join(entries.select(F.col("key").alias(on)), on, "left_semi")
+    """The probes that are keys, of their ``dict_id`` if they have one."""
+    side, names = _side(entries, probes, on)
+    return probes.join(side, names, "left_semi")
 
 
 def missing(entries: DataFrame, probes: DataFrame, on: str = "key") -> DataFrame:
-    """The probes that aren't keys."""
-    return probes.join(entries.select(F.col("key").alias(on)), on, "left_anti")
+    """The probes that aren't keys, of their ``dict_id`` if they have one."""
+    side, names = _side(entries, probes, on)
+    return probes.join(side, names, "left_anti")
 
 
 def alphabet(entries: DataFrame) -> DataFrame:

@@ -86,16 +86,22 @@ def variants(text: Column, distance: int) -> Column:
     return F.array_distinct(out)
 
 
-def fuzzy_join(entries: DataFrame, queries: DataFrame, distance: int) -> DataFrame:
+def fuzzy_index(entries: DataFrame, distance: int) -> DataFrame:
+    """(key, variant): what :func:`fuzzy_join` looks keys up by, to be written once and passed to it as ``index``."""
+    return entries.select("key").distinct().select("key", F.explode(variants(F.col("key"), distance)).alias("variant"))
+
+
+def fuzzy_join(entries: DataFrame, queries: DataFrame, distance: int, index: DataFrame | None = None) -> DataFrame:
     """(query, distance, entry): every entry within ``distance`` edits of every query of ``queries``.
 
     Two strings within d edits share a string that either becomes by at most d deletions (FastSS); both sides are
-    joined by those, which is an equi-join and complete, and the distance is then verified.
+    joined by those, which is an equi-join and complete, and the distance is then verified. With an ``index`` of
+    :func:`fuzzy_index`, made for ``distance`` or more, the keys' variants are read instead of made.
     """
     if not 0 <= distance <= MAX_DISTANCE:
         raise ValueError(f"the distance must be between 0 and {MAX_DISTANCE}")
     left = queries.select("query").distinct().where("query is not null").select("query", F.explode(variants(F.col("query"), distance)).alias("__variant"))
-    keys = entries.select("key").distinct().select("key", F.explode(variants(F.col("key"), distance)).alias("__variant"))
+    keys = (fuzzy_index(entries, distance) if index is None else index).withColumnRenamed("variant", "__variant")
     pairs = left.join(keys, "__variant").where(F.abs(F.length("key") - F.length("query")) <= distance).select("query", "key").distinct()
     near = pairs.withColumn("distance", F.levenshtein(F.col("query"), F.col("key"), distance)).where("distance >= 0")
     return near.join(entries, "key").select("query", "distance", *entries.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from keyloom import schema
 from keyloom.functions import bits
 from keyloom.operators import analyze, build, lookup, search
 from keyloom.operators import json_documents as documents
+from keyloom.plans.lineage import cut
 from keyloom.plans.sizing import small_side
 from keyloom.schema import entries
 from keyloom.sources import trie
@@ -256,7 +258,13 @@ def autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.autocomplete(_parts(spark, sf_dir), "s", 5, F.col("v_f64")).select("key", F.col("v_f64").alias("value"), "rank")
 
 
-@query()
+@query("""
+WITH k AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS key FROM part), q(query) AS (VALUES ('smol'), ('ryng'), ('blew'), ('widjet')),
+     w AS (SELECT key AS w FROM k UNION SELECT query FROM q),
+     c AS (SELECT w, upper(w[1]) AS head, translate(regexp_replace(upper(w), '[^A-Z]', 'A', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202') AS code FROM w),
+     r AS (SELECT w, head, code[1] AS start, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(code, '7', ''), '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g') AS code FROM c),
+     s AS (SELECT w, CASE WHEN head BETWEEN 'A' AND 'Z' THEN head || rpad(replace(CASE WHEN start = '7' THEN code ELSE substr(code, 2) END, '0', ''), 3, '0') ELSE w END AS s FROM r)
+SELECT query, key FROM q JOIN s AS a ON a.w = query JOIN s AS b USING (s) JOIN k ON k.key = b.w""")
 def sounds_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w"))
     return search.sounds_like(build.build(entries(words, F.col("w"), schema.null())), _rows(spark, "query", ["smol", "ryng", "blew", "widjet"])).select("query", "key")
@@ -385,7 +393,8 @@ def branch_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH g AS (SELECT p_brand, min(p_name) AS lo, max(p_name) AS hi, count(DISTINCT p_name) AS keys FROM part GROUP BY 1)
 SELECT p_brand, keys, substr(lo, 1, coalesce((SELECT max(i) FROM unnest(range(1, least(length(lo), length(hi)) + 1)) AS u(i) WHERE substr(lo, 1, i::INT) = substr(hi, 1, i::INT)), 0)::INT) AS prefix FROM g""")
 def group_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze.group_prefixes(_table(spark, sf_dir, "part").select("p_brand", F.col("p_name").alias("key")), "p_brand")
+    found = analyze.group_prefixes(_table(spark, sf_dir, "part").select("p_brand", F.col("p_name").alias("key")), "p_brand")
+    return found.withColumn("prefix", F.col("prefix").cast("string"))
 
 
 @query("""SELECT substr(p_name, 3, 1) AS next, count(*) AS keys FROM (SELECT DISTINCT p_name FROM part) WHERE length(p_name) > 2 GROUP BY 1""")
@@ -452,6 +461,18 @@ def utf8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.size(points).cast("bigint").alias("points"), F.aggregate(points, F.lit(0), lambda a, c: a + bits.utf8_length(c)).alias("bytes"))
 
 
+_CRC = "[" + ", ".join(str(reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(8), n)) for n in range(256)) + "]"
+
+
+@query(f"""
+WITH n AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT c_name FROM customer), t AS (SELECT {_CRC}::BIGINT[] AS t), h AS (SELECT name, hex(encode(name)) AS h FROM n),
+     b AS (SELECT name, list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i::INT, 2))::BIGINT)) AS b FROM h)
+SELECT name, lower(printf('%08x', xor(list_reduce(b, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295::BIGINT))) AS crc32 FROM b, t""")
+def crc32_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).union(_table(spark, sf_dir, "customer").select("c_name")).distinct()
+    return names.select("name", bits.checksum(F.col("name").cast("binary")).alias("crc32"))
+
+
 @query()
 def crc32_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", bits.checksum(F.col("text").cast("binary")).alias("crc32"))
@@ -492,3 +513,63 @@ def generated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT n_name, 'uint' AS kind, n_nationkey::VARCHAR AS text FROM nation""")
 def value_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return small_side(_nations(spark, sf_dir)).select(F.col("key").alias("n_name"), schema.kind_name(F.col("tag")).alias("kind"), schema.text_of().alias("text"))
+
+
+@query("""
+WITH k AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS key FROM documents), b AS (SELECT key, hex(encode(key)) AS k, hex(encode(coalesce(lag(key) OVER (ORDER BY encode(key)), ''))) AS p FROM k)
+SELECT key, len(list_filter(range(1, (least(length(k), length(p)) // 2) + 1), lambda i: substr(k, 1, (2 * i)::INT) = substr(p, 1, (2 * i)::INT)))::INT AS shared FROM b""")
+def shared_prefix_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys in four languages, whose characters have one to three bytes."""
+    return analyze.shared_prefixes(_table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("key")))
+
+
+@query("""
+WITH probes AS (SELECT o_orderkey, c_name AS key, (c_nationkey + o_orderkey % 2)::VARCHAR AS dict_id FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey, key, p.dict_id, c_name IS NOT NULL AS found, c_acctbal AS value FROM probes AS p LEFT JOIN customer ON key = c_name AND p.dict_id = c_nationkey::VARCHAR""")
+def dict_lookup_by_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary for each nation's customers; every order's customer is looked up in one, every other time in the wrong one."""
+    c = _table(spark, sf_dir, "customer")
+    built = build.build(entries(c, F.col("c_name"), schema.float64(F.col("c_acctbal")), F.col("c_custkey"), F.col("c_nationkey")))
+    probes = _table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_name").alias("key"), (F.col("c_nationkey") + F.col("o_orderkey") % 2).cast("string").alias("dict_id"))
+    return lookup.lookup(built, probes).select("o_orderkey", "key", "dict_id", "found", F.col("v_f64").alias("value"))
+
+
+@query("""
+WITH b AS (SELECT o_orderkey, right(lpad(bin(o_orderkey), 64, '0'), 20) AS written FROM orders)
+SELECT o_orderkey, written, substr(written, 4, 7) AS copied, written || substr(written, 4, 7) AS appended, 20 - o_orderkey % 20 AS remaining, ((o_orderkey % 20 + 7) // 8) * 8 AS aligned, o_orderkey % 20 % 8 = 0 AS is_aligned,
+       substr(lpad(hex(o_orderkey), 8, '0'), 3, 4) AS bytes, rpad(written, 24, '0') AS filled FROM b""")
+def bit_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty bits written, copied and appended, a cursor within them, and bytes read from an offset."""
+    written, position = bits.write_bits(F.col("o_orderkey"), 20), F.col("o_orderkey") % 20
+    copied = bits.copy_bits(written, F.lit(3), F.lit(7))
+    return _table(spark, sf_dir, "orders").select(
+        "o_orderkey", written.alias("written"), copied.alias("copied"), bits.append(written, copied).alias("appended"), bits.remaining(written, position).cast("bigint").alias("remaining"), bits.aligned(position).cast("bigint").alias("aligned"), bits.is_aligned(position).alias("is_aligned"),
+        F.hex(bits.read_bytes(bits.write_uint(F.col("o_orderkey"), 4), F.lit(1), F.lit(2))).alias("bytes"), bits.bit_string(bits.bytes_of(written)).alias("filled"),
+    )
+
+
+@query("""SELECT o_orderkey::VARCHAR AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 'syntax' ELSE 'depth' END AS fault FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 41 > 32""")
+def json_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents nested up to 40 deep, of which every third isn't closed."""
+    depth = (F.col("o_orderkey") % 41).cast("int")
+    closed = F.when(F.col("o_orderkey") % 3 != 0, F.repeat(F.lit("]"), depth)).otherwise("")
+    texts = F.when((depth == 0) & (F.col("o_orderkey") % 3 != 0), "[]").otherwise(F.concat(F.repeat(F.lit("["), F.when(F.col("o_orderkey") % 3 == 0, F.least(depth, F.lit(30))).otherwise(depth)), F.lit("1"), closed))
+    return documents.faults(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), texts.alias("json")))
+
+
+@query(f"""
+WITH r(code, text) AS (VALUES {", ".join(f"({k}, '{v}')" for k, v in schema.RESULTS.items())}), c AS (SELECT DISTINCT (-(o_orderkey % 25))::INT AS code FROM orders)
+SELECT code, coalesce(text, 'unknown error') AS text FROM c LEFT JOIN r USING (code)""")
+def result_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = _table(spark, sf_dir, "orders").select((-(F.col("o_orderkey") % 25)).cast("int").alias("code")).distinct()
+    return codes.select("code", schema.result_text(F.col("code")).alias("text"))
+
+
+@query("""
+WITH k AS (SELECT DISTINCT p_name AS key FROM part), q AS (SELECT DISTINCT regexp_replace(p_name, 'l', '') AS query FROM part)
+SELECT query, key, levenshtein(query, key)::INT AS distance FROM q, k WHERE abs(length(query) - length(key)) <= 1 AND levenshtein(query, key) <= 1""")
+def fuzzy_join_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names without their first l, by variants that are written once."""
+    keys = _parts(spark, sf_dir)
+    queries = _table(spark, sf_dir, "part").select(F.regexp_replace("p_name", "^([^l]*)l", "$1").alias("query"))
+    return search.fuzzy_join(keys, queries, 1, cut(search.fuzzy_index(keys, 1), "variants")).select("query", "key", "distance")

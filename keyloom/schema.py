@@ -98,6 +98,20 @@ def number_of(prefix: str = "") -> Column:
     return F.coalesce(*[F.col(f"{prefix}{c}").cast("double") for c in ("v_int", "v_uint", "v_f64", "v_f32")])
 
 
+#: What the result codes of the C interface mean: 0 is success, others are negative.
+RESULTS = {
+    0: "OK", -1: "read past end of stream", -2: "memory allocation failed", -3: "invalid parameter", -4: "seek beyond bounds", -5: "not byte-aligned",
+    -6: "varint overflow", -7: "invalid UTF-8", -10: "bad magic bytes", -11: "unsupported version", -12: "data corrupt", -13: "key not found",
+    -14: "data truncated", -20: "JSON syntax error", -21: "JSON nesting too deep", -22: "JSON type mismatch",
+}
+
+
+def result_text(code: Column) -> Column:
+    """What a result code means; null for null."""
+    known = F.create_map(*[F.lit(x) for pair in RESULTS.items() for x in pair])
+    return F.when(code.isNotNull(), F.coalesce(F.try_element_at(known, code.cast("int")), F.lit("unknown error")))
+
+
 def json_of(prefix: str = "", blobs: bool = False) -> Column:
     """The value as JSON text; blobs are null, or base64 if ``blobs``."""
     v = lambda c: F.col(prefix + c)

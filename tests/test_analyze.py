@@ -1,5 +1,7 @@
 """Structure of key sets, against the binary format and brute force."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from keyloom import schema
@@ -23,10 +25,10 @@ def test_nodes_and_branches(spark):
 
 def test_common_prefixes(spark):
     df = spark.createDataFrame([("abc", "abd"), ("", "a"), ("x", "y"), ("é1", "é2"), ("aa", "aa")], "a string, b string")
-    assert [r[0] for r in df.select(analyze.common_prefix(F.col("a"), F.col("b"))).collect()] == ["ab", "", "", "é", "aa"]
+    assert [r[0] for r in df.select(analyze.common_prefix(F.col("a"), F.col("b")).cast("string")).collect()] == ["ab", "", "", "é", "aa"]
     shared = {r.key: r.shared for r in analyze.shared_prefixes(table(spark, KEYS)).collect()}
     assert shared == {"a": 0, "ab": 1, "abc": 2, "abd": 2, "b": 0, "xyz": 0, "xyzw": 3}
-    groups = {r.g: (r.keys, r.prefix) for r in analyze.group_prefixes(spark.createDataFrame([(1, "abc"), (1, "abd"), (2, "x")], "g int, key string"), "g").collect()}
+    groups = {r.g: (r.keys, bytes(r.prefix).decode()) for r in analyze.group_prefixes(spark.createDataFrame([(1, "abc"), (1, "abd"), (2, "x")], "g int, key string"), "g").collect()}
     assert groups == {1: (2, "ab"), 2: (1, "x")}
 
 
@@ -52,3 +54,13 @@ def test_words_and_values(spark):
     entries = build.build(schema.entries(spark.createDataFrame([("a", 1), ("b", 1), ("c", None)], "k string, v int"), F.col("k"), schema.int64(F.col("v"))))
     row = analyze.value_stats(entries).first()
     assert (row["values"], row.distinct_values) == (2, 1)
+
+
+def test_shared_starts_are_counted_in_bytes(spark):
+    df = spark.createDataFrame([("aè", "aé"), ("è", "é"), ("日", "月"), (None, "a"), ("", "")], "a string, b string")
+    assert [r[0] for r in df.select(analyze.shared_bytes(F.col("a"), F.col("b"))).collect()] == [2, 1, 1, None, 0]
+    assert bytes(df.select(analyze.common_prefix(F.col("a"), F.col("b"))).first()[0]) == "aè".encode()[:2]
+    words = sorted({f"{a}{b}{c}" for a in "cé" for b in "aèé日" for c in range(40)}, key=str.encode)
+    want = {k: len(os.path.commonprefix([k.encode(), p.encode()])) for k, p in zip(words, ["", *words])}
+    assert {r.key: r.shared for r in analyze.shared_prefixes(table(spark, [*words, *words[:9], None]).repartition(7)).collect()} == want
+    assert analyze.shared_prefixes(table(spark, [])).count() == 0

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloom import schema
-from keyloom.dictionary import Dictionary, Encoder
+from keyloom.dictionary import Dictionary, Encoder, Json
 from keyloom.operators import build, lookup, search
 
 NESTED = {"a": 1, "ab": 2, "abc": 3, "abd": 4, "b": 5, "xyz": 6, "xyzw": 7}
@@ -124,3 +124,34 @@ def test_text_and_numbers_of_values(spark):
     assert {r.key: r.n for r in rows if r.n is not None} == {"a": 1.0, "f": 1.5}
     assert {r.key: r.k for r in rows} == {"a": "int", "b": "string", "c": "blob", "d": "null", "e": "bool", "f": "float64"}
     assert {r.key: r.j for r in rows} == {"a": "1", "b": '"x"', "c": "null", "d": "null", "e": "true", "f": "1.5"}
+
+
+def test_lookups_in_one_of_several_dictionaries(spark):
+    rows = spark.createDataFrame([("x", "a", 1), ("y", "a", 2), ("y", "b", 3)], "d string, k string, v long")
+    built = schema.entries(rows, F.col("k"), schema.int64(F.col("v")), dict_id=F.col("d"))
+    probes = spark.createDataFrame([("x", "a"), ("y", "a"), ("x", "b"), ("z", "a"), (None, "a"), ("y", None)], "dict_id string, key string")
+    got = {(r.dict_id, r.key): (r.found, r.v_int) for r in lookup.lookup(built, probes).collect()}
+    assert got == {("x", "a"): (True, 1), ("y", "a"): (True, 2), ("x", "b"): (False, None), ("z", "a"): (False, None), (None, "a"): (False, None), ("y", None): (False, None)}
+    assert {(r.dict_id, r.key) for r in lookup.contains(built, probes).where("found").collect()} == {("x", "a"), ("y", "a")}
+    assert lookup.present(built, probes).count() == 2 and lookup.missing(built, probes).count() == 4
+    assert lookup.lookup(built, probes.select("key")).where("found").count() == 9
+
+
+def test_metadata_survive_files(spark, tmp_path):
+    rows = schema.entries(spark.createDataFrame([("a",)], "k string"), F.col("k"), schema.null())
+    build.write(build.with_metadata(rows, {"author": "me", "version": 3}), f"{tmp_path}/d")
+    assert build.metadata(build.read(spark, f"{tmp_path}/d")) == {"author": "me", "version": 3} and build.metadata(rows) == {}
+
+
+def test_result_codes_have_texts(spark):
+    got = [r[0] for r in spark.createDataFrame([(0,), (-13,), (-22,), (5,), (None,)], "c int").coalesce(1).select(schema.result_text(F.col("c"))).collect()]
+    assert got == ["OK", "key not found", "JSON type mismatch", "unknown error", None] and len(schema.RESULTS) == 16
+
+
+def test_an_opened_document(spark):
+    json = Json(spark)
+    handle = json.open(json.encode('{"a":{"b":[1,-2.5,null]},"s":"x","t":true}'))
+    assert handle.lookup("a.b[1]") == (True, -2.5) and handle.lookup("a.b[2]") == (True, None) and handle.lookup("s") == (True, "x")
+    assert handle.lookup("a") == (False, None) and handle.lookup("zz") == (False, None)
+    assert dict(handle) == {"a.b[0]": 1, "a.b[1]": -2.5, "a.b[2]": None, "s": "x", "t": True} and len(handle) == 5
+    assert handle.root_type() == "object" and json.open(json.encode("[1]")).root_type() == "array"
