@@ -14,13 +14,15 @@ from keyloom.plans.sizing import map_texts
 LEVEL = 3
 CHUNK_BYTES = 4096
 #: (least bytes, lowest ratio, highest ratio or (least bytes, highest ratio) of several) of compressed to plain bytes. Frame overhead makes short texts look
-#: incompressible, and long ones share more, so the limits fall with the length. Below 128 bytes ratios say nothing. From
+#: incompressible, and long ones share more, so the limits fall with the length. Below 128 bytes no ratio is too high,
+#: as prose of that length doesn't shrink either; below 32 none is too low. From
 #: 1 kB on, Base64 (0.76 at best) is above the highest, prose well below.
 #: Below that, the highest ratio falls within a band by lengths of its own, between prose and random Base64 of the length.
 _HIGHEST_128 = ((128, 0.98), (144, 0.97), (160, 0.95), (192, 0.9), (224, 0.88))
 _HIGHEST_256 = ((256, 0.86), (320, 0.84), (384, 0.82), (448, 0.79), (512, 0.77), (640, 0.76), (768, 0.75), (896, 0.74))
-BANDS = ((0, 0.0, 99.0), (128, 0.35, _HIGHEST_128), (256, 0.32, _HIGHEST_256), (1024, 0.25, 0.74), (4096, 0.2, 0.7), (32768, 0.15, 0.7))
-#: Limits of a whole chunk, and the share of a document's chunks that may lie outside.
+BANDS = ((0, 0.0, 99.0), (32, 0.45, 99.0), (128, 0.35, _HIGHEST_128), (256, 0.32, _HIGHEST_256), (1024, 0.25, 0.74), (4096, 0.2, 0.7), (32768, 0.15, 0.7))
+#: Limits of a whole chunk, and the share of a document's chunks that may lie outside. A text of one chunk is that chunk, and
+#: the limits of its length are narrower than these.
 CHUNK_BAND = (0.15, 0.72)
 MAX_BAD_CHUNKS = 0.25
 
@@ -62,8 +64,9 @@ def compression_bands(docs: DataFrame, bands=BANDS, chunk_bytes: int = CHUNK_BYT
 
     ``reason`` is 'repetitive' or 'incompressible' where the ratio of the whole text leaves the band of its length,
     'chunks' where more than ``max_bad`` of its chunks leave ``chunk_band``, 'empty' for null and empty texts. A map
-    over the rows: nothing is shuffled, and texts of any length are read whole. Repeated rows give repeated
-    rows, null ids stay null, other columns aren't read.
+    over the rows: nothing is shuffled, and texts of any length are read whole. A ratio that ties with a limit is
+    kept. Repeated rows give repeated rows, null ids stay null, ids that are no integers become null, an empty table gives
+    an empty one, other columns, whatever their names, aren't read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +84,7 @@ def compression_bands(docs: DataFrame, bands=BANDS, chunk_bytes: int = CHUNK_BYT
             columns = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, SCHEMA)
+    return map_texts(docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, SCHEMA)
 
 
 def kept(docs: DataFrame, **limits) -> DataFrame:

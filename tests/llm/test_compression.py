@@ -44,7 +44,7 @@ def test_measures_by_definition():
 def test_limits_depend_on_the_length():
     assert C.verdict(100, 3.0, [3.0])[2] is None and C.verdict(300, 1.0, [1.0])[2] == "incompressible"
     assert C.verdict(5000, 0.19, [0.19])[2] == "repetitive" and C.verdict(40_000, 0.19, [0.19] * 9)[2] is None
-    assert C.verdict(40_000, 0.4, [0.05] * 3 + [0.4] * 6) == (5, 3, "chunks") and C.verdict(40_000, 0.4, [0.05] * 2 + [0.4] * 7)[2] is None
+    assert C.verdict(40_000, 0.4, [0.05] * 3 + [0.4] * 6) == (6, 3, "chunks") and C.verdict(40_000, 0.4, [0.05] * 2 + [0.4] * 7)[2] is None
 
 
 def test_odd_rows(spark):
@@ -64,3 +64,32 @@ def test_short_base64_goes_and_prose_of_its_length_stays(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in junk + words], SCHEMA)
     got = {r.doc_id: r.reason for r in C.compression_bands(docs).collect()}
     assert got == {n: "incompressible" for n in sizes} | {2000 + n: None for n in sizes}
+
+
+def test_short_repetitive_texts_go(spark):
+    rows = [(1, "spam " * 20), (2, "the garden by the river was quiet that morning"), (3, "ab" * 10), (4, "- " * 50), (5, prose(15, 1)[:120])]
+    got = {r.doc_id: r.reason for r in C.compression_bands(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)).collect()}
+    assert got == {1: "repetitive", 2: None, 3: None, 4: "repetitive", 5: None}
+
+
+def test_the_whole_query_is_what_the_definition_gives(spark):
+    """Every text of a table, by a plain reading of the bands."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    z = zstandard.ZstdCompressor(level=C.LEVEL)
+    want = set()
+    for r in docs.select("doc_id", "text").collect():
+        text = (r.text or "").encode()
+        if not text:
+            continue
+        ratio = lambda b: len(z.compress(b)) / len(b)
+        _, low, high = [b for b in C.BANDS if len(text) >= b[0]][-1]
+        high = [h for b, h in high if len(text) >= b][-1] if isinstance(high, tuple) else high
+        size, parts = C.CHUNK_BYTES, []
+        if len(text) >= size * 1.5:
+            parts = [text[i : i + size] for i in range(0, len(text), size)]
+            if len(parts[-1]) < size // 2:
+                parts[-2:] = [parts[-2] + parts[-1]]
+        outside = sum(not C.CHUNK_BAND[0] <= ratio(p) <= C.CHUNK_BAND[1] for p in parts)
+        if low <= ratio(text) <= high and outside <= C.MAX_BAD_CHUNKS * len(parts):
+            want.add((r.doc_id, len(text), ratio(text), outside))
+    assert {(r.doc_id, r.n_bytes, r.ratio, r.bad_chunks) for r in C.kept(docs).collect()} == want
