@@ -57,8 +57,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page, the score of its URL, and whether it is rejected."""
-    return urls.url_filter(_table(spark, sf_dir, "pages"))
+    """Every page, the score of its URL, and whether it is rejected.
+
+    The tables label no URL, so the examples are all pages, labelled by words in their hosts.
+    """
+    pages = _table(spark, sf_dir, "pages")
+    return urls.url_filter(pages, urls.word_examples(pages))
 
 
 def op9_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:

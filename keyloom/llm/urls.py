@@ -15,7 +15,8 @@ from keyloom.llm.decontaminate import Filter
 from keyloom.llm.tokens import BASE, BASE_INV, U, mix, powers
 from keyloom.plans.lineage import cut, drop
 
-#: Words in a host name that make its URLs examples of rejected ones; all other URLs are examples of accepted ones.
+#: Where no labelled URLs are at hand: words in a host name that make its URLs examples of rejected ones; all other URLs
+#: are examples of accepted ones.
 REJECTED_WORDS = ("adult", "ads", "bet", "bets", "casino", "gambling", "loans", "pharma", "pills", "poker", "porn", "sex", "spam", "track", "viagra", "warez", "xxx")
 #: Most characters of context.
 ORDER = 5
@@ -25,8 +26,8 @@ MIN_COUNT = 1
 MAX_GRAMS = 1_000_000
 #: One of this many hosts is held out of the models, to calibrate the threshold.
 HELD_OUT = 5
-#: Bins of score differences, per unit, and the most units on either side, in calibration.
-BINS, RANGE = 100, 20
+#: Bins of score differences, per unit, in calibration.
+BINS = 100
 #: Bytes of URLs that are handled at a time.
 CHUNK_BYTES = 1 << 20
 
@@ -180,7 +181,7 @@ def score(pages: DataFrame, models: tuple[Model, Model]) -> DataFrame:
                 missing = size == 1
                 yield pa.RecordBatch.from_arrays([*here, pa.array((size - 1).astype(np.int32)), pa.array(per, mask=missing)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), cleaned(F.col("url").cast("string")).alias("text")).mapInArrow(run, SCHEMA)
+    return pages.select(F.col("page_id").try_cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), cleaned(F.col("url").cast("string")).alias("text")).mapInArrow(run, SCHEMA)
 
 
 def score_by_join(pages: DataFrame, grams: DataFrame) -> DataFrame:
@@ -204,7 +205,7 @@ def score_by_join(pages: DataFrame, grams: DataFrame) -> DataFrame:
                     columns = (window, text.hashes(k, True)[first], text.hashes(k, False)[first])
                     yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in columns), pa.array(np.full(len(window), k, np.int32))], names=["window", "gram", "context", "k"])
 
-    named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), cleaned(F.col("url").cast("string")).alias("text"))
+    named = pages.select(F.col("page_id").try_cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), cleaned(F.col("url").cast("string")).alias("text"))
     named = named.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
     distinct = named.where("text != ''").groupBy("key").agg(F.min("text").alias("text"))
     contexts = grams.groupBy("context").agg(*[x for c in _CLASSES for x in (F.sum(c).alias(f"{c}_total"), F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds"))])
@@ -229,39 +230,53 @@ def score_by_join(pages: DataFrame, grams: DataFrame) -> DataFrame:
 def calibrate(scored: DataFrame) -> float:
     """The threshold that best separates the scores of the two kinds: the highest sum of both rates that are right.
 
-    Scores are counted in bins by Spark; among equally good thresholds, the middle one is taken, and 0 if a kind is missing.
+    Scores are counted in bins by Spark; a score is a mean of log-probabilities, of which none is below the logarithm of
+    1/256 over the product of ORDER + 1 counts, so that bins are some ten thousand at most. Among equally good
+    thresholds, the middle one is taken, and 0 if a kind is missing.
     """
-    bin = F.greatest(F.lit(-RANGE * BINS), F.least(F.lit(RANGE * BINS), F.floor(F.col("score") * BINS))).cast("int")
-    counts = np.zeros((2, 2 * RANGE * BINS + 1))
-    for r in scored.where("score is not null").groupBy("kind", bin.alias("bin")).count().collect():
-        counts[r.kind, r.bin + RANGE * BINS] = r["count"]
-    if not counts.sum(axis=1).all():
+    rows = scored.where("score is not null").groupBy("kind", F.floor(F.col("score") * BINS).alias("bin")).count().collect()
+    if len({r.kind for r in rows}) < 2:
         return 0.0
+    bins, at = np.unique([r.bin for r in rows], return_inverse=True)
+    counts = np.zeros((2, len(bins)))
+    counts[[r.kind for r in rows], at] = [r["count"] for r in rows]
     rates = np.cumsum(counts, axis=1) / counts.sum(axis=1, keepdims=True)
-    good = rates[0] - rates[1]  # of accepted below the end of a bin, less of rejected below it
-    best = np.flatnonzero(good >= good.max() - 1e-12)
-    best = best[: int(np.append(np.flatnonzero(np.diff(best) > 1), len(best) - 1)[0]) + 1]
-    return float((best[0] + best[-1]) / 2 + 1 - RANGE * BINS) / BINS
+    good = rates[0] - rates[1]  # of accepted below the end of a bin, less of rejected below it; bins without scores change nothing
+    first = last = int(np.flatnonzero(good >= good.max() - 1e-12)[0])
+    while last + 1 < len(bins) and good[last + 1] >= good.max() - 1e-12:
+        last += 1
+    end = bins[last + 1] - 1 if last + 1 < len(bins) else bins[last]
+    return float((bins[first] + end) / 2 + 1) / BINS
 
 
-def url_filter(pages: DataFrame, words: tuple[str, ...] = REJECTED_WORDS) -> DataFrame:
+def word_examples(pages: DataFrame, words: tuple[str, ...] = REJECTED_WORDS) -> DataFrame:
+    """(url, rejected): every URL of ``pages``, labelled by :func:`example`, for want of labels."""
+    url = F.col("url").cast("string")
+    return pages.select(url.alias("url"), example(url, words).alias("rejected"))
+
+
+def url_filter(pages: DataFrame, examples: DataFrame) -> DataFrame:
     """(page_id, url, n_chars, score, rejected): every page, and whether its URL is rejected.
 
-    The models count the characters of all URLs of all hosts but one in HELD_OUT (by hash), as examples by
-    :func:`example`; counts are summed by Spark, and none is dropped. Up to MAX_GRAMS grams are broadcast, more are joined.
-    The held-out hosts calibrate the threshold. Three scans of the URLs; other columns, texts included, aren't read.
+    ``examples`` has (url, rejected), labelled URLs: 1 or true for a rejected one, 0 or false for an accepted one; rows
+    without a URL or a label are none. The models count the characters of the examples of all hosts but one in HELD_OUT (by
+    hash); counts are summed by Spark, and none is dropped. Up to MAX_GRAMS grams are broadcast, more are joined. The
+    examples of held-out hosts calibrate the threshold. Other columns, texts included, aren't read.
 
-    Null and empty URLs have no score and aren't rejected; repeated rows give repeated rows; a null id stays null. Without
-    examples of a kind, its model gives every character 1/256 and the threshold is 0. An empty table gives an empty one.
+    Null and empty URLs have no score and aren't rejected; very long ones are read whole; a score that ties with the
+    threshold is rejected; repeated rows give repeated rows; a null id stays null, and one that is no integer becomes
+    null. Without examples of a kind, its model gives every character 1/256 and the threshold is 0. Empty tables give an
+    empty one.
     """
     url = F.col("url").cast("string")
-    seen = pages.select(cleaned(url).alias("text"), example(url, words).alias("kind"), F.pmod(F.xxhash64(host(url)), F.lit(HELD_OUT)).alias("part")).where("kind is not null")
-    grams = cut(gram_table(seen.where("part != 0").select("text", "kind")), "grams")
+    seen = examples.select(url.alias("url"), F.col("rejected").cast("int").cast("long").alias("page_id"), F.pmod(F.xxhash64(host(url)), F.lit(HELD_OUT)).alias("part")).where("page_id is not null and url != ''")
+    grams = cut(gram_table(seen.where("part != 0").select(cleaned(F.col("url")).alias("text"), F.col("page_id").cast("int").alias("kind"))), "grams")
+    held = seen.where("part = 0")
     if grams.count() <= MAX_GRAMS:
-        scored = score(pages, models_of(grams))
+        models = models_of(grams)
+        scored, known = score(pages, models), score(held, models)
         drop(grams)
     else:
-        scored = score_by_join(pages, grams)
-    held = scored.where(F.pmod(F.xxhash64(host(F.col("url"))), F.lit(HELD_OUT)) == 0).withColumn("kind", example(F.col("url"), words)).where("kind is not null")
-    threshold = calibrate(held)
+        scored, known = score_by_join(pages, grams), score_by_join(held, grams)
+    threshold = calibrate(known.select(F.col("page_id").cast("int").alias("kind"), "score"))
     return scored.withColumn("rejected", F.coalesce(F.col("score") >= threshold, F.lit(False)))

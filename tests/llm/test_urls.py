@@ -14,6 +14,10 @@ def pages(spark, urls):
     return spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
 
 
+def filtered(pages):
+    return L.url_filter(pages, L.word_examples(pages))
+
+
 def plain(urls):
     """The counts and probabilities of one class by dictionaries."""
     grams, contexts = {}, {}
@@ -66,10 +70,10 @@ def test_joins_give_the_scores_of_broadcast_models(spark, monkeypatch):
     rng = random.Random(3)
     urls = [f"https://{rng.choice(['casino', 'bets', 'park', 'lake', 'hill'])}{'.' * (i % 2)}x{i % 37}.example/{''.join(rng.choices('abcd/', k=9))}" for i in range(300)]
     docs = pages(spark, [*urls, urls[0], None, "", "https://日本.example/é"]).unionByName(spark.createDataFrame([(None, urls[1], None)], "page_id long, url string, html string"))
-    want = {(r.page_id, r.url): r for r in L.url_filter(docs).collect()}
+    want = {(r.page_id, r.url): r for r in filtered(docs).collect()}
     monkeypatch.setattr(L, "MAX_GRAMS", 0)
-    got = L.url_filter(docs)
-    assert dict(got.dtypes) == dict(L.url_filter(docs.limit(0)).dtypes) and got.count() == docs.count()
+    got = filtered(docs)
+    assert dict(got.dtypes) == dict(filtered(docs.limit(0)).dtypes) and got.count() == docs.count()
     for r in got.collect():
         x = want[r.page_id, r.url]
         assert (r.score is None) == (x.score is None) and r.n_chars == x.n_chars and r.rejected == x.rejected
@@ -95,7 +99,7 @@ def test_rejected_hosts_are_told_from_others(spark):
         name = f"{rng.choice(['win', 'big', 'best'])}-casino{''}" if bad else rng.choice(plain_words) + rng.choice(plain_words)
         urls.append(f"https://{'www.' if i % 3 else ''}{name}.example{i % 40}.com/{rng.randint(1, 999)}{'?bonus=free' if bad else '.html'}")
         kinds.append(bad)
-    got = [r.rejected for r in L.url_filter(pages(spark, urls)).orderBy("page_id").collect()]
+    got = [r.rejected for r in filtered(pages(spark, urls)).orderBy("page_id").collect()]
     assert sum(a == b for a, b in zip(got, kinds)) >= 0.98 * len(urls)
 
 
@@ -117,8 +121,43 @@ def test_threshold_is_between_the_kinds(spark):
 def test_odd_rows(spark):
     urls = ["https://a.example/x", None, "", "https://a.example/x", "https://casino.example/" + "y" * 300_000, "https://日本.example/é"]
     docs = pages(spark, urls).withColumn("score", F.lit(1)).withColumn("kind", F.lit("k")).withColumn("text", F.lit("t"))
-    got = {r.page_id: r for r in L.url_filter(docs).collect()}
+    got = {r.page_id: r for r in filtered(docs).collect()}
     assert len(got) == 6 and got[1].score is None and got[1].rejected is False and got[2].n_chars == 0 and got[0].score == got[3].score and got[4].n_chars > 300_000
-    assert L.url_filter(docs.limit(0)).count() == 0
+    assert filtered(docs.limit(0)).count() == 0
     nobody = spark.createDataFrame([(None, "x.example", None)], "page_id long, url string, html string")
-    assert L.url_filter(nobody).first().page_id is None
+    assert filtered(nobody).first().page_id is None
+    docs = pages(spark, urls).withColumn("rejected", F.lit("x"))
+    assert filtered(docs).columns == ["page_id", "url", "n_chars", "score", "rejected"] and filtered(docs).count() == 6
+
+
+@pytest.mark.parametrize("most", [L.MAX_GRAMS, 0])
+def test_the_whole_query_is_what_brute_force_gives(spark, monkeypatch, most):
+    """Labelled URLs of hosts that overlap in words; models, threshold and verdicts by dictionaries."""
+    monkeypatch.setattr(L, "MAX_GRAMS", most)
+    rng = random.Random(6)
+    examples = []
+    for i in range(240):
+        bad = i % 3 == 0
+        name = "".join(rng.choices("abcdxyz" if bad else "abcdefg", k=6))
+        examples.append((f"https://{name}.{'win' if bad or i % 7 == 0 else 'org'}/{'free' if bad and i % 2 else 'page'}/{i}", bool(bad)))
+    examples += [(None, True), ("", False), ("http://unlabelled.example/", None), examples[0], examples[0]]
+    some = spark.createDataFrame(examples, "url string, rejected boolean")
+    urls = [u for u, _ in examples[:60]] + ["https://new.win/free/9", "HTTP://NEW.org/page/9", "", None]
+    known = [(u, int(k), c, p) for u, k, c, p in some.where("url != '' and rejected is not null").select("url", "rejected", L.cleaned(F.col("url")), F.pmod(F.xxhash64(L.host(F.col("url"))), F.lit(L.HELD_OUT))).collect()]
+    good, bad = (plain([c for _, k, c, p in known if k == kind and p != 0]) for kind in (0, 1))
+    score = lambda c: (bad(c) - good(c)) / (len(c) + 1)
+    held = [(score(c), k) for _, k, c, p in known if p == 0]
+    bins = range(min(math.floor(x * L.BINS) for x, _ in held), max(math.floor(x * L.BINS) for x, _ in held) + 1)
+    rate = lambda kind, b: sum(k == kind and math.floor(x * L.BINS) <= b for x, k in held) / sum(k == kind for _, k in held)
+    gain = [rate(0, b) - rate(1, b) for b in bins]
+    best = [b for b, g in zip(bins, gain) if g >= max(gain) - 1e-12]
+    run = [b for i, b in enumerate(best) if b == best[0] + i]
+    threshold = ((run[0] + run[-1]) / 2 + 1) / L.BINS
+    clean = dict(spark.createDataFrame([(u,) for u in urls], "u string").select("u", L.cleaned(F.col("u"))).collect())
+    got = {r.url: r for r in L.url_filter(pages(spark, urls), some).collect()}
+    assert len({k for _, k in held}) == 2 and {r.rejected for r in got.values()} == {True, False}
+    for u in urls:
+        if not u:
+            assert got[u].score is None and got[u].rejected is False
+        else:
+            assert got[u].score == pytest.approx(score(clean[u])) and got[u].rejected == (score(clean[u]) >= threshold)
