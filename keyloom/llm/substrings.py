@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.minhash import key_of
-from keyloom.llm.tokens import U, chunks, mix, windows
+from keyloom.llm.tokens import U, chunks, mix, partitions, total_bytes, windows
+from keyloom.plans.lineage import cut, drop
 from keyloom.plans.names import fresh
 from keyloom.plans.sizing import map_texts
 
@@ -25,6 +26,10 @@ BUCKET_BYTES = 1 << 18
 FLUSH = 16
 #: Windows that are counted at a time, in whole buckets.
 COUNT_WINDOWS = 1 << 20
+#: A bucket of more windows is split by the windows' own hashes into buckets of about COUNT_WINDOWS.
+MOST_WINDOWS = 4 << 20
+#: Bytes that a window takes in the shuffle.
+WINDOW_BYTES = 9
 
 #: A run is a row of consecutive windows of a document. Of each run: id, key, first token, windows and state (SOLE,
 #: FIRST or AGAIN among the windows of its task); then the hashes of all windows but the AGAIN ones.
@@ -56,24 +61,40 @@ def _breaks(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(out)
 
 
+def buckets_of(chunk, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, bucket, first token) of every window of a chunk; the bucket is that of its least shingle."""
+    h, first = windows(chunk, n)
+    if not len(h):
+        return h, np.empty(0, np.int64), first
+    m = min(MINIMIZER_TOKENS, n)
+    g = chunk.hashes
+    for k in range(1, m):
+        g = mix(g[:-1] + U(k)) ^ chunk.hashes[k:]
+    return h, (mix(sliding_least(mix(g), n - m + 1))[first] % U(buckets)).astype(np.int64), first
+
+
 class Sender:
-    """The windows of some documents, to be sent to their buckets."""
+    """The windows of some documents, to be sent to their buckets; ``hot`` has the buckets to split, in how many each."""
 
-    def __init__(self, n: int, buckets: int):
+    def __init__(self, n: int, buckets: int, hot: tuple[np.ndarray, np.ndarray] | None = None):
         self.n, self.buckets = n, U(buckets)
+        self.hot = hot if hot is not None else (np.empty(0, np.int64), np.empty(0, np.int64))
         self.parts: list[tuple[np.ndarray, ...]] = []
 
     def add(self, chunk, ids: np.ndarray, keys: np.ndarray) -> None:
-        h, first = windows(chunk, self.n)
+        h, bucket, first = buckets_of(chunk, self.n, int(self.buckets))
         if not len(h):
             return
-        m = min(MINIMIZER_TOKENS, self.n)
-        g = chunk.hashes
-        for k in range(1, m):
-            g = mix(g[:-1] + U(k)) ^ chunk.hashes[k:]
-        bucket = mix(sliding_least(mix(g), self.n - m + 1))[first] % self.buckets
+        which, into = self.hot
+        if len(which):
+            at = np.minimum(np.searchsorted(which, bucket), len(which) - 1)
+            split = which[at] == bucket
+            # beyond all other buckets, by the bucket and the hash of the window
+            own = (mix(h[split] ^ U(1)) % into[at[split]].astype(U)).astype(np.int64)
+            start = np.cumsum(into) - into
+            bucket[split] = int(self.buckets) + 1024 + start[at[split]] + own
         doc = chunk.doc_of()[first]
-        self.parts.append((h, bucket.astype(np.int64), ids[doc], keys[doc], (first - chunk.offsets[doc]).astype(np.int32)))
+        self.parts.append((h, bucket, ids[doc], keys[doc], (first - chunk.offsets[doc]).astype(np.int32)))
 
     def rows(self) -> pa.RecordBatch | None:
         """One row a bucket. Of windows that are equal here, only the first is sent to be counted."""
@@ -166,7 +187,29 @@ def intervals(doc: np.ndarray, start: np.ndarray, length: np.ndarray, again: np.
     return who[head][real], place[head][real], end[real], kind[head][real] == 2
 
 
-def repeats(docs: DataFrame, n: int = WINDOW_TOKENS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def bucket_sizes(texts: DataFrame, n: int, buckets: int) -> DataFrame:
+    """(bucket, n): how many windows of the column ``text`` are in each bucket; tasks sum their own before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for chunk in chunks(batch.column(0)):
+                held.append(np.unique(buckets_of(chunk, n, buckets)[1], return_counts=True))
+                if len(held) > FLUSH:
+                    yield summed(held)
+                    held = []
+        if held:
+            yield summed(held)
+
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        some, which = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        number = np.bincount(which, np.concatenate([x[1] for x in held]), len(some)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(some), pa.array(number)], names=["bucket", "n"])
+
+    return map_texts(texts.select("text"), run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def repeats(docs: DataFrame, n: int = WINDOW_TOKENS, bucket_bytes: int = BUCKET_BYTES, most_windows: int = MOST_WINDOWS, count_windows: int = COUNT_WINDOWS) -> DataFrame:
     """(doc_id, key, start, end, removed): intervals of tokens that lie in windows which occur more than once.
 
     Every window of ``n`` tokens is hashed (Rabin-Karp) and counted. Of equal windows, the one of the least (doc_id, key,
@@ -175,19 +218,27 @@ def repeats(docs: DataFrame, n: int = WINDOW_TOKENS, bucket_bytes: int = BUCKET_
 
     Windows go to the bucket of their least shingle, which neighbours mostly share, so that a run of windows travels as
     one row: about nine bytes a window are shuffled, once. Windows that are equal within a task are counted there,
-    so a passage of the whole corpus sends one window a task to its bucket. The number of buckets follows
-    the size of the input, and a task counts a few whole buckets at a time. What is found goes to its document by a
-    second, smaller shuffle.
-
-    Null, empty and short texts have no window. Rows of equal id and text count as one document; ``key`` tells rows of
-    one id apart. A null id comes before others. An empty table gives an empty one; other columns aren't read.
+    so a passage of the whole corpus sends one window a task to its bucket. The numbers of buckets and of tasks follow
+    the size of the input, and a task counts a few whole buckets at a time. A first scan counts the windows of each
+    bucket: one of more than ``most_windows``, whose shingle the corpus is full of, is split by the windows' own hashes.
+    What is found goes to its document by a second, smaller shuffle.
+
+    Null, empty and short texts have no window; very long texts are whole. Rows of equal id and text count as one
+    document; ``key`` tells rows of one id apart. An id that is no integer counts as null, which comes before others. An
+    empty table gives an empty one; other columns aren't read.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of().alias("key"), F.col("text").cast("string").alias("text"))
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(64, min(1 << 40, size // bucket_bytes))
+    spark = docs.sparkSession
+    keyed = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), key_of().alias("key"), F.col("text").cast("string").alias("text"))
+    buckets = max(64, min(1 << 40, total_bytes(docs, "text") // bucket_bytes))
+    sizes = cut(bucket_sizes(keyed, n, buckets), "buckets")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    # at most total / most_windows rows
+    hot = sizes.where(F.col("n") > most_windows).toArrow().sort_by("bucket")
+    drop(sizes)
+    split = spark.sparkContext.broadcast((hot.column("bucket").to_numpy(), -(-hot.column("n").to_numpy() // count_windows)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(n, buckets)
+        sender = Sender(n, buckets, split.value)
         for batch in batches:
             ids, keys = batch.column(0).fill_null(_NULL_ID).to_numpy(), batch.column(1).to_numpy()
             for chunk in chunks(batch.column(2)):
@@ -209,7 +260,7 @@ def repeats(docs: DataFrame, n: int = WINDOW_TOKENS, bucket_bytes: int = BUCKET_
             bucket = batch.column(0).to_numpy()
             start = _breaks(bucket) if len(bucket) else np.empty(0, np.int64)
             for lo, hi in zip(start, np.append(start[1:], len(bucket))):
-                if size >= COUNT_WINDOWS and bucket[lo] != last:
+                if size >= count_windows and bucket[lo] != last:
                     yield counted(held)
                     held, size = [], 0
                 last = bucket[lo]
@@ -228,7 +279,7 @@ def repeats(docs: DataFrame, n: int = WINDOW_TOKENS, bucket_bytes: int = BUCKET_
             where = pa.array(which)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(removed)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    sent = map_texts(keyed, send, _ROWS).repartition("bucket").sortWithinPartitions("bucket")
+    sent = map_texts(keyed, send, _ROWS).repartition(partitions(spark, WINDOW_BYTES * total), "bucket").sortWithinPartitions("bucket")
     runs = sent.mapInArrow(receive, _RUNS)
     return runs.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "length", "again")).alias("runs")).mapInArrow(merge, SCHEMA)
 
@@ -242,7 +293,8 @@ def _flat(values: pa.Array, kind: type) -> np.ndarray:
 def without_repeats(docs: DataFrame, n: int = WINDOW_TOKENS) -> DataFrame:
     """``docs`` with the intervals to remove cut out of their texts; the columns stay as they are.
 
-    What lies between the first removed token and the next one that stays is cut. The intervals are joined by key.
+    What lies between the first removed token and the next one that stays is cut. The intervals are joined by key. Rows
+    without a text, or with nothing to cut, stay as they are; columns of any names are passed on.
     """
     key, cuts = fresh(docs, "__key", "__cuts")
     gone = repeats(docs, n).where("removed").groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts))

@@ -122,3 +122,36 @@ def test_long_empty_and_clashing(spark):
     left = S.without_repeats(docs)
     assert left.columns == docs.columns and {r.doc_id: r.text for r in left.collect()} == {1: long, 2: "x ", 3: None, 4: "few words"}
     assert S.repeats(docs.limit(0)).count() == 0 and S.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_a_shingle_of_half_the_corpus_is_split_over_tasks(spark, monkeypatch):
+    """All windows of every other document have one least shingle, and no bucket that is sent has more than a few."""
+    monkeypatch.setattr(S, "sliding_least", lambda x, n: np.where(x[: len(x) - n + 1] % 2 == 0, np.uint64(7), x[: len(x) - n + 1]))
+    data = rows(8)
+    seen = []
+    plain = S.Sender.rows
+
+    def watched(self):
+        batch = plain(self)
+        if batch is not None:
+            seen.extend(zip(batch.column(0).to_pylist(), (len(x.as_py()) // 8 for x in batch.column(6))))
+        return batch
+
+    docs = frame(spark, data)
+    texts = [t for _, t in data if t]
+    sizes = S.Sender(N, 64)
+    for chunk in S.chunks(__import__("pyarrow").array(texts)):
+        h, bucket, _ = S.buckets_of(chunk, N, 64)
+        hot, number = np.unique(bucket, return_counts=True)
+    assert number.max() > 0.3 * number.sum()
+    into = (hot[number > 100], -(-number[number > 100] // 50))
+    sizes = S.Sender(N, 64, into)
+    for chunk in S.chunks(__import__("pyarrow").array(texts)):
+        sizes.add(chunk, np.arange(len(texts)), np.arange(len(texts)))
+    monkeypatch.setattr(S.Sender, "rows", watched)
+    sizes.rows()
+    assert max(n for _, n in seen) < 120
+    monkeypatch.setattr(S.Sender, "rows", plain)
+    monkeypatch.undo()
+    got = S.repeats(docs.repartition(5), N, 1 << 18, most_windows=20, count_windows=10).collect()
+    assert {(r.doc_id, r.start, r.end, r.removed) for r in got} == brute(data, N)
