@@ -80,12 +80,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                 where = pa.array(some + chunk.lo)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), lists], names=["doc_id", "key", "bands"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of().alias("key"), F.col("text").cast("string").alias("text")), run, SIGNATURES)
+    return map_texts(docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), key_of().alias("key"), F.col("text").cast("string").alias("text")), run, SIGNATURES)
 
 
 def key_of() -> Column:
-    """Equal for rows of equal id and text only (but for collisions of 64 bits)."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """Equal for rows of equal id and text only (but for collisions of 64 bits); ids may be of any type."""
+    return F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
 
 
 def star_edges(sigs: DataFrame) -> DataFrame:
@@ -147,8 +147,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     A group is a connected component of candidate pairs whose signatures agree in ``threshold`` of the bins. It keeps
     its least (doc_id, key), null ids first. Documents without tokens (null, empty, or punctuation only) are in no group;
-    rows of equal id and text count as one document; rows of one id but other texts are documents of their own. An
-    empty table gives an empty one.
+    rows of equal id and text count as one document; rows of one id but other texts are documents of their own. An id
+    that is no integer comes out as null. Very long texts are hashed whole. Ties go to the lesser key. An empty table
+    gives an empty one; other columns, whatever their names, aren't read.
     """
     sigs = cut(signatures(docs), "signatures")
     pairs = cut(verified(star_edges(sigs), sigs, threshold), "pairs")
@@ -162,13 +163,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents of :func:`near_duplicates` that aren't kept; the columns stay as they are.
 
-    Of rows with equal id and text one stays, if they have tokens; rows without tokens all stay. The keys to drop are
-    broadcast if they are few, else joined by a shuffle.
+    Of rows with equal id and text one stays, if they have tokens; rows without tokens, null texts among them, all stay.
+    The ids and keys to drop are broadcast if they are few, else joined by a shuffle. Columns of any names are passed on.
     """
-    (key,) = fresh(docs, "__key")
-    keyed = docs.withColumn(key, key_of())
-    gone = cut(near_duplicates(docs, threshold).where("key != keep_key").select(F.col("key").alias(key)).distinct(), "dropped")
-    left = keyed.join(sized(gone), key, "left_anti")
+    key, number = fresh(docs, "__key", "__id")
+    none = F.lit(-(1 << 63))
+    keyed = docs.withColumn(key, key_of()).withColumn(number, F.coalesce(F.col("doc_id").try_cast("long"), none))
+    gone = cut(near_duplicates(docs, threshold).where("key != keep_key").select(F.col("key").alias(key), F.coalesce("doc_id", none).alias(number)).distinct(), "dropped")
+    left = keyed.join(sized(gone), [key, number], "left_anti")
     again = cut(docs.select(key_of().alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "repeated")
     if again.count():
         lettered = F.coalesce(F.col("text").cast("string").rlike("[A-Za-z0-9]|[^\\x00-\\x7F]"), F.lit(False))

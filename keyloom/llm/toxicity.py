@@ -76,7 +76,7 @@ def _code(docs: DataFrame) -> Column:
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, key, code, text); ``key`` tells rows of one id apart. An id that is no integer counts as null."""
     doc_id, text = F.col("doc_id").try_cast("long"), F.col("text").cast("string")
-    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), _code(docs).alias("code"), text.alias("text"))
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(F.col("doc_id").cast("string"), text).alias("key"), _code(docs).alias("code"), text.alias("text"))
 
 
 def terms(texts: pa.Array, codes: pa.Array) -> Iterator[tuple[Chunk, Chunk]]:
@@ -103,7 +103,8 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
 
     At most ``max_labelled`` labels are used, those of the least hashed ids; a row without an id or a label is none, and
     of several labels of an id the toxic one holds. Of documents that share a shingle minimum, as copies do, the one
-    of the least key stays, lest the words of a document that was copied a thousand times become seeds.
+    of the least key stays, lest the words of a document that was copied a thousand times become seeds; so one of
+    repeated rows stays, and texts without a shingle all do. Without labels the table is empty.
     """
     some = labels.where(F.col("doc_id").try_cast("long").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").try_cast("long").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = F.broadcast(some.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled))
@@ -226,8 +227,9 @@ def score(docs: DataFrame, lexicon: Lexicon, min_score: float = MIN_SCORE, min_r
     """One row a document: the summed weights of its lexicon terms, how many it has, and whether it is toxic.
 
     Documents without a language, or of one without lexicon terms, are scored by the terms of all languages. A map over
-    whole texts; the lexicon is broadcast. Null, empty and wordless
-    texts score 0 and aren't toxic; repeated rows give repeated rows; a null id stays null; other columns aren't read.
+    whole texts of any length; the lexicon is broadcast, 16 bytes a term. Null, empty and wordless texts score 0 and
+    aren't toxic; a score that ties with a limit is toxic; repeated rows give repeated rows; a null id stays null, and one
+    that is no integer becomes null; an empty table gives an empty one; other columns aren't read.
     """
     known = docs.sparkSession.sparkContext.broadcast(_scorer(lexicon))
 
@@ -267,12 +269,18 @@ def _scored(chunk: Chunk, scorer: tuple[Filter, np.ndarray, np.ndarray], min_sco
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The rows of :func:`score` that are toxic, by the lexicon that :func:`induce` finds in ``docs``."""
+    """The rows of :func:`score` that are toxic, by the lexicon that :func:`induce` finds in ``docs``.
+
+    Without labels, toxic ones or documents there are none.
+    """
     return score(docs, induce(docs, labels, **parameters)).where("toxic = 1").drop("toxic")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE, min_rate: float = MIN_RATE, **parameters) -> DataFrame:
-    """The rows of ``docs`` that aren't toxic, columns as they are; a map over the rows, without a join."""
+    """The rows of ``docs`` that aren't toxic, columns as they are; a map over the rows, without a join.
+
+    Null, empty and wordless texts stay, repeated rows stay or go together, columns of any names are passed on.
+    """
     known = docs.sparkSession.sparkContext.broadcast(_scorer(induce(docs, labels, **parameters)))
     at, width = docs.columns.index("text"), len(docs.columns)
 

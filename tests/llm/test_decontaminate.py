@@ -20,11 +20,12 @@ def brute(docs, items, containment=D.CONTAINMENT, n=D.SHINGLE_TOKENS):
     out = {}
     for item, text in items:
         w = tokens(text)
-        want = {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
-        need, size = max(1, ceil(len(want) * containment - 1e-9)), max(1, len(w) - n + 1)
+        m = min(n, len(w))  # an item of fewer tokens is one shingle
+        want = {tuple(w[i : i + m]) for i in range(len(w) - m + 1)} if w else set()
+        need, size = max(1, ceil(len(want) * containment - 1e-9)), max(1, len(w) - m + 1)
         for doc, body in docs:
             v = tokens(body)
-            have = [tuple(v[i : i + n]) for i in range(max(1, len(v) - n + 1))] if v else []
+            have = [tuple(v[i : i + m]) for i in range(len(v) - m + 1)]
             best = max((len(want & set(have[i : i + size])) for i in range(len(have))), default=0)
             if want and best >= need:
                 out[doc, item] = (best, need, len(want))
@@ -85,3 +86,24 @@ def test_nulls_empty_long_repeated_and_clashing(spark):
     assert left.columns == table.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 3, 4, 6]
     for a, b in ((table.limit(0), bench), (table, bench.limit(0)), (table.limit(0), bench.limit(0))):
         assert D.contaminated(a, b).count() == 0 and D.without_contaminated(a, b).count() == a.count()
+
+
+def test_short_items_are_found_in_longer_documents(spark):
+    items = [(1, "hello world"), (2, "Friend"), (3, "hello world"), (4, "world hello"), (5, "a b")]
+    docs = [(1, "well hello world indeed my friend"), (2, "hello, world"), (3, "friend"), (4, "hello big world"), (5, "x " * 200_000 + "hello world")]
+    got = {(r.doc_id, r.item_id): (r.matched, r.needed, r.total, r.token) for r in D.contaminated(*frames(spark, docs, items)).collect()}
+    assert got == {(1, 1): (1, 1, 1, 1), (1, 3): (1, 1, 1, 1), (1, 2): (1, 1, 1, 5), (2, 1): (1, 1, 1, 0), (2, 3): (1, 1, 1, 0), (3, 2): (1, 1, 1, 0), (5, 1): (1, 1, 1, 200_000), (5, 3): (1, 1, 1, 200_000)}
+    assert {k: v[:3] for k, v in got.items()} == brute(docs, items)
+
+
+def test_passes_are_bounded_by_bytes(spark):
+    docs, items = cases(6)
+    got = {(r.doc_id, r.item_id): (r.matched, r.needed, r.total) for r in D.contaminated(*frames(spark, docs, items), bytes_per_pass=500).collect()}
+    assert got == brute(docs, items)
+
+
+def test_ids_that_are_no_integers(spark):
+    docs = spark.createDataFrame([("x1", "one two three four"), ("x2", "nothing here to see"), ("7", "one two three four")], "doc_id string, text string")
+    bench = spark.createDataFrame([("i", "one two three four")], "item_id string, text string")
+    assert sorted(str(r.doc_id) for r in D.contaminated(docs, bench).collect()) == ["7", "None"]
+    assert [r.doc_id for r in D.without_contaminated(docs, bench).collect()] == ["x2"]

@@ -95,3 +95,12 @@ def test_placement(spark):
     assert len(got) == len(rows) and len(set(place.values())) == 128
     assert "Exchange hashpartitioning" not in out._jdf.queryExecution().toString()
     assert sharding.assign_shards(docs.limit(0)).count() == 0
+
+
+def test_columns_that_differ_in_case_are_replaced(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 0)], SCHEMA).withColumn("Shard", F.lit(1)).withColumn("SLOT", F.lit(2)).withColumn("Copy", F.lit(3))
+    placed, mixed = sharding.assign_shards(docs), mixing.mix(docs)
+    assert placed.columns == ["doc_id", "text", "lang", "source", "n_chars", "Copy", "slot", "shard"] and mixed.columns == ["doc_id", "text", "lang", "source", "n_chars", "Shard", "SLOT", "copy"]
+    for name, df in (("placed", placed), ("mixed", mixed)):
+        df.write.parquet(f"{tmp_path}/{name}")
+        assert spark.read.parquet(f"{tmp_path}/{name}").count() == 1
