@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +19,28 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def map_texts(df: DataFrame, f: Callable, schema) -> DataFrame:
-    """``df.mapInArrow(f, schema)`` in batches of at most BATCH_BYTES, unless the session names a size of its own."""
+    """``df.mapInArrow(f, schema)`` in batches of at most BATCH_BYTES, unless the session names a size of its own.
+
+    A task gives back what it freed when it ends.
+    """
     conf = df.sparkSession.conf
     if conf.get(_BATCH, "67108864b") == "67108864b":
         conf.set(_BATCH, f"{BATCH_BYTES}b")
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Give freed memory back to the machine: a Python worker that waits for its next task shares it with others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 def collect_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> list | None:
