@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.decontaminate import Filter
 from keyloom.llm.tokens import Chunk, U, mix
-from keyloom.plans.sizing import map_texts
+from keyloom.plans.sizing import map_texts, release
 
 #: Terms on either side with which a term meets.
 WINDOW = 3
@@ -71,10 +71,10 @@ def packed(keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[pa.Reco
     frequent term is spread over as many parts as any. Neighbours differ by little, and take three bytes.
     """
     stretch = _BITS - min(_BITS, max(0, parts.bit_length() - 6))
-    part = (mix((keys >> U(4 + stretch)).copy()) % U(parts)).astype(np.int64)
+    part = (mix(keys >> U(4 + stretch)) % U(parts)).astype(np.int32)
     by = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[by], np.arange(parts + 1))
-    keys, counts = keys[by], np.minimum(counts[by], np.iinfo(np.uint32).max).astype(np.uint32)
+    keys, counts = keys[by], counts[by].astype(np.uint32)
     for p in np.flatnonzero(np.diff(cuts)):
         own = slice(cuts[p], cuts[p + 1])
         planes = (np.diff(keys[own], prepend=U(0)), counts[own])
@@ -133,10 +133,10 @@ def pairs(docs: DataFrame, terms: Callable, sketches: Callable, nodes: DataFrame
                 held.append(((np.minimum(a, b) << (_BITS + 4)) | (np.maximum(a, b) << 4) | kind[left[good]]).astype(U))
                 size += len(a)
             if size > HELD:
-                yield from packed(*np.unique(np.concatenate(held), return_counts=True), parts)
-                held, size = [], 0
+                yield from packed(*_counted(held), parts)
+                size = 0
         if size:
-            yield from packed(*np.unique(np.concatenate(held), return_counts=True), parts)
+            yield from packed(*_counted(held), parts)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [unpacked(*row) for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
@@ -157,6 +157,7 @@ def pairs(docs: DataFrame, terms: Callable, sketches: Callable, nodes: DataFrame
         columns = (hashes[a].view(np.int64), hashes[b].view(np.int64), k[good], uses[a], uses[b], total[a])
         for lo in range(0, len(a), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in columns], names=[x.split()[0] for x in _PAIRS.split(", ")])
+        release()
 
     out = map_texts(docs, by_number, _PACKED).repartitionById(parts, "part").mapInArrow(summed, _PAIRS)
     if all(within):
@@ -180,6 +181,15 @@ def pairs(docs: DataFrame, terms: Callable, sketches: Callable, nodes: DataFrame
     return out.unionByName(rest.drop("kinds").join(a, "a").join(b, "b"))
 
 
+def _counted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys in a list of arrays, which is emptied, and how often each occurs; sorted in place."""
+    keys = np.concatenate(held)
+    held.clear()
+    keys.sort()
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[start], np.diff(start, append=len(keys)).astype(np.uint32)
+
+
 def _kinds(chunk: Chunk, sketches: Callable) -> np.ndarray:
     return (mix(sketches(chunk, 1)[:, 0]) >> U(60)).astype(np.int64)
 
