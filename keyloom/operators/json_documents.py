@@ -27,6 +27,7 @@ MAX_DEPTH = 32
 ROOT_KEY = "\x01root"
 FLAT = "doc_id string, seq bigint, path string, segments array<struct<name: string, idx: bigint>>, tag tinyint, " + ", ".join(f"{c} {t}" for c, t in TYPES.items())
 _INT_MIN, _INT_MAX, _UINT_MAX = -(1 << 63), (1 << 63) - 1, (1 << 64) - 1
+_LARGEST = sys.float_info.max
 
 
 class SyntaxFault(ValueError):
@@ -145,18 +146,25 @@ def _walk(v: object, path: tuple, depth: int, max_depth: int, out: list) -> None
     out.append((path, v))
 
 
-def quick_leaves(text: str, max_depth: int = MAX_DEPTH) -> list[tuple[tuple, object]]:
-    """The leaves of :func:`leaves`, by Python's own decoder where it accepts the text; what it refuses is parsed there."""
+def decoded(text: str) -> object:
+    """What Python's own decoder makes of a document, or None where :func:`leaves` must parse it."""
     start = _SPACE.match(text).end()
     if text[start : start + 1] in ("{", "[") and not _SURROGATE.search(text):
         try:
-            v, _ = _DECODER.raw_decode(text, start)
+            return _DECODER.raw_decode(text, start)[0]
         except (ValueError, RecursionError):
-            return leaves(text, max_depth)[1]
-        out: list = []
-        _walk(v, (), 0, max_depth, out)
-        return out
-    return leaves(text, max_depth)[1]
+            pass
+    return None
+
+
+def quick_leaves(text: str, max_depth: int = MAX_DEPTH) -> list[tuple[tuple, object]]:
+    """The leaves of :func:`leaves`, by Python's own decoder where it accepts the text; what it refuses is parsed there."""
+    v = decoded(text)
+    if v is None:
+        return leaves(text, max_depth)[1]
+    out: list = []
+    _walk(v, (), 0, max_depth, out)
+    return out
 
 
 def path_text(segments: tuple) -> str:
@@ -176,7 +184,7 @@ def typed(v: object) -> tuple[int, str | None, object]:
     if isinstance(v, bool):
         return 1, "v_bool", v
     if isinstance(v, float) or isinstance(v, _Number) and any(c in v for c in ".eE"):
-        return 5, "v_f64", max(-sys.float_info.max, min(float(v), sys.float_info.max))
+        return 5, "v_f64", max(-_LARGEST, min(float(v), _LARGEST))
     if isinstance(v, (int, _Number)):
         n = int(v) if isinstance(v, int) else _bounded(v)
         if n <= _INT_MAX:
@@ -222,34 +230,73 @@ def flatten(docs: DataFrame, max_depth: int = MAX_DEPTH, keep_empty: bool = True
         for batch in batches:
             owner, seqs, paths, ends, steps, indexes, tags = [], [], [], [0], [], [], []
             payloads: list[tuple[list[int], list]] = [([], []) for _ in COLUMNS]
+            lists = (owner, seqs, paths, ends, steps, indexes, tags, *(x for p in payloads for x in p))
+            bools, integers, floats, strings = (payloads[place[c]] for c in ("v_bool", "v_int", "v_f64", "v_str"))
+
+            def leaf(doc: int, first: int, path: str, mine: tuple, places: tuple, v: object) -> None:
+                """One row; the kinds that documents are made of come first."""
+                kind = type(v)
+                if kind is str:
+                    tag, cells, payload = 6, strings, v
+                elif kind is int and _INT_MIN <= v <= _INT_MAX:
+                    tag, cells, payload = 2, integers, v
+                elif kind is float and -_LARGEST <= v <= _LARGEST:
+                    tag, cells, payload = 5, floats, v
+                elif kind is bool:
+                    tag, cells, payload = 1, bools, v
+                else:
+                    tag, column, payload = typed(v)
+                    cells = payloads[place[column]] if column else None
+                at = len(tags)
+                if cells:
+                    cells[0].append(at)
+                    cells[1].append(payload)
+                steps.extend(mine)
+                indexes.extend(places)
+                ends.append(len(steps))
+                owner.append(doc)
+                seqs.append(at - first)
+                paths.append(path)
+                tags.append(tag)
+
+            def walk(doc: int, first: int, path: str, mine: tuple, places: tuple, depth: int, v: object) -> None:
+                kind = type(v)
+                if kind is dict or kind is list:
+                    if depth >= max_depth:
+                        raise DepthFault(f"nested deeper than {max_depth}")
+                    if v:
+                        if kind is dict:
+                            dot = path + "." if depth else ""
+                            empty = (*places, None)
+                            for step, x in v.items():
+                                walk(doc, first, dot + step, (*mine, step), empty, depth + 1, x)
+                        else:
+                            empty = (*mine, None)
+                            for step, x in enumerate(v):
+                                walk(doc, first, f"{path}[{step}]", empty, (*places, step), depth + 1, x)
+                        return
+                    if depth and not keep_empty:
+                        return
+                leaf(doc, first, path, mine, places, v)
+
             for doc, text in enumerate(batch.column(1).to_pylist()):
                 if text is None:
                     continue
+                sizes = [len(x) for x in lists]
                 try:
-                    found = quick_leaves(text, max_depth)
+                    v = decoded(text)
+                    if v is not None:
+                        walk(doc, len(tags), "", (), (), 0, v)
+                        continue
+                    first = len(tags)
+                    for segments, v in leaves(text, max_depth)[1]:
+                        if keep_empty or not segments or not isinstance(v, (dict, list)):
+                            leaf(doc, first, path_text(segments), tuple(s if isinstance(s, str) else None for s in segments), tuple(None if isinstance(s, str) else s for s in segments), v)
                 except (SyntaxFault, DepthFault) as fault:
                     if bad == "error":
                         raise ValueError(f"document {batch.column(0)[doc]}: {fault}") from None
-                    continue
-                seq = 0
-                for segments, v in found:
-                    if segments and not keep_empty and isinstance(v, (dict, list)):
-                        continue
-                    tag, column, payload = typed(v)
-                    if column:
-                        rows, values = payloads[place[column]]
-                        rows.append(len(tags))
-                        values.append(payload)
-                    for step in segments:
-                        named = isinstance(step, str)
-                        steps.append(step if named else None)
-                        indexes.append(None if named else step)
-                    ends.append(len(steps))
-                    owner.append(doc)
-                    seqs.append(seq)
-                    paths.append(path_text(segments))
-                    tags.append(tag)
-                    seq += 1
+                    for x, size in zip(lists, sizes):
+                        del x[size:]
             parts = pa.StructArray.from_arrays([pa.array(steps, pa.string()), pa.array(indexes, pa.int64())], ["name", "idx"])
             segments = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)
             columns = [_spread(rows, values, _ARROW[t], len(tags)) for (rows, values), t in zip(payloads, TYPES.values())]

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of a written table that may be broadcast.
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_TABLE_ROWS = 1_000_000
 
 _written: list[tuple[SparkSession, str]] = []
+#: The temporary folder of each application that names none; no setting of the session is changed.
+_temporary: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,8 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="keyloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _temporary.setdefault(context.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="keyloom-")
+        _temporary[context.applicationId] = named
     return named.rstrip("/")
 
 
@@ -45,7 +47,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
-def sized(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def sized(table: DataFrame, max_rows: int = MAX_TABLE_ROWS) -> DataFrame:
     """A narrow written table, marked for broadcast where it is small; its row count comes from the footers."""
     return F.broadcast(table) if table.count() <= max_rows else table
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most rows that are ever collected for a broadcast. 200k narrow rows are a few MB.
-MAX_BROADCAST_ROWS = 200_000
+MAX_COLLECTED_ROWS = 200_000
 
 #: Bytes of an Arrow batch of texts, in a session that keeps Spark's default. A task holds several batches at once, in
 #: the JVM and in Python.
@@ -43,7 +43,7 @@ def release() -> None:
         return
 
 
-def collect_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> list | None:
+def collect_bounded(df: DataFrame, max_rows: int = MAX_COLLECTED_ROWS) -> list | None:
     """The rows of ``df`` if there are at most ``max_rows``, else None.
 
     Never brings more than ``max_rows + 1`` rows to the driver.
@@ -52,7 +52,7 @@ def collect_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> list |
     return rows if len(rows) <= max_rows else None
 
 
-def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int = MAX_COLLECTED_ROWS) -> DataFrame:
     """``df`` computed once and marked for broadcast when it is small; else ``df`` as it is.
 
     The join that uses the result is the same either way: beyond ``max_rows`` Spark shuffles both

@@ -2,17 +2,18 @@
 
 Register it with ``spark.dataSource.register(TrieSource)``; then ``spark.read.format("keyloom").load(folder)`` reads a
 file a task, and ``df.write.format("keyloom").mode("append").save(folder)`` writes a file for each dictionary of a task.
-Repartition by ``dict_id`` before writing, so that a dictionary is whole.
+Repartition by ``dict_id`` before writing, so that a dictionary is whole. Folders are local paths or URIs of any file
+system that Arrow knows (file, hdfs, s3, gs); all workers must reach them.
 """
 
 from __future__ import annotations
 
-import glob
 import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from keyloom.schema import COLUMNS, ENTRY
@@ -31,16 +32,29 @@ class Written(WriterCommitMessage):
     names: list[str]
 
 
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:")))
+
+
+def _files(path: str) -> list[str]:
+    """The dictionaries in a folder, or the file itself."""
+    system, name = _system(path)
+    here = system.get_file_info(name)
+    if here.type == fs.FileType.File:
+        return [name]
+    return sorted(x.path for x in system.get_file_info(fs.FileSelector(name, allow_not_found=True)) if x.path.endswith(SUFFIX))
+
+
 class TrieReader(DataSourceReader):
     def __init__(self, path: str, verify: bool):
-        self.path, self.verify = path.removeprefix("file://"), verify
+        self.path, self.verify = path, verify
 
     def partitions(self) -> list[InputPartition]:
-        found = [self.path] if os.path.isfile(self.path) else sorted(glob.glob(os.path.join(self.path, "*" + SUFFIX)))
-        return [Part(p) for p in found]
+        return [Part(p) for p in _files(self.path)]
 
     def read(self, partition: Part) -> Iterator[tuple]:
-        with open(partition.path, "rb") as file:
+        with _system(self.path)[0].open_input_stream(partition.path) as file:
             content = file.read()
         name = os.path.basename(partition.path).removesuffix(SUFFIX)
         for i, (key, tag, v) in enumerate(unpack(content, self.verify)):
@@ -51,7 +65,7 @@ class TrieWriter(DataSourceWriter):
     """Files get their names when the job commits, so a task that is repeated leaves nothing behind that is read."""
 
     def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path.removeprefix("file://"), overwrite
+        self.path, self.overwrite = path, overwrite
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         items: dict[str, dict[bytes, tuple[int, object, int]]] = {}
@@ -61,13 +75,14 @@ class TrieWriter(DataSourceWriter):
                 mine[key] = (row.tag, row[_FIELD[row.tag]] if row.tag in _FIELD else None, row.seq)
                 if row.tag not in _FIELD and row.tag != 0:
                     raise ValueError("arrays and nested dictionaries don't fit the format")
-        os.makedirs(self.path, exist_ok=True)
+        system, folder = _system(self.path)
+        system.create_dir(folder, recursive=True)
         names = []
         for name, mine in items.items():
             if os.path.basename(name) != name or name in ("", ".", ".."):
                 raise ValueError(f"not a file name: {name!r}")
             temporary = f"{name}{SUFFIX}.{uuid.uuid4().hex}"
-            with open(os.path.join(self.path, temporary), "wb") as file:
+            with system.open_output_stream(f"{folder}/{temporary}") as file:
                 file.write(pack({k: v[:2] for k, v in mine.items()}))
             names.append(temporary)
         return Written(names)
@@ -78,17 +93,19 @@ class TrieWriter(DataSourceWriter):
         if len(set(targets)) < len(targets):
             self.abort(messages)
             raise ValueError("a dictionary was split between tasks; repartition by dict_id")
+        system, folder = _system(self.path)
         if self.overwrite:
-            for old in glob.glob(os.path.join(self.path, "*" + SUFFIX)):
-                os.remove(old)
+            for old in _files(self.path):
+                system.delete_file(old)
         for name, target in zip(names, targets):
-            os.replace(os.path.join(self.path, name), os.path.join(self.path, target))
+            system.move(f"{folder}/{name}", f"{folder}/{target}")
 
     def abort(self, messages: list[Written | None]) -> None:
+        system, folder = _system(self.path)
         for message in messages:
             for name in message.names if message else ():
-                if os.path.exists(os.path.join(self.path, name)):
-                    os.remove(os.path.join(self.path, name))
+                if system.get_file_info(f"{folder}/{name}").type == fs.FileType.File:
+                    system.delete_file(f"{folder}/{name}")
 
 
 class TrieSource(DataSource):

@@ -141,3 +141,23 @@ def test_paths_with_quotes(spark):
     paths = ["it's", 'q"q.b[0]', "b'\""]
     row = df.select(*[J.at_path(F.col("json"), p).alias(f"p{i}") for i, p in enumerate(paths)], *[J.has_path(F.col("json"), p).alias(f"h{i}") for i, p in enumerate(paths)]).first()
     assert row[:3] == ("1", "5", "2") and all(row[3:])
+
+
+def test_rows_are_the_leaves_whichever_parser_reads_them(spark):
+    """Documents that Python's decoder takes and ones that it refuses, faults among them, in one batch."""
+    texts = {**DOCUMENTS, "zeros": '{"a":[01,{"b":002.5}],"c":{}}', "deep": "[" * 40 + "]" * 40, "part": '{"ok":1,"a":[1,2,', "big": '{"u":18446744073709551615,"v":-99999999999999999999,"w":[[[]]]}'}
+    for keep in (True, False):
+        got = {}
+        for r in J.flatten(docs(spark, texts).coalesce(1), keep_empty=keep, bad="skip").collect():
+            got.setdefault(r.doc_id, []).append((r.seq, r.path, tuple(x.name if x.idx is None else x.idx for x in r.segments), r.tag, next((r[c] for c in schema.COLUMNS if r[c] is not None), None)))
+        want = {}
+        for name, text in texts.items():
+            try:
+                found = J.leaves(text)[1]
+            except (J.SyntaxFault, J.DepthFault):
+                continue
+            found = [(s, v) for s, v in found if keep or not s or not isinstance(v, (dict, list))]
+            rows = [(i, J.path_text(s), s, J.typed(v)[0], J.typed(v)[2]) for i, (s, v) in enumerate(found)]
+            if rows:
+                want[name] = rows
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and "deep" not in got and "part" not in got

@@ -27,3 +27,7 @@ def test_changes_are_merged_once(spark, tmp_path):
     merge = journal.apply(root)
     merge(spark.createDataFrame([], schema.ENTRY + ", deleted boolean"), before[0])
     assert journal.latest(spark, root) == before
+    for number in range(before[0] + 1, before[0] + 4):
+        merge(spark.createDataFrame([], schema.ENTRY + ", deleted boolean"), number)
+    assert [n for n, _ in journal._versions(spark, root)[1]] == [before[0] + 2, before[0] + 3]
+    assert {r.key: r.v_int for r in read(spark, journal.latest(spark, root)[1]).collect()} == {"a": 5, "c": 7}
