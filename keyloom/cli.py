@@ -1,4 +1,4 @@
-"""Inspect and convert binary dictionaries: python -m keyloom.cli info|list|get|dump|search|validate|encode|decode FILE ..."""
+"""Inspect and convert binary dictionaries: python -m keyloom.cli info|list|get|dump|search|validate|encode|decode FILE ..., or fixtures FOLDER"""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from keyloom.dictionary import Json
 from keyloom.operators import lookup, search
 from keyloom.schema import kind_name, text_of
-from keyloom.sources import trie
+from keyloom.sources import fixtures, trie
 
 OK, USAGE, FAILED, MISSING = 0, 1, 2, 3
 
@@ -24,6 +24,7 @@ def _parser() -> argparse.ArgumentParser:
         command.add_argument("file")
         for argument in more:
             command.add_argument(argument, **({"action": "store_true"} if argument == "--pretty" else {}))
+    commands.add_parser("fixtures").add_argument("file", metavar="folder")
     return parser
 
 
@@ -49,6 +50,9 @@ def main(arguments: list[str], spark: SparkSession | None = None) -> int:
         return OK if not stop.code else USAGE
     spark = spark or SparkSession.builder.getOrCreate()
     try:
+        if options.command == "fixtures":
+            print("\n".join(fixtures.write(options.file)))
+            return OK
         content = _read(options.file)
         if options.command == "encode":
             _write(options.o, Json(spark).encode(content.decode()))

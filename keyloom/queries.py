@@ -15,7 +15,7 @@ from keyloom.operators import json_documents as documents
 from keyloom.plans.lineage import cut
 from keyloom.plans.sizing import small_side
 from keyloom.schema import entries
-from keyloom.sources import trie
+from keyloom.sources import fixtures, trie
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -573,3 +573,24 @@ def fuzzy_join_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _parts(spark, sf_dir)
     queries = _table(spark, sf_dir, "part").select(F.regexp_replace("p_name", "^([^l]*)l", "$1").alias("query"))
     return search.fuzzy_join(keys, queries, 1, cut(search.fuzzy_index(keys, 1), "variants")).select("query", "key", "distance")
+
+
+@query(f"""SELECT * FROM (VALUES {", ".join(f"('{k}', {len(v[0])}, {v[1]})" for k, v in fixtures.GOLDEN.items() if v[0])}) AS t(dict_id, keys, bytes)""")
+def trie_published_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The golden dictionaries in the binary format, against the sizes that are published for them."""
+    built = build.build(fixtures.golden(spark))
+    return analyze.sizes(built, trie.encode(built)).select("dict_id", F.col("keys").cast("int").alias("keys"), F.col("encoded_bytes").cast("int").alias("bytes"))
+
+
+@query(f"""SELECT * FROM (VALUES {", ".join(f"('{k}', {keys}, {size})" for k, (_, keys, size) in fixtures.SMALL_DOCUMENTS.items())}) AS t(dict_id, keys, bytes)""")
+def json_published_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small documents in the binary form, against the sizes that are published for them."""
+    docs = spark.createDataFrame([(k, v[0]) for k, v in fixtures.SMALL_DOCUMENTS.items()], "doc_id string, json string")
+    built = documents.to_entries(documents.flatten(docs), docs)
+    return analyze.sizes(built, trie.encode(built)).select("dict_id", F.col("keys").cast("int").alias("keys"), F.col("encoded_bytes").cast("int").alias("bytes"))
+
+
+@query("""SELECT 'catalog' AS doc_id, 200 AS products""")
+def catalog_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue of 200 products that the JSON benchmark encodes."""
+    return analyze.catalog(spark, 200).select("doc_id", F.size(F.from_json("json", "products array<struct<id: bigint>>")["products"]).alias("products"))

@@ -11,18 +11,10 @@ from keyloom.cli import main
 from keyloom.dictionary import Dictionary, Encoder
 from keyloom.operators import analyze, build
 from keyloom.sources import text as text_source
-from keyloom.sources import trie
+from keyloom.sources import fixtures, trie
 from keyloom.sources.connector import TrieSource
 
-SIZES = [
-    ({}, 40),
-    ({"hello": (0, None)}, 48),
-    ({"key": (3, 42)}, 48),
-    ({"apple": (0, None), "banana": (0, None), "cherry": (0, None)}, 65),
-    ({"abc": (3, 10), "abd": (3, 20), "xyz": (3, 30)}, 66),
-    ({"bool": (1, True), "f64": (5, 3.14159), "int": (2, -100), "str": (6, "hello"), "uint": (3, 200)}, 102),
-    ({f"key_{i:04d}": (3, i) for i in range(100)}, 628),
-]
+SIZES = list(fixtures.GOLDEN.values())
 
 
 @pytest.mark.parametrize("items,size", SIZES)
@@ -126,6 +118,8 @@ def test_the_command_line(spark, tmp_path, capsys):
     assert main(["info", str(tmp_path / "bad.trp")], spark) == 2
     assert main(["info", str(tmp_path / "none.trp")], spark) == 2
     assert main(["nonsense"], spark) == 1
+    assert main(["fixtures", str(tmp_path / "golden")], spark) == 0
+    assert {p.name.removesuffix(".trp"): p.stat().st_size for p in (tmp_path / "golden").iterdir()} == {k: size for k, (_, size) in fixtures.GOLDEN.items()}
 
 
 def test_text_sources(spark, tmp_path):
