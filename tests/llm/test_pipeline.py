@@ -1,10 +1,13 @@
 """The pipeline's stages on planted cases, and the queries against their SQL."""
 
+import hashlib
 import os
 import random
 
 import duckdb
 import pytest
+import test_decontaminate
+import test_toxicity
 
 import __spark_entry__
 import corpus_pipeline
@@ -85,6 +88,65 @@ def test_nulls_and_columns_of_their_own(spark, planted, tmp_path):
     assert out.columns == [*docs.columns, "shard"] and out.count() > 0
 
 
+def test_the_pipeline_is_what_brute_force_gives(spark, tmp_path):
+    """All stages by dictionaries and sets, on texts whose similarities are far from the thresholds."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("bcdfglmnprst", k=6)) for _ in range(3000)]
+    insults = ["idiot", "moron", "scum", "trash", "loser"]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(1, 25) if i else 2))) for i in range(6)]
+    rows, labels = [], []
+    for i in range(500):
+        text = rng.choices(words, k=70)
+        if i % 6 == 0:
+            text[5:5] = rng.sample(insults, 3)
+            text[40:40] = rng.sample(insults, 2)
+        elif i % 25 == 1:
+            text[10:10] = rng.choice(items)[1].split()
+        rows.append((i, " ".join(text), "en", f"s{i % 3}", 0))
+        if i % 3 == 0:
+            labels.append((i, 1, int(i % 6 == 0)))
+        if i % 20 == 7:
+            rows += [(5000 + i, rows[-1][1], "en", "s2", 0), (6000 + i, " ".join(text[2:]), "en", "s1", 0)]
+    rows += [(None, "", None, None, None), (9000, None, "en", "s0", 0), rows[3]]
+    for name, data, schema in (("documents", rows, SCHEMA), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    # toxicity
+    _, _, toxic = test_toxicity.brute_force([r for r in rows if r[1] and r[0] is not None], labels)
+    docs = [r for r in rows if r[0] not in toxic]
+    assert len(toxic) > 70
+    # near-duplicates: components of pairs by the similarity of their shingles
+    shingles = [{tuple(t[k : k + 3]) for k in range(len(t) - 2)} for t in ((r[1] or "").split() for r in docs)]
+    root = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            union = len(shingles[a] | shingles[b])
+            if union and len(shingles[a] & shingles[b]) / union >= 0.5:
+                x, y = root[a], root[b]
+                root = [y if r == x else r for r in root]
+    groups = {}
+    for i, r in enumerate(root):
+        groups.setdefault(r, []).append(docs[i])
+    docs = [min(g, key=lambda r: (r[0] is not None, r[0] or 0)) for g in groups.values()]
+    # decontamination
+    leaks = {d for d, _ in test_decontaminate.brute([(k, r[1]) for k, r in enumerate(docs)], items)}
+    docs = [r for k, r in enumerate(docs) if k not in leaks]
+    assert leaks
+    # mixing
+    tokens = {}
+    for r in docs:
+        tokens[r[3]] = tokens.get(r[3], 0) + len((r[1] or "").split())
+    weight = {s: n**mixing.ALPHA if n else 0 for s, n in tokens.items()}
+    rate = {s: round(sum(tokens.values()) * weight[s] / sum(weight.values()) / n, 6) if n else 1.0 for s, n in tokens.items()}
+    table, want = sharding.lookup_table(sharding.SHARDS), []
+    for r in docs:
+        name = "" if r[0] is None else str(r[0])
+        draw = int(hashlib.md5(f"{mixing.SEED}:{name}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        slot = int(hashlib.md5(name.encode()).hexdigest()[:15], 16) % sharding.TABLE_SIZE
+        want += [(*r, sharding.SHARDS[table[slot]])] * (int(rate[r[3]]) + (draw < rate[r[3]] % 1))
+    got = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 300
+
+
 def test_names_and_sql():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
