@@ -32,8 +32,9 @@ MIN_ROOT = 4.0
 #: Tokens and number of the shingle minima that tell contents apart.
 SKETCH_TOKENS, SKETCHES = 4, 4
 #: Terms with at least this polarity are in the lexicon, unless fewer than MIN_SHARE of their labelled documents are
-#: toxic, where the walk counts as PRIOR documents. That share times the polarity is a term's weight.
-MIN_POLARITY, MIN_SHARE, PRIOR = 0.5, 0.3, 2.0
+#: toxic, where the walk counts as PRIOR documents: too few to outvote a single clean one. That share times the polarity is a
+#: term's weight.
+MIN_POLARITY, MIN_SHARE, PRIOR = 0.5, 0.3, 0.4
 #: A document is toxic if the weights of its terms sum to as much, and are as large a share of its tokens.
 MIN_SCORE, MIN_RATE = 1.0, 0.006
 #: Chunks whose counts a task sums up at a time, and the most distinct terms that it holds before it sends them.

@@ -21,7 +21,7 @@ from keyloom.plans.sizing import map_texts, release
 WINDOW = 3
 #: Least meetings of the two terms of an edge, and the least signed root of the likelihood ratio of their independence: a
 #: pair that met by chance is no edge.
-EDGE_COUNT, EDGE_ROOT = 3, 6.0
+EDGE_COUNT, EDGE_ROOT = 8, 6.0
 #: Least classes of contents, out of 16, among the documents of an edge, or half of its meetings: copies of one document
 #: make no edge.
 EDGE_KINDS = 6
