@@ -124,14 +124,14 @@ def varint(x: Column) -> Column:
     A byte is a group, with the highest bit set if more follow; all arithmetic is on 64-bit integers.
     """
 
-    def byte(k: int) -> Column:
+    def byte(x: Column, k: int) -> Column:
         code = _rest(x, k).bitwiseAND(F.lit(127))
         if k < MAX_GROUPS - 1:
             code = code + F.when(_rest(x, k + 1) != 0, 128).otherwise(0)
         digits = F.substring(F.hex(code + 256), 2, 2)
         return digits if k == 0 else F.when(_rest(x, k) != 0, digits).otherwise("")
 
-    return F.unhex(F.concat(*[byte(k) for k in range(MAX_GROUPS)]))
+    return let(x.cast("bigint"), lambda x: F.unhex(F.concat(*[byte(x, k) for k in range(MAX_GROUPS)])))
 
 
 def _varint_hex(data: Column, offset: Column | None) -> Column:
@@ -150,21 +150,26 @@ def _varint_value(data: Column, offset: Column | None) -> Column:
 
     Its bytes, filled with zeros, are two integers of eight and two bytes, from which every group is shifted to its place.
     """
-    code = F.rpad(_varint_hex(data, offset), 2 * MAX_GROUPS, "0")
-    high = F.conv(F.substring(code, 1, 16), 16, -10).cast("bigint")
-    low = F.conv(F.substring(code, 17, 4), 16, 10).cast("bigint")
-    groups = [F.shiftrightunsigned(high, 56 - 8 * k).bitwiseAND(F.lit(127)) for k in range(8)] + [F.shiftrightunsigned(low, 8).bitwiseAND(F.lit(127)), low.bitwiseAND(F.lit(127))]
-    value = groups[0]
-    for k in range(1, MAX_GROUPS):
-        value = value.bitwiseOR(F.shiftleft(groups[k].cast("bigint"), 7 * k))
-    return value + F.when(groups[-1] <= 1, F.lit(0).cast("bigint"))
+
+    def number(code: Column) -> Column:
+        high = F.conv(F.substring(code, 1, 16), 16, -10).cast("bigint")
+        low = F.conv(F.substring(code, 17, 4), 16, 10).cast("bigint")
+        return let(F.struct(high.alias("high"), low.alias("low")), lambda x: joined(x["high"], x["low"]))
+
+    def joined(high: Column, low: Column) -> Column:
+        groups = [F.shiftrightunsigned(high, 56 - 8 * k).bitwiseAND(F.lit(127)) for k in range(8)] + [F.shiftrightunsigned(low, 8).bitwiseAND(F.lit(127)), low.bitwiseAND(F.lit(127))]
+        value = groups[0]
+        for k in range(1, MAX_GROUPS):
+            value = value.bitwiseOR(F.shiftleft(groups[k].cast("bigint"), 7 * k))
+        return F.when(groups[-1] <= 1, value)
+
+    return let(F.rpad(_varint_hex(data, offset), 2 * MAX_GROUPS, "0"), number)
 
 
 def read_varint(data: Column, offset: Column | None = None) -> Column:
     """The unsigned variable-length integer at a byte offset, as a decimal; null if it is cut off or over 64 bits."""
-    value = _varint_value(data, offset)
-    whole = value.cast("decimal(20,0)")
-    return F.when(value < 0, (whole + F.lit(_WHOLE).cast("decimal(20,0)")).cast("decimal(20,0)")).otherwise(whole)
+    whole = F.lit(_WHOLE).cast("decimal(20,0)")
+    return let(_varint_value(data, offset), lambda v: F.when(v < 0, (v.cast("decimal(20,0)") + whole).cast("decimal(20,0)")).otherwise(v.cast("decimal(20,0)")))
 
 
 def zigzag(x: Column) -> Column:
@@ -184,7 +189,7 @@ def signed_varint(x: Column) -> Column:
 
 def read_signed_varint(data: Column, offset: Column | None = None) -> Column:
     """The signed variable-length integer at a byte offset; null if it is cut off or over 64 bits."""
-    return unzigzag(_varint_value(data, offset))
+    return let(_varint_value(data, offset), unzigzag)
 
 
 def code_points(text: Column) -> Column:
