@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,34 @@ def test_a_leaf_of_half_the_corpus_is_split_by_the_first_half_of_its_tokens(spar
     assert any("left for a walk" in t for _, t in whole) and not any("left for a walk" in t for _, t in split)
     sizes = docs.select(F.explode(F.split("text", "\n")).alias("l")).distinct().groupBy(L.leaf_of(F.col("l"))).count()
     assert sizes.where("count > 100").count() > 0
+
+
+def test_a_leaf_of_over_100_000_lines_is_one_tree_leaf_like_any_other(spark):
+    name = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    docs = spark.range(100_100).select(F.col("id").alias("doc_id"), F.concat(F.lit("the user "), name, F.lit(" left for a walk in rain")).alias("text"))
+    (row,) = L.line_templates(docs).groupBy("template").count().collect()
+    assert (row.template, row["count"]) == ("the user <*> left for a walk in rain", 100_100)
+    assert L.recurring_lines(docs).groupBy("n_docs").count().collect() == [(100_100, 100_100)]
+
+
+@pytest.mark.parametrize("leading", [0, 2])
+def test_clustering_as_arrays_is_that_of_all_comparisons(leading):
+    rng = random.Random(11)
+    for size in (1, 2, 3, 4, 5, 7, 8, 11, 14):
+        for words in ("abc", ["a", "b", "c", "d", L.WILD], [f"w{k}" for k in range(40)] + [L.WILD]):
+            lines = list(dict.fromkeys(" ".join(["in", "the"][:leading] + rng.choices(words, k=max(0, size - leading))) for _ in range(300)))
+            if size < leading:
+                continue
+            rng.shuffle(lines)
+            which, plain = plain_cluster(lines)
+            begun, tokens, vocabulary, wild = L.cluster_many(pa.array(lines, pa.large_string()), leading=leading)
+            assert [int(begun[which.index(k)]) for k in which] == begun.tolist() and len(set(begun.tolist())) == len(plain)
+            assert [[vocabulary[t].as_py() for t in tokens[i]] for i in sorted(set(begun.tolist()))] == plain and vocabulary[wild].as_py() == L.WILD
+            listed, templates = L.cluster(lines, leading=leading)
+            assert listed == which and templates == plain
+
+
+def test_large_leaves_give_the_rows_of_small_ones(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows(5)], SCHEMA).repartition(3)
+    want = sorted(map(tuple, L.line_templates(docs, 2).collect()))
+    assert sorted(map(tuple, L.line_templates(docs, 2, listed=2).collect())) == want and len(want) > 20
