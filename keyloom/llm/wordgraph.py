@@ -30,9 +30,14 @@ DAMPING, STEPS = 0.5, 6
 #: The most frequent nodes, which tasks know by number. Pairs with another node go by hash; they get the same edges.
 RANKED = 1 << 20
 #: Meetings that a task holds before it sums them up and sends them, and pairs that a task of the next stage sums up.
-HELD, PAIRS_PER_TASK = 1 << 22, 1 << 23
+HELD, PAIRS_PER_TASK = 1 << 21, 1 << 23
+#: Keys that are worked on at a time, lest a task hold copies of all.
+BLOCK = 1 << 16
 
+#: Bits of a node's number; a key has two of them and 4 bits of a class, and room for a part of MOST_PARTS above.
 _BITS = 20
+_KEY_BITS = 2 * _BITS + 4
+MOST_PARTS = 1 << (64 - _KEY_BITS)
 _PACKED = "part int, size int, keys binary, counts binary"
 _PAIRS = "a long, b long, k long, uses_a long, uses_b long, total long"
 
@@ -64,20 +69,54 @@ def meetings(hashes: np.ndarray, doc: np.ndarray, window: int) -> Iterator[tuple
         yield left, left + k
 
 
-def packed(keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """Sorted keys and their counts, split by pair, as differences in planes of bytes, compressed.
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key: that of its pair's first term and a stretch of second ones.
 
-    A part has the pairs of a term with a stretch of others; the more parts, the shorter the stretches, so that the most
-    frequent term is spread over as many parts as any. Neighbours differ by little, and take three bytes.
+    The more parts, the shorter the stretches, so that the most frequent term is spread over as many parts as any.
     """
     stretch = _BITS - min(_BITS, max(0, parts.bit_length() - 6))
-    part = (mix(keys >> U(4 + stretch)) % U(parts)).astype(np.int32)
-    by = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[by], np.arange(parts + 1))
-    keys, counts = keys[by], counts[by].astype(np.uint32)
+    out = np.empty(len(keys), np.int32)
+    for lo in range(0, len(keys), BLOCK):
+        out[lo : lo + BLOCK] = mix(keys[lo : lo + BLOCK] >> U(4 + stretch)) % U(parts)
+    return out
+
+
+def counted(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted by part and then by themselves, and how often each occurs.
+
+    All is done in place, so that a task holds its meetings once: ``keys`` is overwritten, and the result is a view of it.
+    """
+    for lo in range(0, len(keys), BLOCK):
+        block = keys[lo : lo + BLOCK]
+        block |= part_of(block, parts).astype(U) << U(_KEY_BITS)
+    keys.sort()
+    counts = np.empty(len(keys), np.uint32)
+    n, last = 0, ~keys[:1]
+    for lo in range(0, len(keys), BLOCK):
+        block = keys[lo : lo + BLOCK]
+        start = np.flatnonzero(np.diff(block, prepend=last))
+        if n:
+            counts[n - 1] += start[0] if len(start) else len(block)
+        last = block[-1:].copy()
+        counts[n : n + len(start)] = np.diff(start, append=len(block))
+        keys[n : n + len(start)] = block[start] & U((1 << _KEY_BITS) - 1)
+        n += len(start)
+    return keys[:n], counts[:n]
+
+
+def packed(keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Sorted keys and their counts, split by part (see :func:`part_of`), as differences in planes of bytes, compressed.
+
+    Neighbours differ by little, and take three bytes. Keys that are sorted by part, as :func:`counted` has them, stay in place.
+    """
+    part = part_of(keys, parts)
+    if (part[1:] < part[:-1]).any():
+        by = np.argsort(part, kind="stable")
+        part, keys, counts = part[by], keys[by], counts[by]
+    cuts = np.searchsorted(part, np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(cuts)):
         own = slice(cuts[p], cuts[p + 1])
-        planes = (np.diff(keys[own], prepend=U(0)), counts[own])
+        planes = (np.diff(keys[own], prepend=U(0)), counts[own].astype(np.uint32))
         blobs = (pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), "zstd", asbytes=True) for x in planes)
         yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([cuts[p + 1] - cuts[p]], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=["part", "size", "keys", "counts"])
 
@@ -88,7 +127,7 @@ def unpacked(size: int, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndar
         raw = np.frombuffer(pa.decompress(blob, size * width, "zstd", asbytes=True), np.uint8)
         return np.ascontiguousarray(raw.reshape(width, size).T).view(kind).ravel()
 
-    return np.cumsum(planes(keys, U), dtype=U), planes(counts, np.uint32).astype(np.int64)
+    return np.cumsum(planes(keys, U), dtype=U), planes(counts, np.uint32)
 
 
 def pairs(docs: DataFrame, terms: Callable, sketches: Callable, nodes: DataFrame, stop: np.ndarray, meetings_expected: int, window: int = WINDOW, ranked: int = RANKED) -> DataFrame:
@@ -106,8 +145,10 @@ def pairs(docs: DataFrame, terms: Callable, sketches: Callable, nodes: DataFrame
     known = nodes.where(bucket >= least).select("term", "uses", "total").toArrow()
     terms_known = known.column("term").to_numpy().view(U)
     by = np.argsort(terms_known)
-    shared = spark.sparkContext.broadcast((terms_known[by], known.column("uses").to_numpy()[by], known.column("total").to_numpy()[by], np.sort(stop)))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-meetings_expected // PAIRS_PER_TASK))
+    shared = spark.sparkContext.broadcast((terms_known[by], np.sort(stop)))
+    # apart, as only the tasks that sum up pairs read them
+    sizes_known = spark.sparkContext.broadcast((known.column("uses").to_numpy()[by], known.column("total").to_numpy()[by]))
+    parts = min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-meetings_expected // PAIRS_PER_TASK)))
 
     def tokens_of(batches: Iterator[pa.RecordBatch], *filters: Filter) -> Iterator[tuple[np.ndarray, ...]]:
         """(hashes, documents, classes of contents) of the tokens that are no stop terms."""
@@ -120,8 +161,8 @@ def pairs(docs: DataFrame, terms: Callable, sketches: Callable, nodes: DataFrame
                 yield chunk.hashes[good], doc, _kinds(whole, sketches)[doc]
 
     def by_number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, stops = Filter(shared.value[0]), Filter(shared.value[3])
-        held, size = [], 0
+        numbers, stops = Filter(shared.value[0]), Filter(shared.value[1])
+        held, size = np.empty(HELD, U), 0
         for hashes, doc, kind in tokens_of(batches, stops):
             at, which = numbers.find(hashes)
             number = np.full(len(hashes), -1)
@@ -130,13 +171,18 @@ def pairs(docs: DataFrame, terms: Callable, sketches: Callable, nodes: DataFrame
                 a, b = number[left], number[right]
                 good = (a >= 0) & (b >= 0)
                 a, b = a[good], b[good]
-                held.append(((np.minimum(a, b) << (_BITS + 4)) | (np.maximum(a, b) << 4) | kind[left[good]]).astype(U))
-                size += len(a)
-            if size > HELD:
-                yield from packed(*_counted(held), parts)
-                size = 0
-        if size:
-            yield from packed(*_counted(held), parts)
+                keys = ((np.minimum(a, b) << (_BITS + 4)) | (np.maximum(a, b) << 4) | kind[left[good]]).view(U)
+                if size + len(keys) > HELD:
+                    release()
+                    yield from packed(*counted(held[:size], parts), parts)
+                    size = 0
+                if len(keys) > HELD:
+                    yield from packed(*counted(keys, parts), parts)
+                    continue
+                held[size : size + len(keys)] = keys
+                size += len(keys)
+        release()
+        yield from packed(*counted(held[:size], parts), parts)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [unpacked(*row) for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
@@ -146,12 +192,13 @@ def pairs(docs: DataFrame, terms: Callable, sketches: Callable, nodes: DataFrame
         blobs.clear()
         by = np.argsort(keys)
         keys, counts = keys[by], counts[by]
+        del by
         pair = keys >> U(4)
         start = np.flatnonzero(np.diff(pair, prepend=~pair[:1]))
-        k = np.add.reduceat(counts, start)
+        k = np.add.reduceat(counts, start, dtype=np.int64)
         kinds = np.bitwise_count(np.bitwise_or.reduceat(np.uint16(1) << (keys & U(15)).astype(np.uint16), start))
         good = (k >= EDGE_COUNT) & (kinds >= np.minimum(EDGE_KINDS, (k + 1) // 2))
-        hashes, uses, total, _ = shared.value
+        (hashes, _), (uses, total) = shared.value, sizes_known.value
         pair = pair[start[good]]
         a, b = ((pair >> U(_BITS)).astype(np.int64), (pair & U((1 << _BITS) - 1)).astype(np.int64))
         columns = (hashes[a].view(np.int64), hashes[b].view(np.int64), k[good], uses[a], uses[b], total[a])
@@ -164,7 +211,7 @@ def pairs(docs: DataFrame, terms: Callable, sketches: Callable, nodes: DataFrame
         return out
 
     def by_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, stops = Filter(shared.value[0]), Filter(shared.value[3])
+        numbers, stops = Filter(shared.value[0]), Filter(shared.value[1])
         for hashes, doc, kind in tokens_of(batches, stops):
             other = np.ones(len(hashes), bool)
             other[numbers.find(hashes)[0]] = False
@@ -181,15 +228,6 @@ def pairs(docs: DataFrame, terms: Callable, sketches: Callable, nodes: DataFrame
     return out.unionByName(rest.drop("kinds").join(a, "a").join(b, "b"))
 
 
-def _counted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct keys in a list of arrays, which is emptied, and how often each occurs; sorted in place."""
-    keys = np.concatenate(held)
-    held.clear()
-    keys.sort()
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[start], np.diff(start, append=len(keys)).astype(np.uint32)
-
-
 def _kinds(chunk: Chunk, sketches: Callable) -> np.ndarray:
     return (mix(sketches(chunk, 1)[:, 0]) >> U(60)).astype(np.int64)
 

@@ -14,7 +14,7 @@ MAX_COLLECTED_ROWS = 200_000
 
 #: Bytes of an Arrow batch of texts, in a session that keeps Spark's default. A task holds several batches at once, in
 #: the JVM and in Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

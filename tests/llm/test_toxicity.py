@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -227,6 +228,27 @@ def test_pairs_survive_packing():
     assert back == dict(zip(keys.tolist(), counts.tolist()))
 
 
+def test_meetings_are_counted_where_they_lie():
+    keys = np.random.default_rng(1).integers(0, 1 << 44, 1 << 19).astype(U)
+    keys[1 << 18 :] = keys[: 1 << 18]
+    keys[:200_000] = keys[0]
+    want = dict(zip(*(x.tolist() for x in np.unique(keys, return_counts=True))))
+    size, back, parts = keys.nbytes, {}, []
+    tracemalloc.start()
+    for batch in W.packed(*W.counted(keys, 7), 7):
+        most = tracemalloc.get_traced_memory()[1]
+        part, n, k, c = (batch.column(i)[0].as_py() for i in range(4))
+        parts.append(part)
+        if not back:
+            # 12 bytes of eight are counts and parts, the rest is one part of seven
+            assert most < 2 * size
+        back |= dict(zip(*(x.tolist() for x in W.unpacked(n, k, c))))
+    tracemalloc.stop()
+    assert back == want and parts == sorted(set(parts))
+    for n in (0, 1, 2):
+        assert [x.tolist() for x in W.counted(np.full(n, 5, U), 7)] == [[5], [n]] if n else not len(W.counted(np.empty(0, U), 7)[0])
+
+
 @pytest.mark.parametrize("rows,labels", [([], []), ([(1, "idiot", "en", "s", 0)], []), ([], [(1, 1, 1)])])
 def test_empty_tables(spark, rows, labels):
     docs, marks = frames(spark, rows, labels)
