@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.plans.sizing import small_side
+from keyloom.plans.sizing import collect_bounded
 from keyloom.schema import COLUMNS, TYPES, VALUE
 
 MAX_DEPTH = 32
@@ -386,12 +386,36 @@ def unflatten(flat: DataFrame, indent: str | int | None = None, blobs: bool = Fa
     return rows.mapInArrow(run, "doc_id string, json string")
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc_id, cell), those with a cell, and of a run of others of one document the first."""
+    for batch in batches:
+        ids, keep = batch.column(0), batch.column(1).is_valid().to_numpy(zero_copy_only=False).copy()
+        if len(ids):
+            again = pc.fill_null(pc.equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False)
+            keep |= np.append(True, ~again)
+        yield batch.filter(pa.array(keep))
+
+
 def lookup_paths(flat: DataFrame, paths: DataFrame) -> DataFrame:
-    """(doc_id, path, found, value): every path of every document; containers aren't leaves and so aren't found."""
-    ids = flat.select("doc_id").distinct()
-    wanted = ids.crossJoin(small_side(paths.select("path").distinct()))
-    cells = flat.select("doc_id", "path", F.lit(True).alias("__found"), *VALUE)
-    return wanted.join(cells, ["doc_id", "path"], "left").select("doc_id", "path", F.coalesce("__found", F.lit(False)).alias("found"), *VALUE)
+    """(doc_id, path, found, value): every path of every document; containers aren't leaves and so aren't found.
+
+    Leaves are read once. Those of other paths than ``paths`` only say that there is a document, and no leaves are broadcast.
+    """
+    paths = paths.select("path").distinct()
+    rows = collect_bounded(paths)
+    if rows is None:
+        cells = flat.select("doc_id", "path", F.lit(True).alias("__found"), *VALUE).hint("merge")
+        wanted = flat.select("doc_id").distinct().crossJoin(paths)
+        return wanted.join(cells, ["doc_id", "path"], "left").select("doc_id", "path", F.coalesce("__found", F.lit(False)).alias("found"), *VALUE)
+    small = F.broadcast(flat.sparkSession.createDataFrame(rows, "path string"))
+    known = flat.join(small.withColumn("__found", F.lit(True)), "path", "left")
+    cell = F.struct("path", F.lit(True).alias("found"), *VALUE)
+    seen = known.select("doc_id", F.when(F.col("__found"), cell).alias("cell"))
+    docs = seen.mapInArrow(_cells, seen.schema).groupBy("doc_id").agg(F.collect_list("cell").alias("cells"))
+    every = F.broadcast(small.agg(F.array_agg(F.struct("path")).alias("every")))
+    none = lambda x: F.struct(x["path"].alias("path"), F.lit(False).alias("found"), *[F.lit(None).cast(t).alias(c) for c, t in {"tag": "tinyint", **TYPES}.items()])
+    missing = F.array_except("every", F.transform("cells", lambda x: F.struct(x["path"].alias("path"))))
+    return docs.crossJoin(every).select("doc_id", F.inline(F.concat("cells", F.transform(missing, none))))
 
 
 def _variant_path(path: str) -> str:

@@ -282,11 +282,14 @@ def gram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orders_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document for each order that has lines: nested objects and an array of its lines."""
+    """A document for each order that has lines: nested objects and an array of its lines.
+
+    Orders compress so well that they look small enough for a broadcast long after they aren't, so the join is merged.
+    """
     line = F.struct("l_linenumber", F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"), (F.col("l_returnflag") == "R").alias("returned"))
     lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     doc = F.struct(F.col("o_orderkey").alias("order"), F.col("o_orderstatus").alias("status"), F.struct(F.col("o_custkey").alias("id"), F.lit(None).cast("string").alias("none")).alias("customer"), F.transform("lines", lambda x: x.dropFields("l_linenumber")).alias("lines"))
-    return _table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").cast("string").alias("doc_id"), F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
+    return _table(spark, sf_dir, "orders").hint("merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").cast("string").alias("doc_id"), F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
 
 
 _LINES_SQL = """l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag = 'R') - 1 AS i, l_partkey, l_quantity, l_returnflag FROM lineitem),

@@ -1,17 +1,19 @@
 """Documents to leaves and back."""
 
 import json
+import os
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from keyloom import schema
+from keyloom import queries, schema
 from keyloom.dictionary import Json
 from keyloom.operators import analyze
 from keyloom.operators import json_documents as J
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 DOCUMENTS = {
     "roundtrip": '{"name":"keyloom","version":1,"features":["fast","compact","typed"],"config":{"max_depth":32,"crc":true}}',
     "siblings": '{"a":1,"ab":2,"b":3}',
@@ -85,6 +87,35 @@ def test_lookup_of_paths_tells_null_from_missing(spark):
     assert got == {("d", "n[2]"): (True, 0), ("d", "n"): (False, None), ("d", "o"): (True, 9), ("e", "n[2]"): (False, None), ("e", "n"): (False, None), ("e", "o"): (True, 2)}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lookup_of_paths_reads_the_leaves_once_and_broadcasts_none(spark, monkeypatch):
+    d = docs(spark, {**DOCUMENTS, "other": '{"o":1}', "twice": '{"a.b":1,"a":{"b":2},"x":3}'})
+    paths = spark.createDataFrame([(p,) for p in ("n[2]", "n", "o", "a.b", "", None, "o")], "path string")
+    found = J.lookup_paths(J.flatten(d), paths)
+    plan = plan_of(found)
+    assert plan.count("MapInArrow run") == 1 and "SortMergeJoin" not in plan
+    assert all("MapInArrow" not in broadcast.split("FileScan")[0].split("Scan ExistingRDD")[0] for broadcast in plan.split("BroadcastExchange")[1:])
+    got = sorted(map(str, found.collect()))
+    want = []
+    for name, text in [(r.doc_id, r.json) for r in d.collect()]:
+        leaves = [(J.path_text(s), J.typed(v)) for s, v in J.leaves(text)[1]]
+        for p in ("n[2]", "n", "o", "a.b", "", None):
+            hits = [t for q, t in leaves if q == p]
+            want += [(name, p, True, t[0], None if t[2] is None else str(t[2])) for t in hits] or [(name, p, False, None, None)]
+    plain = [(r.doc_id, r.path, r.found, r.tag, next((str(r[c]) for c in schema.COLUMNS if r[c] is not None), None)) for r in found.collect()]
+    assert sorted(map(str, plain)) == sorted(map(str, want))
+    monkeypatch.setattr(J, "collect_bounded", lambda df: None)
+    assert sorted(map(str, J.lookup_paths(J.flatten(d), paths).collect())) == got
+
+
+def test_orders_are_not_broadcast_for_their_documents(spark):
+    plan = plan_of(queries.QUERIES["json_lookup_paths"](spark, DATA))
+    assert "SortMergeJoin [o_orderkey" in plan and plan.count("FileScan") == 2
+
+
 def test_paths_types_and_counts_in_the_jvm(spark):
     c = F.col("json")
     rows = docs(spark, DOCUMENTS | {"scalar": "1", "broken": "{"}).select("doc_id", J.root_type(c).alias("root"), J.count_top_level(c).alias("n"), J.at_path(c, "config.max_depth", "int").alias("depth"), J.has_path(c, "a").alias("has"), J.at_path(c, "matrix[1]").alias("sub")).collect()
