@@ -16,7 +16,7 @@ from decimal import Decimal
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.plans.sizing import collect_bounded
@@ -468,14 +468,19 @@ def to_entries(flat: DataFrame, docs: DataFrame | None = None) -> DataFrame:
 def from_entries(entries: DataFrame) -> DataFrame:
     """Leaves of entries, whose keys are split at dots and brackets; keys that begin with \\x01 are no paths.
 
-    A document of which only the root's type is there is an empty object or array.
+    A document of which only the root's type is there is an empty object or array. Entries are read once, by one shuffle
+    on ``dict_id``.
     """
     step = F.regexp_extract_all(F.col("key"), F.lit(r"\[(\d+)\]|(?:^|\.)([^.\[]*)"), F.lit(0))
     name = lambda s: F.when(s.startswith("["), F.lit(None).cast("string")).otherwise(F.regexp_replace(s, r"^\.", ""))
     idx = lambda s: F.when(s.startswith("["), F.regexp_extract(s, r"\d+", 0).cast("bigint"))
     segments = F.filter(F.transform(step, lambda s: F.struct(name(s).alias("name"), idx(s).alias("idx"))), lambda s: s["idx"].isNotNull() | (s["name"] != ""))
-    paths = entries.where("not startswith(key, '\x01')").select(F.col("dict_id").alias("doc_id"), "seq", F.col("key").alias("path"), segments.alias("segments"), *VALUE)
-    roots = entries.where(F.col("key") == ROOT_KEY).join(paths.select(F.col("doc_id").alias("dict_id")).distinct(), "dict_id", "left_anti")
-    mark = F.when(F.coalesce("v_uint", "v_int") == 2, "[]").otherwise("{}")
-    empty = roots.select(F.col("dict_id").alias("doc_id"), F.lit(0).cast("bigint").alias("seq"), F.lit("").alias("path"), F.array().cast("array<struct<name: string, idx: bigint>>").alias("segments"), F.when(mark == "[]", 8).otherwise(9).cast("tinyint").alias("tag"), *[(mark if c == "v_str" else F.lit(None).cast(t)).alias(c) for c, t in TYPES.items()])
-    return paths.unionByName(empty)
+    is_path = F.coalesce(~F.startswith("key", F.lit("\x01")), F.lit(False))
+    marked = entries.where(is_path | (F.col("key") == ROOT_KEY)).withColumn("__path", is_path)
+    known = marked.withColumn("__paths", F.max("__path").over(Window.partitionBy("dict_id"))).where("__path or not __paths")
+    of = lambda path, root: F.when(F.col("__path"), path).otherwise(root)
+    is_array = F.coalesce("v_uint", "v_int") == 2
+    mark, mark_tag = F.when(is_array, "[]").otherwise("{}"), F.when(is_array, 8).otherwise(9).cast("tinyint")
+    none = F.array().cast("array<struct<name: string, idx: bigint>>")
+    cells = [of(F.col(c), mark if c == "v_str" else F.lit(None).cast(t)).alias(c) for c, t in TYPES.items()]
+    return known.select(F.col("dict_id").alias("doc_id"), of(F.col("seq"), F.lit(0).cast("bigint")).alias("seq"), of(F.col("key"), F.lit("")).alias("path"), of(segments, none).alias("segments"), of(F.col("tag"), mark_tag).alias("tag"), *cells)

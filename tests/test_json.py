@@ -192,3 +192,15 @@ def test_rows_are_the_leaves_whichever_parser_reads_them(spark):
             if rows:
                 want[name] = rows
         assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and "deep" not in got and "part" not in got
+
+
+def test_leaves_of_entries_are_read_once(spark):
+    d = docs(spark, DOCUMENTS)
+    entries = J.to_entries(J.flatten(d.where("doc_id not in ('dotted', 'empties', 'root array')")), d)
+    back = {r.doc_id: json.loads(r.json) for r in J.unflatten(J.from_entries(entries)).collect()}
+    assert {k: back[k] for k in DOCUMENTS if k not in ("dotted", "empties", "root array")} == {k: json.loads(v) for k, v in DOCUMENTS.items() if k not in ("dotted", "empties", "root array")}
+    assert back["dotted"] == back["empties"] == {} and back["root array"] == []
+    found = J.from_entries(entries)
+    assert {(r.doc_id, r.path, r.seq, r.tag, r.v_str) for r in found.where("size(segments) = 0").collect()} == {("empty", "", 0, 9, "{}"), ("empty array", "", 0, 8, "[]"), ("dotted", "", 0, 9, "{}"), ("empties", "", 0, 9, "{}"), ("root array", "", 0, 8, "[]")}
+    plan = plan_of(queries.QUERIES["json_binary_roundtrip"](spark, DATA))
+    assert plan.count("MapInArrow run") == 4 and "Join" not in plan

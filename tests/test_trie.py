@@ -3,6 +3,7 @@
 import random
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,25 @@ def test_text_sources(spark, tmp_path):
     assert text_source.json_lines(spark, str(tmp_path / "l.json")).count() == 2
     (row,) = text_source.json_files(spark, str(tmp_path / "l.json")).collect()
     assert row.json.count("\n") == 3 and row.doc_id.endswith("l.json")
+
+
+class _Run:
+    """A table that hands out the function that would be mapped over it."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_decoded_batches_hold_many_dictionaries(spark, monkeypatch):
+    contents = [trie.pack({b"a": (2, i), b"b": (6, "x" * i), b"c": (0, None)}) for i in range(300)] + [trie.pack({}), None]
+    files = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(302)]), pa.array(contents, pa.binary())], names=["dict_id", "content"])
+    whole = list(trie.decode(_Run())([files]))
+    assert len(whole) == 1 and whole[0].num_rows == 900
+    monkeypatch.setattr(trie, "BATCH_ROWS", 100)
+    parts = list(trie.decode(_Run())([files]))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches(whole)) and {p.num_rows for p in parts} == {102, 84}
+    rows = whole[0].to_pylist()
+    assert [r["v_int"] for r in rows[::3]] == list(range(300)) and rows[7] | {"tag": 6, "v_str": "xx", "seq": 1} == rows[7]
