@@ -6,12 +6,16 @@ an index each), and a tagged value. Empty containers are leaves of kind array or
 
 from __future__ import annotations
 
+import base64
 import json
 import math
 import re
 import sys
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from decimal import Decimal
+from functools import reduce
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.plans.sizing import collect_bounded
-from keyloom.schema import COLUMNS, TYPES, VALUE
+from keyloom.schema import COLUMNS, KINDS, PAYLOAD, TYPES, VALUE
 
 MAX_DEPTH = 32
 #: The key under which a dictionary keeps the type of a document's root (1 object, 2 array).
@@ -204,13 +208,125 @@ def _bounded(digits: str) -> int:
 _ARROW = {"boolean": pa.bool_(), "bigint": pa.int64(), "decimal(20,0)": pa.decimal128(20, 0), "float": pa.float32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
 
 
-def _spread(rows: list[int], values: list, kind: pa.DataType, n: int) -> pa.Array:
-    """An array of n cells with ``values`` in some rows, null in the others."""
-    if not rows:
-        return pa.nulls(n, kind)
-    at = np.full(n, -1)
-    at[rows] = np.arange(len(rows))
-    return pa.array(values, kind).take(pa.array(at, mask=at < 0))
+#: Distinct paths that a task keeps from one batch to the next.
+MAX_PATHS = 1 << 16
+
+
+class _Paths:
+    """The paths that occurred, numbered; most documents of a table have the same ones."""
+
+    def __init__(self) -> None:
+        self.known: list[tuple[str, tuple, tuple]] = [("", (), ())]
+        self.kids: list[dict] = [{}]
+
+    def step(self, parent: int, step: str | int) -> int:
+        """The number of the path that goes on from one by a name or an index."""
+        at = self.kids[parent].get(step)
+        if at is None:
+            path, names, places = self.known[parent]
+            if isinstance(step, str):
+                self.known.append((f"{path}.{step}" if parent else step, (*names, step), (*places, None)))
+            else:
+                self.known.append((f"{path}[{step}]", (*names, None), (*places, step)))
+            at = self.kids[parent][step] = len(self.kids)
+            self.kids.append({})
+        return at
+
+    def columns(self, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """The paths and the segments of some numbers."""
+        used, where = np.unique(at, return_inverse=True)
+        rows = [self.known[i] for i in used.tolist()]
+        ends = np.append(0, np.cumsum([len(r[1]) for r in rows])).astype(np.int32)
+        parts = pa.StructArray.from_arrays([pa.array([x for r in rows for x in r[1]], pa.string()), pa.array([x for r in rows for x in r[2]], pa.int64())], ["name", "idx"])
+        take = pa.array(where.astype(np.int64))
+        return pa.array([r[0] for r in rows], pa.string()).take(take), pa.ListArray.from_arrays(pa.array(ends), parts).take(take)
+
+
+def _flat(batches: Iterator[pa.RecordBatch], max_depth: int, keep_empty: bool, bad: str) -> Iterator[pa.RecordBatch]:
+    """A batch of leaves for each batch of documents."""
+    names = ["doc_id", "seq", "path", "segments", "tag", *COLUMNS]
+    of_column = [[tag for tag, kind in enumerate(KINDS) if kind in PAYLOAD and PAYLOAD[kind][0] == c] for c in COLUMNS]
+    paths = _Paths()
+    for batch in batches:
+        if len(paths.known) > MAX_PATHS:
+            paths = _Paths()
+        step, kids = paths.step, paths.kids
+        at, tags, counts = array("q"), bytearray(), []
+        payloads: list[list] = [[] for _ in COLUMNS]
+        by_tag = {tag: payloads[k] for k, own in enumerate(of_column) for tag in own}
+        bools, integers, floats, strings = (by_tag[t] for t in (1, 2, 5, 6))
+
+        def leaf(path: int, v: object) -> None:
+            tag, column, payload = typed(v)
+            if column:
+                by_tag[tag].append(payload)
+            at.append(path)
+            tags.append(tag)
+
+        def walk(path: int, depth: int, v: dict | list) -> None:
+            if depth >= max_depth:
+                raise DepthFault(f"nested deeper than {max_depth}")
+            if not v:
+                if keep_empty or not depth:
+                    leaf(path, v)
+                return
+            mine = kids[path]
+            for name, x in v.items() if type(v) is dict else enumerate(v):
+                own = mine.get(name) or step(path, name)
+                kind = type(x)  # the kinds that documents are made of come first
+                if kind is str:
+                    tags.append(6)
+                    strings.append(x)
+                elif kind is int and _INT_MIN <= x <= _INT_MAX:
+                    tags.append(2)
+                    integers.append(x)
+                elif kind is dict or kind is list:
+                    walk(own, depth + 1, x)
+                    continue
+                elif kind is bool:
+                    tags.append(1)
+                    bools.append(x)
+                elif kind is float and -_LARGEST <= x <= _LARGEST:
+                    tags.append(5)
+                    floats.append(x)
+                else:
+                    leaf(own, x)
+                    continue
+                at.append(own)
+
+        for doc, text in enumerate(batch.column(1).to_pylist()):
+            first = len(tags)
+            try:
+                v = None if text is None else decoded(text)
+                if v is not None:
+                    walk(0, 0, v)
+                elif text is not None:
+                    for segments, x in leaves(text, max_depth)[1]:
+                        if keep_empty or not segments or not isinstance(x, (dict, list)):
+                            leaf(reduce(step, segments, 0), x)
+            except (SyntaxFault, DepthFault) as fault:
+                if bad == "error":
+                    raise ValueError(f"document {batch.column(0)[doc]}: {fault}") from None
+                for k, own in enumerate(of_column):
+                    size = sum(tags.count(tag, first) for tag in own)
+                    del payloads[k][len(payloads[k]) - size :]
+                del tags[first:], at[first:]
+            counts.append(len(tags) - first)
+        kinds, sizes = np.frombuffer(bytes(tags), np.int8), np.array(counts, np.int64)
+        path, segments = paths.columns(np.array(at, np.int64))
+        columns = []
+        for values, own, t in zip(payloads, of_column, TYPES.values()):
+            if values:
+                mine = np.isin(kinds, own)
+                columns.append(pa.array(values, _ARROW[t]).take(pa.array(np.cumsum(mine) - 1, mask=~mine)))
+            else:
+                columns.append(pa.nulls(len(kinds), _ARROW[t]))
+        seq = np.arange(len(kinds)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(seq), path, segments, pa.array(kinds), *columns], names=names)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("json").cast("string").alias("json"))
 
 
 def flatten(docs: DataFrame, max_depth: int = MAX_DEPTH, keep_empty: bool = True, bad: str = "error") -> DataFrame:
@@ -225,84 +341,9 @@ def flatten(docs: DataFrame, max_depth: int = MAX_DEPTH, keep_empty: bool = True
         raise ValueError("bad must be 'error' or 'skip'")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "seq", "path", "segments", "tag", *COLUMNS]
-        place = {c: k for k, c in enumerate(COLUMNS)}
-        for batch in batches:
-            owner, seqs, paths, ends, steps, indexes, tags = [], [], [], [0], [], [], []
-            payloads: list[tuple[list[int], list]] = [([], []) for _ in COLUMNS]
-            lists = (owner, seqs, paths, ends, steps, indexes, tags, *(x for p in payloads for x in p))
-            bools, integers, floats, strings = (payloads[place[c]] for c in ("v_bool", "v_int", "v_f64", "v_str"))
-
-            def leaf(doc: int, first: int, path: str, mine: tuple, places: tuple, v: object) -> None:
-                """One row; the kinds that documents are made of come first."""
-                kind = type(v)
-                if kind is str:
-                    tag, cells, payload = 6, strings, v
-                elif kind is int and _INT_MIN <= v <= _INT_MAX:
-                    tag, cells, payload = 2, integers, v
-                elif kind is float and -_LARGEST <= v <= _LARGEST:
-                    tag, cells, payload = 5, floats, v
-                elif kind is bool:
-                    tag, cells, payload = 1, bools, v
-                else:
-                    tag, column, payload = typed(v)
-                    cells = payloads[place[column]] if column else None
-                at = len(tags)
-                if cells:
-                    cells[0].append(at)
-                    cells[1].append(payload)
-                steps.extend(mine)
-                indexes.extend(places)
-                ends.append(len(steps))
-                owner.append(doc)
-                seqs.append(at - first)
-                paths.append(path)
-                tags.append(tag)
-
-            def walk(doc: int, first: int, path: str, mine: tuple, places: tuple, depth: int, v: object) -> None:
-                kind = type(v)
-                if kind is dict or kind is list:
-                    if depth >= max_depth:
-                        raise DepthFault(f"nested deeper than {max_depth}")
-                    if v:
-                        if kind is dict:
-                            dot = path + "." if depth else ""
-                            empty = (*places, None)
-                            for step, x in v.items():
-                                walk(doc, first, dot + step, (*mine, step), empty, depth + 1, x)
-                        else:
-                            empty = (*mine, None)
-                            for step, x in enumerate(v):
-                                walk(doc, first, f"{path}[{step}]", empty, (*places, step), depth + 1, x)
-                        return
-                    if depth and not keep_empty:
-                        return
-                leaf(doc, first, path, mine, places, v)
-
-            for doc, text in enumerate(batch.column(1).to_pylist()):
-                if text is None:
-                    continue
-                sizes = [len(x) for x in lists]
-                try:
-                    v = decoded(text)
-                    if v is not None:
-                        walk(doc, len(tags), "", (), (), 0, v)
-                        continue
-                    first = len(tags)
-                    for segments, v in leaves(text, max_depth)[1]:
-                        if keep_empty or not segments or not isinstance(v, (dict, list)):
-                            leaf(doc, first, path_text(segments), tuple(s if isinstance(s, str) else None for s in segments), tuple(None if isinstance(s, str) else s for s in segments), v)
-                except (SyntaxFault, DepthFault) as fault:
-                    if bad == "error":
-                        raise ValueError(f"document {batch.column(0)[doc]}: {fault}") from None
-                    for x, size in zip(lists, sizes):
-                        del x[size:]
-            parts = pa.StructArray.from_arrays([pa.array(steps, pa.string()), pa.array(indexes, pa.int64())], ["name", "idx"])
-            segments = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)
-            columns = [_spread(rows, values, _ARROW[t], len(tags)) for (rows, values), t in zip(payloads, TYPES.values())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(seqs, pa.int64()), pa.array(paths, pa.string()), segments, pa.array(tags, pa.int8()), *columns], names=names)
-
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("json").cast("string").alias("json")).mapInArrow(run, FLAT)
+        yield from _flat(batches, max_depth, keep_empty, bad)
+
+    return _texts(docs).mapInArrow(run, FLAT)
 
 
 def faults(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -321,7 +362,7 @@ def faults(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
                     rows.append((doc_id, "depth"))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], names=["doc_id", "fault"])
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("json").cast("string").alias("json")).mapInArrow(run, "doc_id string, fault string")
+    return _texts(docs).mapInArrow(run, "doc_id string, fault string")
 
 
 def assemble(items: list[tuple[tuple, object]]) -> object:
@@ -339,53 +380,143 @@ def assemble(items: list[tuple[tuple, object]]) -> object:
     return {k if isinstance(k, str) else f"[{k}]": assemble(v) for k, v in groups.items()}
 
 
+class _Node(dict):
+    """A container that is being built, by names or indexes."""
+
+
+def _finished(node: _Node) -> object:
+    """The container of a node, or KeyError where it has both names and indexes."""
+    kinds = {type(k) for k in node}
+    if kinds == {str}:
+        for k, v in node.items():
+            if type(v) is _Node:
+                node[k] = _finished(v)
+        return node
+    if kinds != {int}:
+        raise KeyError
+    return [_finished(v) if type(v) is _Node else v for _, v in sorted(node.items(), key=itemgetter(0))]
+
+
+def _assembled(steps: list, ends: list[int], values: list, order: Sequence[int]) -> object:
+    """:func:`assemble` of the leaves in ``order``, at once where no two are in each other's way."""
+    root = _Node()
+    try:
+        for i in order:
+            node, lo, hi = root, ends[i], ends[i + 1] - 1
+            if hi < lo:
+                raise KeyError
+            for step in steps[lo:hi]:
+                inner = node.get(step)
+                if type(inner) is not _Node:
+                    if step in node:
+                        raise KeyError
+                    inner = node[step] = _Node()
+                node = inner
+            if steps[hi] in node:
+                raise KeyError
+            node[steps[hi]] = values[i]
+        return _finished(root)
+    except KeyError:
+        return assemble([(tuple(steps[ends[i] : ends[i + 1]]), values[i]) for i in order])
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, leaves) of batches (doc_id, leaf): the leaves of a document that lie together become one row."""
+    for batch in batches:
+        ids, leaf = batch.column(0), batch.column(1)
+        if len(ids):
+            same = pc.fill_null(pc.equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, ~same))
+            ends = pa.array(np.append(starts, len(ids)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(starts)), pa.ListArray.from_arrays(ends, leaf)], names=["doc_id", "leaves"])
+
+
+def objects(column: pa.Array) -> np.ndarray:
+    """The values of a column as Python's own, in a fraction of the time of ``to_pylist`` where they aren't decimals."""
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist() if pa.types.is_decimal(column.type) or column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+    return out
+
+
+def _built(batches: Iterator[pa.RecordBatch], indent: str | int | None, blobs: bool) -> Iterator[pa.RecordBatch]:
+    """Documents of rows (doc_id, leaves)."""
+    encode = json.JSONEncoder(ensure_ascii=False, indent=indent, separators=(",", ":") if indent is None else None, allow_nan=False).encode
+    for batch in batches:
+        lists = batch.column(1)
+        cells = lists.flatten()
+        seq, segments, tag, *payloads = (cells.field(k) for k in range(cells.type.num_fields))
+        parts = segments.flatten()
+        named = parts.field(0).is_valid().to_numpy(zero_copy_only=False)
+        cell = np.empty(len(parts), object)
+        cell[named] = objects(parts.field(0).filter(pa.array(named)))
+        cell[~named] = objects(parts.field(1).filter(pa.array(~named)))
+        steps = cell.tolist()
+        ends = np.append(0, np.cumsum(pc.list_value_length(segments).to_numpy(zero_copy_only=False))).tolist()
+        cell = np.empty(len(cells), object)
+        for column in payloads:
+            if column.null_count < len(column):
+                valid = column.is_valid()
+                cell[valid.to_numpy(zero_copy_only=False)] = objects(column.filter(valid))
+        values = cell.tolist()
+        kinds = pc.fill_null(tag, -1).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(~np.isin(kinds, (0, 1, 2, 6))).tolist():
+            v = values[i]
+            if kinds[i] in (8, 9):
+                values[i] = json.loads(v)
+            elif kinds[i] == 7:
+                values[i] = base64.b64encode(v).decode() if blobs and v is not None else None
+            elif isinstance(v, Decimal):
+                values[i] = int(v)
+            elif isinstance(v, float) and not math.isfinite(v):
+                values[i] = None
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        place = seq.to_numpy(zero_copy_only=False)
+        turn = range(len(place))
+        if np.any((np.diff(place) < 0) & (np.diff(owner) == 0)):
+            turn = np.lexsort((place, owner)).tolist()
+        out, lo = [], 0
+        for size in sizes.tolist():
+            out.append(encode(_assembled(steps, ends, values, turn[lo : lo + size])))
+            lo += size
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "json"])
+
+
 def unflatten(flat: DataFrame, indent: str | int | None = None, blobs: bool = False) -> DataFrame:
     """(doc_id, json): the documents of leaves, the inverse of :func:`flatten`.
 
-    One shuffle on ``doc_id``; a document is built by one task. Members are in the order of ``seq``. Indexes order the
-    elements of arrays by number. Blobs are null, or base64 if ``blobs``; NaN and infinities, which JSON has not, are null.
-    ``indent`` makes the text pretty.
+    One shuffle on ``doc_id``, of a row for all leaves of a document that lie together; a document is built by one task.
+    Members are in the order of ``seq``. Indexes order the elements of arrays by number. Blobs are null, or base64 if
+    ``blobs``; NaN and infinities, which JSON has not, are null. ``indent`` makes the text pretty.
     """
-    import base64
-
-    separators = (",", ":") if indent is None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            cells = lists.flatten()
-            seq, segments, tag, *payloads = (cells.field(k) for k in range(cells.type.num_fields))
-            parts = segments.flatten()
-            steps = [i if n is None else n for n, i in zip(parts.field(0).to_pylist(), parts.field(1).to_pylist())]
-            ends = np.append(0, np.cumsum(pc.list_value_length(segments).to_numpy(zero_copy_only=False))).tolist()
-            values: list = [None] * len(cells)
-            for column in payloads:
-                at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-                for i, v in zip(at.tolist(), column.take(pa.array(at)).to_pylist()):
-                    values[i] = v
-            tags, order = tag.to_pylist(), seq.to_pylist()
-            out, lo = [], 0
-            for size in pc.list_value_length(lists).to_pylist():
-                items = []
-                for i in sorted(range(lo, lo + size), key=order.__getitem__):
-                    v = values[i]
-                    if tags[i] in (8, 9):
-                        v = json.loads(v)
-                    elif tags[i] == 7:
-                        v = base64.b64encode(v).decode() if blobs and v is not None else None
-                    elif isinstance(v, Decimal):
-                        v = int(v)
-                    elif isinstance(v, float) and not math.isfinite(v):
-                        v = None
-                    items.append((tuple(steps[ends[i] : ends[i + 1]]), v))
-                lo += size
-                out.append(json.dumps(assemble(items), ensure_ascii=False, indent=indent, separators=separators, allow_nan=False))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "json"])
-
-    rows = flat.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "segments", *VALUE)).alias("rows"))
+        yield from _built(batches, indent, blobs)
+
+    leaf = flat.select("doc_id", F.struct("seq", "segments", *VALUE).alias("leaf"))
+    kind = leaf.schema["leaf"].dataType.simpleString()
+    runs = leaf.mapInArrow(_together, f"doc_id {leaf.schema['doc_id'].dataType.simpleString()}, leaves array<{kind}>")
+    rows = runs.groupBy("doc_id").agg(F.flatten(F.collect_list("leaves")).alias("rows"))
     return rows.mapInArrow(run, "doc_id string, json string")
 
 
+def rebuilt(docs: DataFrame, max_depth: int = MAX_DEPTH, bad: str = "error") -> DataFrame:
+    """(doc_id, json): every document flattened and built again from its leaves, as by ``unflatten(flatten(docs))``.
+
+    A document is a row, so that its leaves lie together and nothing is shuffled; rows of equal ids stay apart. One
+    without leaves (null, or skipped) is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for flat in _flat(batches, max_depth, True, bad):
+            starts = np.flatnonzero(flat.column("seq").to_numpy() == 0)
+            leaf = pa.StructArray.from_arrays([flat.column(c) for c in ("seq", "segments", *VALUE)], ["seq", "segments", *VALUE])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(leaf)).astype(np.int32)), leaf)
+            yield from _built(iter([pa.RecordBatch.from_arrays([flat.column("doc_id").take(pa.array(starts)), lists], names=["doc_id", "leaves"])]), None, False)
+
+    return _texts(docs).mapInArrow(run, "doc_id string, json string")
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (doc_id, cell), those with a cell, and of a run of others of one document the first."""
     for batch in batches:

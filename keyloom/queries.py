@@ -346,7 +346,7 @@ SELECT o_orderkey::VARCHAR AS doc_id, count(*) AS lines, sum(l_partkey)::BIGINT
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents flattened, built again, and compared with their source: the lines keep their order beyond ten."""
-    again = documents.unflatten(documents.flatten(_orders_json(spark, sf_dir)))
+    again = documents.rebuilt(_orders_json(spark, sf_dir))
     parsed = again.select("doc_id", F.from_json("json", "lines array<struct<part: bigint>>").alias("d"))
     return parsed.select("doc_id", F.size("d.lines").cast("bigint").alias("lines"), F.aggregate("d.lines", F.lit(0).cast("bigint"), lambda a, x: a + x["part"]).alias("parts"), F.element_at("d.lines", -1)["part"].alias("last_part"))
 

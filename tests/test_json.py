@@ -3,6 +3,7 @@
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -204,3 +205,46 @@ def test_leaves_of_entries_are_read_once(spark):
     assert {(r.doc_id, r.path, r.seq, r.tag, r.v_str) for r in found.where("size(segments) = 0").collect()} == {("empty", "", 0, 9, "{}"), ("empty array", "", 0, 8, "[]"), ("dotted", "", 0, 9, "{}"), ("empties", "", 0, 9, "{}"), ("root array", "", 0, 8, "[]")}
     plan = plan_of(queries.QUERIES["json_binary_roundtrip"](spark, DATA))
     assert plan.count("MapInArrow run") == 4 and "Join" not in plan
+
+
+def test_documents_are_rebuilt_without_a_shuffle(spark):
+    texts = {**DOCUMENTS, "zeros": '{"a":[01,{"b":002.5}],"c":{}}', "deep": "[" * 40 + "]" * 40, "part": '{"ok":1,"a":[1,2,', "null": None}
+    d = docs(spark, texts)
+    by_leaves = {r.doc_id: r.json for r in J.unflatten(J.flatten(d, bad="skip")).collect()}
+    found = J.rebuilt(d.repartition(1), bad="skip")
+    assert {r.doc_id: r.json for r in found.collect()} == by_leaves and set(by_leaves) == set(texts) - {"deep", "part", "null"}
+    assert "hashpartitioning" not in plan_of(J.rebuilt(d))
+    twice = [(r.doc_id, r.json) for r in J.rebuilt(spark.createDataFrame([("d", '{"a":1}'), ("d", '{"a":2}')], "doc_id string, json string").coalesce(1)).collect()]
+    assert twice == [("d", '{"a":1}'), ("d", '{"a":2}')]
+    plan = plan_of(queries.QUERIES["json_roundtrip"](spark, DATA))
+    assert "hashpartitioning(doc_id" not in plan
+
+
+def test_leaves_are_gathered_a_document_a_row_before_the_shuffle(spark):
+    flat = J.flatten(docs(spark, DOCUMENTS))
+    before = plan_of(J.unflatten(flat)).split("Exchange")[1]
+    assert before.index("partial_collect_list") < before.index("MapInArrow _together") < before.index("MapInArrow run")
+    scattered = J.unflatten(flat.repartition(3, "path").orderBy(F.rand(1)))
+    assert {r.doc_id: r.json for r in scattered.collect()} == {r.doc_id: r.json for r in J.unflatten(flat).collect()}
+
+
+@settings(max_examples=200, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.lists(st.sampled_from(["a", "b", "", 0, 1, 11]), max_size=3).map(tuple), st.none() | st.integers(0, 3) | st.builds(dict) | st.builds(list)), max_size=6))
+def test_any_leaves_assemble_alike(items):
+    """Also where leaves repeat, stand in each other's way, or mix names and indexes."""
+    steps, ends = [x for s, _ in items for x in s], [0]
+    for s, _ in items:
+        ends.append(ends[-1] + len(s))
+    got = J._assembled(steps, ends, [v for _, v in items], range(len(items)))
+    want = J.assemble(items)
+    assert json.dumps(got) == json.dumps(want)
+
+
+def test_paths_are_forgotten_when_there_are_too_many(spark, monkeypatch):
+    texts = {str(i): json.dumps({f"k{i}": [i, {"x": i}], "": {"y": i}}) for i in range(200)}
+    table = pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array(list(texts.values()))], names=["doc_id", "json"])
+    parts = [table.slice(i, 20) for i in range(0, 200, 20)]
+    want = pa.Table.from_batches(J._flat(iter(parts), 32, True, "error"))
+    monkeypatch.setattr(J, "MAX_PATHS", 30)
+    assert pa.Table.from_batches(J._flat(iter(parts), 32, True, "error")).equals(want)
+    assert want.column("path").to_pylist()[3:6] == ["k1[0]", "k1[1].x", ".y"]
