@@ -330,9 +330,8 @@ def json_lookup_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT o_orderkey::VARCHAR AS doc_id, 'object' AS root, 4 AS top, 4 + 3 * count(*) AS leaves FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
 def json_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _orders_json(spark, sf_dir)
-    leaves = documents.count_leaves(documents.flatten(docs))
-    return docs.join(leaves, "doc_id").select("doc_id", documents.root_type(F.col("json")).alias("root"), documents.count_top_level(F.col("json")).alias("top"), "leaves")
+    docs = documents.with_leaf_counts(_orders_json(spark, sf_dir))
+    return docs.select("doc_id", documents.root_type(F.col("json")).alias("root"), documents.count_top_level(F.col("json")).alias("top"), "leaves")
 
 
 @query("""SELECT event_id, je.key, je.value::VARCHAR AS value FROM events, json_each(props) AS je""")

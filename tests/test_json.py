@@ -248,3 +248,24 @@ def test_paths_are_forgotten_when_there_are_too_many(spark, monkeypatch):
     monkeypatch.setattr(J, "MAX_PATHS", 30)
     assert pa.Table.from_batches(J._flat(iter(parts), 32, True, "error")).equals(want)
     assert want.column("path").to_pylist()[3:6] == ["k1[0]", "k1[1].x", ".y"]
+
+
+def test_leaves_are_counted_in_one_map(spark):
+    texts = {**DOCUMENTS, "zeros": '{"a":[01,{"b":002.5}],"c":{}}', "same": '{"a":1,"a":[1,2]}', "comma": '{"a":"x,y","b":[",",[]]} , ,', "deep": "[" * 40 + "]" * 40, "limit": "[" * 32 + "]" * 32, "part": '{"ok":1,"a":[1,2,', "null": None}
+    d = docs(spark, texts)
+    want = {r.doc_id: r.leaves for r in J.count_leaves(J.flatten(d, bad="skip")).collect()}
+    assert {r.doc_id: (r.json, r.leaves) for r in J.with_leaf_counts(d, bad="skip").collect()} == {k: (texts[k], n) for k, n in want.items()} and want["comma"] == 3
+    with pytest.raises(Exception, match="nested deeper"):
+        J.with_leaf_counts(d.where("doc_id = 'deep'")).collect()
+    plan = plan_of(queries.QUERIES["json_counts"](spark, DATA))
+    assert plan.count("MapInArrow run") == 1 and plan.count("FileScan") == 2 and "hashpartitioning(doc_id" not in plan
+
+
+def test_root_types_are_those_of_the_parser(spark):
+    """The first character tells the type only where the parser takes the text."""
+    texts = [t for v in DOCUMENTS.values() for t in (v, f" \t\r\n{v}\n")] + ["", " ", "1", '"{"', "null", "{", "[", "[1,]", '{"a":1,"a":2}', "\ufeff{}", "\u00a0{}", "\x0b[]", "/**/{}", "{}x", "[] {}", "{'a':1}", "]", None]
+    c = F.col("json")
+    shape = F.schema_of_variant(F.try_parse_json(c))
+    want = F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, json string").select("json", J.root_type(c).alias("got"), want.alias("want")).collect()
+    assert [(r.json, r.got) for r in rows] == [(r.json, r.want) for r in rows] and {r.got for r in rows} == {None, "object", "array"}
